@@ -174,3 +174,14 @@ def truncate_tokens(tokens: Column | str, n: int) -> Column:
 def or_default(c: Column | str, default: str) -> Column:
     """The value, or a fixed text where the field is absent."""
     return F.coalesce(_col(c), F.lit(default))
+
+
+def json_kind(raw: Column | str) -> Column:
+    """What a raw JSON field holds: ``absent``, ``list``, ``object`` or ``text``."""
+    raw = F.ltrim(_col(raw))
+    return (
+        F.when(raw.isNull(), "absent")
+        .when(raw.startswith("["), "list")
+        .when(raw.startswith("{"), "object")
+        .otherwise("text")
+    )

@@ -32,6 +32,16 @@ def open_store(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(full).parquet(path)
 
 
+def earlier_rows(store: DataFrame, run: str, batch_id: int) -> DataFrame:
+    """What the store held before a batch of a run, also when it is run again."""
+    return store.filter((F.col("run") != run) | (F.col("batch_id") < batch_id))
+
+
+def write_batch(rows: DataFrame, path: str, run: str, batch_id: int) -> None:
+    """Put the rows of a batch into its own folder of the store."""
+    rows.write.mode("overwrite").parquet(f"{path}/run={run}/batch_id={batch_id}")
+
+
 def append_new(
     batch: DataFrame,
     batch_id: int,
@@ -41,12 +51,15 @@ def append_new(
     run: str,
 ) -> None:
     """Add the rows of a batch whose key the store does not hold."""
-    spark = batch.sparkSession
-    store = open_store(spark, path, batch.schema)
-    earlier = store.filter((F.col("run") != run) | (F.col("batch_id") < batch_id))
-    known = known_keys(batch, earlier, keys)
-    fresh = first_per_key(batch.join(known, keys, "left_anti"), keys, order)
-    fresh.write.mode("overwrite").parquet(f"{path}/run={run}/batch_id={batch_id}")
+    store = open_store(batch.sparkSession, path, batch.schema)
+    # Read twice: once for its keys, once for its rows.
+    batch = batch.persist()
+    try:
+        known = known_keys(batch, earlier_rows(store, run, batch_id), keys)
+        fresh = first_per_key(batch.join(known, keys, "left_anti"), keys, order)
+        write_batch(fresh, path, run, batch_id)
+    finally:
+        batch.unpersist()
 
 
 def ingest_stream(

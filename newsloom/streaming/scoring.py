@@ -6,10 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from newsloom.operators.incremental import first_per_key, pending
 from newsloom.operators.scoring import score_titles
-from newsloom.streaming.ingest import append_new
+from newsloom.streaming.ingest import earlier_rows, open_store, write_batch
+
+
+def _score_schema(
+    titles: DataFrame, key: str, keys: tuple[str, ...]
+) -> T.StructType:
+    return T.StructType(
+        [
+            titles.schema[key],
+            *[T.StructField(k, T.DoubleType()) for k in keys],
+            T.StructField("valid", T.BooleanType()),
+            T.StructField("model", T.StringType()),
+        ]
+    )
 
 
 def score_stream(
@@ -30,9 +45,12 @@ def score_stream(
     """
 
     def score(batch: DataFrame, batch_id: int) -> None:
-        scored = score_titles(batch, keys, answer, key, **options)
+        store = open_store(batch.sparkSession, path, _score_schema(batch, key, keys))
+        done = earlier_rows(store, run, batch_id).filter(F.col("model") == model)
+        todo = first_per_key(pending(batch, done, [key]), [key], [key])
+        scored = score_titles(todo, keys, answer, key, **options)
         rows = scored.withColumn("model", F.lit(model))
-        append_new(rows, batch_id, path, ["model", key], [key], run)
+        write_batch(rows, path, run, batch_id)
 
     return (
         titles.writeStream.foreachBatch(score)
