@@ -5,7 +5,11 @@ from __future__ import annotations
 
 def all_queries():
     """All registered queries and their SQL twins."""
-    from newsloom.plans import extract_queries, functions_queries  # noqa: F401
+    from newsloom.plans import (  # noqa: F401
+        article_queries,
+        extract_queries,
+        functions_queries,
+    )
     from newsloom.plans.registry import ORACLES, QUERIES
 
     return QUERIES, ORACLES
