@@ -198,27 +198,28 @@ def in_range(scores: Column, keys: tuple[str, ...]) -> Column:
     return ok
 
 
-def lexicon_answer(title: Column | str, lexicons: dict[str, list[str]]) -> Column:
-    """JSON answer of the built-in scorer: share of the title's words in each list.
+def title_words(title: Column | str) -> Column:
+    """Lower-cased words of a title."""
+    return F.regexp_extract_all(
+        F.lower(_col(title)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)
+    )
+
+
+def _share(words: Column, listed: list[str]) -> Column:
+    hits = F.size(F.filter(words, lambda w: w.isin(*listed)))
+    return F.round((hits + F.lit(1)) / (F.size(words) + F.lit(2)), 6)
+
+
+def lexicon_answer(words: Column | str, lexicons: dict[str, list[str]]) -> Column:
+    """JSON answer of the built-in scorer: share of the words in each list.
 
     Shares are smoothed, ``(hits + 1) / (words + 2)``. A list that is empty takes
     what the first one leaves, ``1 - p``.
     """
-    words = F.regexp_extract_all(
-        F.lower(_col(title)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)
-    )
-    total = F.size(words)
-    scores: list[Column] = []
-    first = None
+    words = _col(words)
+    first = _share(words, next(iter(lexicons.values())))
+    scores = []
     for key, listed in lexicons.items():
-        if listed:
-            chosen = list(listed)
-            hits = F.size(F.filter(words, lambda w, c=chosen: w.isin(*c)))
-            p = F.round((hits + F.lit(1)) / (total + F.lit(2)), 6)
-            first = p if first is None else first
-        else:
-            p = F.round(F.lit(1.0) - first, 6)
+        p = _share(words, listed) if listed else F.round(F.lit(1.0) - first, 6)
         scores.append(p.alias(key))
     return F.to_json(F.struct(*scores))
-
-

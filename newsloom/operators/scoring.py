@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -133,29 +132,41 @@ def article_key(url: str = "url", source: str = "source", title: str = "title")
     return F.xxhash64(source, url, title)
 
 
-def score_titles(
+def to_score(
     articles: DataFrame,
-    keys: tuple[str, ...],
-    answer: Callable[[DataFrame], DataFrame],
     key: str = "article_id",
     done: DataFrame | None = None,
     gate_on: str | None = None,
     threshold: float = S.SOLAR_THRESHOLD,
     index: str | None = None,
     max_index: int = S.MAX_INDEX,
-    on_error: str = "null",
 ) -> DataFrame:
-    """``(key, <scores>, valid)`` for the titles still to be scored.
+    """``(key, title)`` of the titles still to be scored.
 
-    Pending and gate come first, so the scorer sees only rows it has to. ``answer``
-    takes ``(key, title)`` and adds ``answer``.
+    All tests come before the scorer, so it sees only rows it has to.
     """
     rows = articles if done is None else pending(articles, done, [key])
     if gate_on:
         rows = gate(rows, gate_on, threshold)
     if index:
         rows = budget(rows, index, max_index)
-    answered = answer(rows.select(key, "title"))
+    return rows.select(key, "title")
+
+
+def score_titles(
+    articles: DataFrame,
+    keys: tuple[str, ...],
+    answer: Callable[[DataFrame], DataFrame],
+    key: str = "article_id",
+    done: DataFrame | None = None,
+    on_error: str = "null",
+    **tests,
+) -> DataFrame:
+    """``(key, <scores>, valid)`` for the titles ``to_score`` picks.
+
+    ``answer`` takes ``(key, title)`` and adds ``answer``.
+    """
+    answered = answer(to_score(articles, key, done, **tests))
     scored = answered.withColumn("_s", S.parse_scores("answer", keys, on_error))
     return scored.select(
         key,
@@ -168,7 +179,10 @@ def lexicon_scorer(lexicons: dict[str, list[str]]) -> Callable[[DataFrame], Data
     """The built-in scorer, in native expressions."""
 
     def answer(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("answer", S.lexicon_answer("title", lexicons))
+        words = rows.withColumn("_words", S.title_words("title"))
+        return words.withColumn("answer", S.lexicon_answer("_words", lexicons)).drop(
+            "_words"
+        )
 
     return answer
 
@@ -200,29 +214,37 @@ def save_scores(saved: DataFrame, batch: DataFrame, key: str = "article_id") ->
     return upsert(saved, batch, [key], [])
 
 
-def long_scores(
-    scored: DataFrame, keys: tuple[str, ...], model: str, key: str = "article_id"
-) -> DataFrame:
-    """One row per article, model and label."""
-    values = F.array(
-        *[F.struct(F.lit(k).alias("label"), F.col(k).alias("p")) for k in keys]
-    )
-    return scored.select(key, F.lit(model).alias("model"), F.inline(values))
-
-
 def score_many(
     articles: DataFrame,
     keys: tuple[str, ...],
     models: dict[str, Callable[[DataFrame], DataFrame]],
     key: str = "article_id",
-    **options,
+    done: DataFrame | None = None,
+    on_error: str = "null",
+    **tests,
 ) -> DataFrame:
-    """The same titles scored by several models, in long form."""
-    frames = [
-        long_scores(score_titles(articles, keys, answer, key, **options), keys, name, key)
-        for name, answer in models.items()
+    """The same titles scored by several models: ``(key, model, label, p)``.
+
+    The models answer one after the other over one read of the titles.
+    """
+    rows = to_score(articles, key, done, **tests)
+    for i, answer in enumerate(models.values()):
+        rows = answer(rows).withColumnRenamed("answer", f"_answer_{i}")
+    scored = rows.select(
+        key,
+        *[S.parse_scores(f"_answer_{i}", keys, on_error).alias(f"_s_{i}")
+          for i in range(len(models))],
+    )
+    values = [
+        F.struct(
+            F.lit(model).alias("model"),
+            F.lit(k).alias("label"),
+            F.col(f"_s_{i}")[k].alias("p"),
+        )
+        for i, model in enumerate(models)
+        for k in keys
     ]
-    return reduce(DataFrame.unionByName, frames)
+    return scored.select(key, F.inline(F.array(*values)))
 
 
 def wide_by_model(
