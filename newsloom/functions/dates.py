@@ -9,23 +9,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import strip_ordinal
+from newsloom.functions.text import bind, strip_ordinal
 
 # First newsletter day, and how many days the newest one lies back.
 NEWSLETTER_START = "2010-01-01"
 NEWSLETTER_LAG_DAYS = 2
 
-# Written forms the lenient rule reads besides ISO; month comes before day.
-LENIENT_FORMATS = (
-    "MMM d, yyyy",
-    "MMMM d, yyyy",
-    "MMM d yyyy",
-    "MMMM d yyyy",
-    "d MMM yyyy",
-    "d MMMM yyyy",
-    "M/d/yyyy",
-    "yyyy/M/d",
-    "yyyyMMdd",
+# Month names as they are written, short or in full.
+MONTHS = (
+    "jan(?:uary)?",
+    "feb(?:ruary)?",
+    "mar(?:ch)?",
+    "apr(?:il)?",
+    "may",
+    "june?",
+    "july?",
+    "aug(?:ust)?",
+    "sept?(?:ember)?",
+    "oct(?:ober)?",
+    "nov(?:ember)?",
+    "dec(?:ember)?",
+)
+_SHORT_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+_MONTH = "(" + "|".join(MONTHS) + r")\.?"
+
+# Written forms the lenient rule reads besides ISO, and where year, month and day
+# stand in them; a month in figures comes before the day.
+LENIENT_FORMS = (
+    (rf"(?i)^{_MONTH} (\d{{1,2}}),? (\d{{4}})$", (3, 1, 2)),
+    (rf"(?i)^(\d{{1,2}}) {_MONTH},? (\d{{4}})$", (3, 2, 1)),
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", (3, 1, 2)),
+    (r"^(\d{4})/(\d{1,2})/(\d{1,2})$", (1, 2, 3)),
+    (r"^(\d{4})(\d{2})(\d{2})$", (1, 2, 3)),
 )
 
 _ISO_DAY = r"^\d{4}-\d{2}-\d{2}"
@@ -37,15 +52,42 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _iso_day(c: Column) -> Column:
+    """Day at the start of an ISO text, null if it is none; never an error."""
+    return F.when(c.rlike(_ISO_DAY), F.substring(c, 1, 10).try_cast("date"))
+
+
+def _month_number(name: Column) -> Column:
+    """Number of a month written by name or in figures."""
+    at = F.instr(F.lit(_SHORT_MONTHS), F.lower(F.substring(name, 1, 3)))
+    return F.when(name.rlike(r"^\d"), name).otherwise(
+        F.floor((at + 2) / 3).cast("string")
+    )
+
+
+def _written_day(c: Column) -> Column:
+    day = F.lit(None).cast("string")
+    for pattern, (y, m, d) in reversed(LENIENT_FORMS):
+        parts = F.concat_ws(
+            "-",
+            F.regexp_extract(c, pattern, y),
+            _month_number(F.regexp_extract(c, pattern, m)),
+            F.regexp_extract(c, pattern, d),
+        )
+        day = F.when(c.rlike(pattern), parts).otherwise(day)
+    # A form is told by its shape, as a failed parse costs an exception.
+    return day.try_cast("date")
+
+
 def lenient_date(c: Column | str) -> Column:
     """Day as written, zone offset ignored; null for whatever cannot be read."""
-    c = F.trim(_col(c))
-    written = F.regexp_replace(F.regexp_replace(c, _WEEKDAY, ""), _CLOCK, "")
-    written = strip_ordinal(written)
-    other = F.coalesce(*[F.try_to_date(written, f) for f in LENIENT_FORMATS])
-    return F.when(
-        c.rlike(_ISO_DAY), F.try_to_date(F.substring(c, 1, 10), "yyyy-MM-dd")
-    ).otherwise(other)
+
+    def read(text: Column) -> Column:
+        written = F.regexp_replace(F.regexp_replace(text, _WEEKDAY, ""), _CLOCK, "")
+        other = bind(strip_ordinal(written), _written_day)
+        return F.when(text.rlike(_ISO_DAY), _iso_day(text)).otherwise(other)
+
+    return bind(F.trim(_col(c)), read)
 
 
 def _strict(day: Column, written: Column, what: str) -> Column:
@@ -58,8 +100,7 @@ def _strict(day: Column, written: Column, what: str) -> Column:
 def strict_date(c: Column | str) -> Column:
     """Day as written in an ISO date or timestamp; anything else is an error."""
     c = F.trim(_col(c))
-    day = F.try_to_date(F.substring(c, 1, 10), "yyyy-MM-dd")
-    return _strict(day, c, "strict_date")
+    return _strict(_iso_day(c), c, "strict_date")
 
 
 def utc_date(c: Column | str) -> Column:

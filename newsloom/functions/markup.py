@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from newsloom.functions.text import squeeze_ws, strip_ws, unescape_html
+from newsloom.functions.text import bind, squeeze_ws, strip_ws, unescape_html
 
 _NOISE = r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>"
 _COMMENT = r"(?s)<!--.*?-->"
@@ -59,10 +59,14 @@ def _class_value(cls: str) -> str:
 
 def attribute(markup: Column, name: str) -> Column:
     """Decoded value of an attribute of the first tag in ``markup``, else null."""
-    first = F.regexp_extract(markup, r"(?s)^\s*(<[^>]*>)", 1)
-    pattern = rf"(?is)\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
-    value = F.concat(*[F.regexp_extract(first, pattern, i) for i in (1, 2, 3)])
-    return F.when(first.rlike(pattern), unescape_html(value))
+    pattern = rf"(?is)\A\s*<[^>]*?\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
+
+    def value(raw: Column) -> Column:
+        quoted = raw.startswith('"') | raw.startswith("'")
+        bare = F.when(quoted, F.substr(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
+        return F.when(raw != "", unescape_html(bare))
+
+    return bind(F.regexp_extract(markup, pattern, 1), value)
 
 
 def text_of(markup: Column, strip_each: bool = False) -> Column:
@@ -81,11 +85,6 @@ def flat_blocks(markup: Column, tag: str, cls=None, **attrs: str) -> Column:
     return F.regexp_extract_all(markup, F.lit(pattern), F.lit(0))
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once per row."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _close(marks: Column) -> Column:
     """How many pieces between ``marks`` lie inside the element; 0 if all do."""
     start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("kept"))
@@ -116,7 +115,7 @@ def _balanced(rest: Column, tag: str) -> Column:
 
     def cut(marks: Column) -> Column:
         pieces = F.split(rest, pattern)
-        return _let(
+        return bind(
             _close(marks),
             lambda kept: F.array_join(
                 F.zip_with(
@@ -128,7 +127,7 @@ def _balanced(rest: Column, tag: str) -> Column:
             ),
         )
 
-    return _let(F.regexp_extract_all(rest, F.lit(pattern), F.lit(0)), cut)
+    return bind(F.regexp_extract_all(rest, F.lit(pattern), F.lit(0)), cut)
 
 
 def nested_blocks(markup: Column, tag: str, cls=None, **attrs: str) -> Column:
@@ -150,13 +149,23 @@ def first_block(
     markup: Column, tag: str, cls=None, nested: bool = False, **attrs: str
 ) -> Column:
     """First matching element, start tag first; null if there is none."""
-    if not nested:
-        return F.get(flat_blocks(markup, tag, cls, **attrs), F.lit(0))
     opening = rf"(?is){open_tag(tag, cls, **attrs)}"
-    start = F.regexp_extract(markup, rf"(?is)({open_tag(tag, cls, **attrs)})", 1)
-    # Limit 2 keeps later elements of the same class inside the first one.
-    rest = F.get(F.split(markup, opening, 2), F.lit(1))
-    return F.when(start != "", F.concat(start, _balanced(rest, tag)))
+    if not nested:
+        whole = rf"{opening}.*?(?=</{tag}\s*>|\z)"
+        found = F.regexp_extract(markup, whole, 0)
+        return bind(found, lambda block: F.when(block != "", block))
+
+    def element(page: Column) -> Column:
+        def cut(parts: Column) -> Column:
+            before, rest = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+            length = F.length(page) - F.length(before) - F.length(rest)
+            start = F.substr(page, F.length(before) + 1, length)
+            return F.when(rest.isNotNull(), F.concat(start, _balanced(rest, tag)))
+
+        # Limit 2 keeps later elements of the same class inside the first one.
+        return bind(F.split(page, opening, 2), cut)
+
+    return bind(markup, element)
 
 
 def paragraphs(markup: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -113,6 +114,15 @@ def ensure_list(raw: Column | str) -> Column:
     )
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    An expression used in several places of another one is computed in each of
+    them when some lie in a branch; a one-element list holds it instead.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _entity_char(name: Column) -> Column:
     named = F.create_map(
         *[
@@ -125,30 +135,38 @@ def _entity_char(name: Column) -> Column:
         F.lower(F.substring(name, 1, 2)) == "#x",
         F.conv(F.substring(name, 3, 6), 16, 10),
     ).otherwise(F.substring(name, 2, 7))
-    code = digits.try_cast("int")
-    legal = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-    numeric = F.when(
-        legal, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    ).otherwise(F.lit("�"))
-    return F.when(name.startswith("#"), numeric).otherwise(named[name])
+
+    def numeric(code: Column) -> Column:
+        legal = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(legal, char).otherwise(F.lit("�"))
+
+    return F.when(name.startswith("#"), bind(digits.try_cast("int"), numeric)).otherwise(
+        named[name]
+    )
 
 
 def unescape_html(c: Column | str) -> Column:
     """Decode named and numeric entities in one pass; unknown ones stay."""
-    c = _col(c)
 
     def piece(p: Column) -> Column:
-        name = F.regexp_extract(p, _ENTITY_NAME, 1)
-        char = F.when(name != "", _entity_char(name))
-        rest = F.substr(p, F.length(name) + F.lit(2))
-        return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), p))
-
-    pieces = F.split(c, "&")
-    decoded = F.concat(
-        F.get(pieces, F.lit(0)),
-        F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), piece), ""),
-    )
-    return F.when(c.contains("&"), decoded).otherwise(c)
+        def decode(name: Column) -> Column:
+            char = F.when(name != "", _entity_char(name))
+            rest = F.substr(p, F.length(name) + F.lit(2))
+            return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), p))
+
+        return bind(F.regexp_extract(p, _ENTITY_NAME, 1), decode)
+
+    def decode_all(pieces: Column) -> Column:
+        tail = F.transform(F.slice(pieces, 2, F.size(pieces)), piece)
+        return F.concat(F.get(pieces, F.lit(0)), F.array_join(tail, ""))
+
+    def decode_text(text: Column) -> Column:
+        return F.when(text.contains("&"), bind(F.split(text, "&"), decode_all)).otherwise(
+            text
+        )
+
+    return bind(_col(c), decode_text)
 
 
 def join_text(parts: Column | str, sep: str, strip_each: bool = False) -> Column:

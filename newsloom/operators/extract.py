@@ -267,7 +267,9 @@ def extract_listing(
         if name == "url" and profile.base:
             value = absolutize(value, profile.base)
         fields.append(value.alias(name))
-    rows = blocks.select(*keep, "block", *fields)
+    # Laid out through a one-row list: a filter on a field is then not pushed below
+    # it, where Spark would read the field a second time.
+    rows = blocks.select(*keep, "block", F.inline(F.array(F.struct(*fields))))
     rows = require(rows, profile.required, profile.on_missing)
     key = _listing_key(profile.key, F.col("block"))
     return rows.select(*keep, key.alias("article_id"), *LISTING_COLUMNS)
