@@ -1,0 +1,162 @@
+from __future__ import annotations
+
+import html
+import re
+import uuid
+from urllib.parse import unquote
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from newsloom.functions import text as X
+
+BATCH = settings(
+    max_examples=5, deadline=None, suppress_health_check=list(HealthCheck)
+)
+TEXTS = st.lists(
+    st.text(
+        alphabet=st.one_of(
+            st.sampled_from(list(" \t\n\r\x0b\x0c\x1c\x1f\x85\xa0 %+&;#/?=aé₹Z09")),
+            st.characters(exclude_categories=("Cs",), exclude_characters="\x00"),
+        ),
+        max_size=30,
+    ),
+    min_size=40,
+    max_size=80,
+)
+
+
+def values(spark, texts, expr):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string")
+    return [r[0] for r in df.orderBy("i").select(expr).collect()]
+
+
+@BATCH
+@given(TEXTS)
+def test_squeeze_ws(spark, texts):
+    got = values(spark, texts, X.squeeze_ws("s"))
+    want = [re.sub(r"\s+", " ", t).strip() for t in texts]
+    assert got == want
+    assert values(spark, got, X.squeeze_ws("s")) == got
+
+
+@BATCH
+@given(TEXTS)
+def test_strip_ws(spark, texts):
+    assert values(spark, texts, X.strip_ws("s")) == [t.strip() for t in texts]
+
+
+@BATCH
+@given(TEXTS)
+def test_uuid5(spark, texts):
+    want = [str(uuid.uuid5(uuid.NAMESPACE_DNS, t)) for t in texts]
+    assert values(spark, texts, X.uuid5_dns("s")) == want
+
+
+@BATCH
+@given(
+    st.lists(
+        st.text(alphabet="%+2Fab9 /é", max_size=12).filter(
+            lambda t: not re.search("%[89A-Fa-f][0-9A-Fa-f]", t)
+        ),
+        min_size=60,
+        max_size=90,
+    )
+)
+def test_unquote(spark, texts):
+    assert values(spark, texts, X.unquote("s")) == [unquote(t) for t in texts]
+
+
+def test_unquote_utf8(spark):
+    texts = ["%E2%82%B9+100%", "%C3%A9%zz", "100 %"]
+    assert values(spark, texts, X.unquote("s")) == [unquote(t) for t in texts]
+
+
+@BATCH
+@given(
+    st.lists(
+        st.lists(
+            st.sampled_from(
+                ["&amp;", "&lt;", "&eacute;", "&#8377;", "&#x20B9;", "&nope;", "&", ";", "a", "#", "&apos;"]
+            ),
+            max_size=8,
+        ).map("".join),
+        min_size=40,
+        max_size=60,
+    )
+)
+def test_unescape(spark, texts):
+    # Entities that Python also reads without their semicolon are left out.
+    texts = [t for t in texts if not re.search(r"&(?:amp|lt|eacute|#x?[0-9A-Fa-f]+)(?!;)[^a-zA-Z0-9]", t)]
+    assert values(spark, texts, X.unescape_html("s")) == [html.unescape(t) for t in texts]
+
+
+@pytest.mark.parametrize(
+    "href",
+    [
+        "https://a/?url=x%2Fy&mailer_id=1",
+        "https://a/?url=x?url=y&mailer_id=1&mailer_id=2",
+        "https://a/?url=",
+        "no target &mailer_id=3",
+        "",
+    ],
+)
+def test_unwrap_redirect(spark, href):
+    want = href.partition("?url=")[-1].partition("&mailer_id")[0]
+    assert values(spark, [href], X.unwrap_redirect("s")) == [want]
+
+
+def test_nulls_stay_null(spark):
+    for fn in (X.squeeze_ws, X.unquote, X.unwrap_redirect, X.uuid5_dns, X.unescape_html):
+        assert values(spark, [None], fn("s")) == [None]
+
+
+def test_article_id(spark):
+    urls = ["https://a/b/123.cms?x=1", "https://a/b/seg?x=/y", "plain", "https://a/b/"]
+    assert values(spark, urls, X.article_id("s")) == [u.split("/")[-1] for u in urls]
+    assert values(spark, urls, X.article_id("s", ".")) == [
+        u.split("/")[-1].split(".")[0] for u in urls
+    ]
+    assert values(spark, urls, X.article_id("s", "?")) == [
+        u.split("/")[-1].partition("?")[0] for u in urls
+    ]
+
+
+def test_ensure_list(spark):
+    raw = ['["a","b"]', "a,b", None, "5", "[not json", "[]"]
+    assert values(spark, raw, X.ensure_list("s")) == [
+        ["a", "b"],
+        ["a,b"],
+        [],
+        ["5"],
+        ["[not json"],
+        [],
+    ]
+
+
+def test_strip_ordinal(spark):
+    texts = ["Thu, Aug 1st, 2024", "22nd 3rd 4th", "first"]
+    want = [re.sub(r"(\d+)(st|nd|rd|th)", r"\1", t) for t in texts]
+    assert values(spark, texts, X.strip_ordinal("s")) == want
+
+
+def test_absolutize(spark):
+    assert values(spark, ["/a", "a"], X.absolutize("s", "https://x")) == ["https://x/a"] * 2
+    assert values(spark, ["/a"], X.absolutize("s", "https://x/", False)) == ["https://x//a"]
+
+
+def test_category_label(spark):
+    assert values(spark, ["news%2Foil"], X.category_label("s")) == ["oil"]
+
+
+def test_json_kind(spark):
+    raw = ["[1]", ' {"a":1}', "x", None]
+    assert values(spark, raw, X.json_kind("s")) == ["list", "object", "text", "absent"]
+
+
+def test_bind_is_seen_once(spark):
+    df = spark.createDataFrame([("a",)], "s string")
+    got = df.select(X.bind(F.upper("s"), lambda u: F.concat(u, u))).first()[0]
+    assert got == "AA"
