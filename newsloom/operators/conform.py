@@ -111,6 +111,48 @@ def conform(df: DataFrame, source: str) -> DataFrame:
     return df.select(*out, F.lit(source).alias("source"))
 
 
+def conform_all(store: DataFrame, tag: str = "source") -> DataFrame:
+    """Conform a store that holds all sources, each row by the rule of its source.
+
+    One read of the store, where a frame per source would read it once for each.
+    A row fills the columns of its own shape; the columns of other shapes are null.
+    Rows of a source without a mapping are an error.
+    """
+    have = set(store.columns)
+    source = F.col(tag)
+    groups: dict[tuple, list[str]] = {}
+    for name, mapping in MAPPINGS.items():
+        groups.setdefault((id(mapping), DATE_RULES[name]), []).append(name)
+
+    def pick(column: str):
+        value = None
+        for (_, rule), names in groups.items():
+            mapping = MAPPINGS[names[0]]
+            fields = [f for f, n in mapping.items() if n == column and f in have]
+            if not fields:
+                continue
+            found = F.col(fields[0])
+            if column == "date":
+                found = rule(found)
+            elif column == "kws" and mapping is _CORE:
+                found = ensure_list(found)
+            here = source.isin(*names)
+            value = F.when(here, found) if value is None else value.when(here, found)
+        return F.lit(None) if value is None else value
+
+    known = F.when(source.isin(*MAPPINGS), source).otherwise(
+        F.raise_error(F.concat(F.lit("no mapping for source "), source)).cast("string")
+    )
+    return store.select(
+        *[
+            pick(f.name).cast(f.dataType).alias(f.name)
+            for f in ARTICLE_SCHEMA
+            if f.name != "source"
+        ],
+        known.alias("source"),
+    )
+
+
 def union_sources(frames: list[DataFrame]) -> DataFrame:
     """All sources in one table; a column a source lacks is null, copies stay."""
     every = reduce(

@@ -54,11 +54,7 @@ def preprocess(
     return rows.withColumn("tokens", F.transform("tokens", F.lower))
 
 
-_SLOTS = 32
-
-
-def _slot(token: Column) -> Column:
-    return F.pmod(F.hash(token), F.lit(_SLOTS))
+_SLOT_SIZE = 32
 
 
 def lemmatize(docs: DataFrame, lemmas: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -66,30 +62,36 @@ def lemmatize(docs: DataFrame, lemmas: DataFrame, key: str = "doc_id") -> DataFr
 
     Each document looks up its distinct tokens only. The pairs found are gathered
     per document and put back in place, so the text itself is not torn apart. They
-    are kept in slots, as a map is searched from end to end. The lemma table has
-    one row per token.
+    are kept in small slots, as a map is searched from end to end. The lemma table
+    has one row per token.
     """
     asked = docs.select(key, F.explode(F.array_distinct("tokens")).alias("token"))
     pairs = (
         asked.join(lemmas.select("token", "lemma"), "token")
         .groupBy(key)
-        .agg(F.collect_list(F.struct("token", "lemma")).alias("_pairs"))
-    )
-    slots = F.transform(
-        F.sequence(F.lit(0), F.lit(_SLOTS - 1)),
-        lambda i: F.map_from_entries(
-            F.filter("_pairs", lambda p: _slot(p["token"]) == i)
-        ),
+        .agg(
+            F.collect_list(
+                F.struct(F.hash("token").alias("h"), F.struct("token", "lemma").alias("p"))
+            ).alias("_pairs")
+        )
+        .withColumn("_n", F.ceil(F.size("_pairs") / F.lit(_SLOT_SIZE)).cast("int"))
     )
-    found = pairs.select(key, slots.alias("_slots"))
-    tokens = F.transform(
-        "tokens",
-        lambda t: F.coalesce(F.element_at(F.get("_slots", _slot(t)), t), t),
-    )
-    return docs.join(found, key, "left").select(
+
+    def slot(i: Column) -> Column:
+        mine = F.filter("_pairs", lambda x: F.pmod(x["h"], "_n") == i)
+        return F.map_from_entries(F.transform(mine, lambda x: x["p"]))
+
+    slots = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), slot)
+    found = pairs.select(F.col(key).alias("_key"), slots.alias("_slots"))
+
+    def lemma(t: Column) -> Column:
+        mine = F.get("_slots", F.pmod(F.hash(t), F.size("_slots")))
+        return F.coalesce(F.element_at(mine, t), t)
+
+    return docs.join(found, docs[key] == found["_key"], "left").select(
         *[c for c in docs.columns if c != "tokens"],
         F.when(F.col("_slots").isNull(), F.col("tokens"))
-        .otherwise(tokens)
+        .otherwise(F.transform("tokens", lemma))
         .alias("tokens"),
     )
 
@@ -141,10 +143,17 @@ def train_vectors(
     min_count: int = MIN_COUNT,
     epochs: int = EPOCHS,
     seed: int = 42,
-    partitions: int = 1,
+    partitions: int | None = None,
     tokens: str = "tokens",
 ) -> Word2VecModel:
-    """Word vectors of the corpus, trained by Spark's own trainer."""
+    """Word vectors of the corpus, trained by Spark's own trainer.
+
+    The corpus is spread over ``partitions`` tasks, one per core if not given. One
+    alone gives the same vectors each time, but passes all text through one task.
+    The trainer keeps the vocabulary, not the corpus, on the driver.
+    """
+    if partitions is None:
+        partitions = docs.sparkSession.sparkContext.defaultParallelism
     trainer = Word2Vec(
         vectorSize=size,
         minCount=min_count,

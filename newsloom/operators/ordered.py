@@ -102,13 +102,11 @@ def previous(
     rows = with_carry(
         rows,
         part,
-        {"_last": F.max_by(F.struct(value), order)},
+        {"_last": F.max_by(value, order)},
         {"_carry": lambda before, run: F.last("_last").over(before)},
     )
     is_first = F.row_number().over(local) == 1
-    prev = F.when(is_first, F.col("_carry")[value]).otherwise(
-        F.lag(value).over(local)
-    )
+    prev = F.when(is_first, F.col("_carry")).otherwise(F.lag(value).over(local))
     return rows.select(*df.columns, prev.alias(name))
 
 

@@ -33,9 +33,8 @@ def day_of_doc() -> Column:
     return F.date_add(F.to_date(F.lit("2024-01-01")), (F.col("n_chars") % 366).cast("int"))
 
 
-def source_frames(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """The documents as the stores of the eight sources, each in its own shape."""
-    docs = table(spark, d, "documents")
+def _shape_columns() -> dict[str, dict[str, Column]]:
+    """The columns of each source's store, made of a document."""
     day = day_of_doc()
     lines = F.split("text", "\n")
     title = squeeze_ws(F.get(lines, F.lit(0)))
@@ -65,17 +64,38 @@ def source_frames(spark: SparkSession, d: str) -> dict[str, DataFrame]:
         "date": iso,
         "categories": F.array("lang", "source"),
     }
-    columns = {
-        "mercom": api,
-        "saur": {**listed, "date_published": ordinal_text(day), "key_words": F.array("lang")},
-    }
-    frames = {}
-    for tag, given in SHAPES.items():
-        shape = columns.get(tag, core if C.MAPPINGS[tag] is C.MAPPINGS["ec"] else listed)
-        frames[tag] = docs.filter(F.col("source").isin(*given)).select(
-            *[value.alias(name) for name, value in shape.items()]
+    saur = {**listed, "date_published": ordinal_text(day), "key_words": F.array("lang")}
+    shapes = dict.fromkeys(("ec", "eec", "nleec"), core)
+    shapes |= dict.fromkeys(("pvmag", "pvmag_global", "pvmag_us"), listed)
+    return {**shapes, "mercom": api, "saur": saur}
+
+
+def source_frames(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The documents as the stores of the eight sources, each in its own shape."""
+    docs = table(spark, d, "documents")
+    shapes = _shape_columns()
+    return {
+        tag: docs.filter(F.col("source").isin(*given)).select(
+            *[value.alias(name) for name, value in shapes[tag].items()]
         )
-    return frames
+        for tag, given in SHAPES.items()
+    }
+
+
+def source_store(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as one store of all sources, each row in its source's shape."""
+    columns: dict[str, Column] = {}
+    for tag, shape in _shape_columns().items():
+        here = F.col("source").isin(*SHAPES[tag])
+        for name, value in shape.items():
+            old = columns.get(name)
+            columns[name] = F.when(here, value) if old is None else old.when(here, value)
+    tag = F.lit(None).cast("string")
+    for name, given in SHAPES.items():
+        tag = F.when(F.col("source").isin(*given), name).otherwise(tag)
+    return table(spark, d, "documents").select(
+        *[value.alias(name) for name, value in columns.items()], tag.alias("source")
+    )
 
 
 def articles(spark: SparkSession, d: str) -> DataFrame:
@@ -112,7 +132,7 @@ SQL_ARTICLES = f"""
         FROM ({SQL_ARTICLES}) GROUP BY ALL""",
 )
 def u1_month(spark: SparkSession, d: str) -> DataFrame:
-    return A.by_month(articles(spark, d))
+    return A.by_month(C.conform_all(source_store(spark, d)))
 
 
 @query(

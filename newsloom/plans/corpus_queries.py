@@ -62,11 +62,31 @@ _LEMMAS = f"""SELECT v.token, left(v.token, len(v.token) - 1) AS lemma FROM ({SQ
 
 def plural_lemmas(vocab: DataFrame) -> DataFrame:
     """A lemma table out of the corpus itself: plural to singular."""
-    plural = vocab.filter(F.col("token").endswith("s")).select(
-        "token", F.expr("left(token, length(token) - 1)").alias("lemma")
-    )
-    return plural.join(vocab.select(F.col("token").alias("lemma")), "lemma", "left_semi").select(
-        "token", "lemma"
+    # A word stands under itself, and a plural under its singular too.
+    forms = vocab.select(
+        "token",
+        F.explode(
+            F.array(
+                F.struct(F.col("token").alias("lemma"), F.lit(False).alias("plural")),
+                F.struct(
+                    F.when(
+                        F.col("token").endswith("s"),
+                        F.expr("left(token, length(token) - 1)"),
+                    ).alias("lemma"),
+                    F.lit(True).alias("plural"),
+                ),
+            )
+        ).alias("f"),
+    ).select("token", "f.*")
+    return (
+        forms.filter(F.col("lemma").isNotNull())
+        .groupBy("lemma")
+        .agg(
+            F.max(F.when(F.col("plural"), F.col("token"))).alias("token"),
+            F.bool_or(~F.col("plural")).alias("known"),
+        )
+        .filter(F.col("known") & F.col("token").isNotNull())
+        .select("token", "lemma")
     )
 
 
@@ -134,7 +154,7 @@ def m3(spark: SparkSession, d: str) -> DataFrame:
 )
 def m2(spark: SparkSession, d: str) -> DataFrame:
     """Values of a trainer cannot be told in SQL; vocabulary and shape can."""
-    model = K.train_vectors(corpus(spark, d), size=16, epochs=1, partitions=8)
+    model = K.train_vectors(corpus(spark, d), size=16, epochs=1)
     finite = F.forall("vector", lambda x: ~F.isnan(x) & (F.abs(x) < 1e6))
     return K.word_vectors(model).select(
         "word", F.size("vector").alias("dim"), finite.alias("finite")

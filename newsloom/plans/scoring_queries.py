@@ -224,19 +224,27 @@ def a10(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def letter_counter(config: dict):
-    """A scorer written in Python: how often a letter occurs, and the length."""
-    letter = config["letter"]
+def make_letter_counter():
+    """A scorer written in Python: how often a letter occurs, and the length.
 
-    def score(prompts: list[str]) -> list[str]:
-        return [
-            f'{{"solar": {p.count(letter)}, "notSolar": {len(p)}}}' for p in prompts
-        ]
+    Made inside a function, it travels to the executors whole, whether or not this
+    package is installed there.
+    """
 
-    return score
+    def letter_counter(config: dict):
+        letter = config["letter"]
 
+        def score(prompts: list[str]) -> list[str]:
+            return [
+                f'{{"solar": {p.count(letter)}, "notSolar": {len(p)}}}' for p in prompts
+            ]
 
-R.register_scorer("letter-counter", letter_counter)
+        return score
+
+    return letter_counter
+
+
+R.register_scorer("letter-counter", make_letter_counter())
 
 
 @query(

@@ -82,8 +82,8 @@ def test_vectors_are_repeatable_and_saved(spark, tmp_path):
     docs = spark.createDataFrame(
         [([f"t{(i * j) % 9}" for j in range(12)],) for i in range(40)], "tokens array<string>"
     ).coalesce(1)
-    first = K.train_vectors(docs, size=4, min_count=5, epochs=2)
-    again = K.train_vectors(docs, size=4, min_count=5, epochs=2)
+    first = K.train_vectors(docs, size=4, min_count=5, epochs=2, partitions=1)
+    again = K.train_vectors(docs, size=4, min_count=5, epochs=2, partitions=1)
     one = {r.word: r.vector for r in K.word_vectors(first).collect()}
     assert one == {r.word: r.vector for r in K.word_vectors(again).collect()}
     assert set(one) == {r.token for r in K.vocabulary(docs).collect()}
