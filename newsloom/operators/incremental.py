@@ -86,7 +86,7 @@ def stop_places(
     keys = [*part, key]
     rows = listing.select(*keys, _place(listing, order).alias("_place"), *_flag(registered))
     stored = (
-        rows.join(store.select(*keys).distinct(), keys, "left_semi")
+        rows.join(store.select(*keys), keys, "left_semi")
         .groupBy(*part)
         .agg(F.min("_place").alias("_stop"))
     )
@@ -188,12 +188,12 @@ def upsert(
 ) -> DataFrame:
     """Store with the batch written over it; the last write of a key wins.
 
-    The batch comes after all of the store, whatever its ``order`` says.
+    The store holds one row per key. Its rows are only tested against the keys of
+    the batch, so a small batch is broadcast and a big store is not shuffled.
     """
-    rows = store.withColumn("_turn", F.lit(0)).unionByName(
-        batch.withColumn("_turn", F.lit(1)), allowMissingColumns=True
-    )
-    return last_per_key(rows, keys, ["_turn", *order]).drop("_turn")
+    newest = last_per_key(batch, keys, order) if order else batch
+    kept = store.join(newest.select(*keys), keys, "left_anti")
+    return kept.unionByName(newest, allowMissingColumns=True)
 
 
 def upsert_fields(

@@ -210,7 +210,7 @@ def prompt_scorer(
 
 
 def save_scores(saved: DataFrame, batch: DataFrame, key: str = "article_id") -> DataFrame:
-    """Saved scores with a new batch written over them."""
+    """Saved scores with a new batch, one row per article, written over them."""
     return upsert(saved, batch, [key], [])
 
 

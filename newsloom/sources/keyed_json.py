@@ -28,9 +28,13 @@ def read_keyed_json(
     key: str = KEY,
     indented: bool = False,
     missing_ok: bool = True,
+    wrap: bool = True,
 ) -> DataFrame:
     """One row per entry: the key, then the fields of ``schema``.
 
+    With ``wrap=False`` an entry is not an object of fields but the one value the
+    schema names.
+
     A field of type string holding a list or an object arrives as its JSON text. A
     missing or empty file is an empty store. ``indented=True`` is for files written
     with an indent of four blanks: they are split at the end of an entry, so one
@@ -38,7 +42,7 @@ def read_keyed_json(
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    inner = schema.simpleString()
+    inner = schema.simpleString() if wrap else schema[0].dataType.simpleString()
     try:
         if indented:
             text = spark.read.option("lineSep", _ENTRY_END).text(path)
@@ -52,6 +56,8 @@ def read_keyed_json(
             return spark.createDataFrame([], out)
         raise
     filled = text.filter(F.trim("value") != "")
+    if not wrap:
+        return filled.select(_entries(value, inner).alias(key, schema[0].name))
     rows = filled.select(_entries(value, inner).alias(key, "_v"))
     return rows.select(key, "_v.*")
 
@@ -78,6 +84,34 @@ def read_keyed_table(
     return read_keyed_json(spark, path, schema, **options).drop(KEY)
 
 
+def read_link_index(
+    spark: SparkSession, path: str | list[str], indented: bool = False
+) -> DataFrame:
+    """A newsletter index ``{day: {category: [link]}}`` as one row per link.
+
+    An empty category gives one row without a link, so its day is not lost.
+    """
+    days = read_keyed_json(
+        spark,
+        path,
+        "links map<string,array<string>>",
+        "nl_date",
+        indented,
+        wrap=False,
+    )
+    cells = days.select(
+        F.to_date("nl_date").alias("nl_date"), F.explode("links").alias("category", "urls")
+    )
+    return cells.select("nl_date", "category", F.explode_outer("urls").alias("url"))
+
+
+def read_dead_letters(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """A JSON array of ids and URLs as rows ``(entry)``."""
+    text = spark.read.text(path, wholetext=True).filter(F.trim("value") != "")
+    entries = F.from_json("value", "array<string>", {"mode": "FAILFAST"})
+    return text.select(F.explode(entries).alias("entry"))
+
+
 def write_store(
     df: DataFrame, path: str, by: tuple[str, ...] = ("source", "topic")
 ) -> None:

@@ -122,3 +122,9 @@ def test_token_corpus(spark, tmp_path):
     docs = spark.createDataFrame([(1, ["a", "b"]), (2, [])], "doc_id int, tokens array<string>")
     I.write_tokens(docs, str(tmp_path / "t"))
     assert sorted(map(tuple, I.read_tokens(spark, str(tmp_path / "t")).collect())) == [(1, ["a", "b"]), (2, [])]
+
+
+def test_stopwords_are_sparks(spark):
+    from pyspark.ml.feature import StopWordsRemover
+
+    assert K.default_stopwords() == StopWordsRemover.loadDefaultStopWords("english")
