@@ -136,13 +136,17 @@ def nested_blocks(markup: Column, tag: str, cls=None, **attrs: str) -> Column:
     A block inside a block of the same class starts a block of its own.
     """
     opening = rf"(?is){open_tag(tag, cls, **attrs)}"
-    starts = F.regexp_extract_all(markup, F.lit(opening), F.lit(0))
-    rests = F.split(markup, opening)
-    return F.zip_with(
-        starts,
-        F.slice(rests, 2, F.size(rests)),
-        lambda start, rest: F.concat(start, _balanced(rest, tag)),
-    )
+
+    def blocks(page: Column) -> Column:
+        starts = F.regexp_extract_all(page, F.lit(opening), F.lit(0))
+        rests = F.split(page, opening)
+        return F.zip_with(
+            starts,
+            F.slice(rests, 2, F.size(rests)),
+            lambda start, rest: F.concat(start, _balanced(rest, tag)),
+        )
+
+    return bind(markup, blocks)
 
 
 def first_block(

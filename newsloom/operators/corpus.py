@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words with inner apostrophes or hyphens, single symbols, and runs of line breaks.
-# Punctuation never becomes a token; line breaks do, as in the reference corpus.
+# Punctuation never becomes a token; line breaks do.
 TOKEN = r"[\p{L}\p{M}\p{N}]+(?:['’\-][\p{L}\p{M}\p{N}]+)*|\p{S}|[\r\n]+"
 TOKEN_NO_BREAKS = r"[\p{L}\p{M}\p{N}]+(?:['’\-][\p{L}\p{M}\p{N}]+)*|\p{S}"
 

@@ -144,10 +144,10 @@ class ListingProfile:
     block: tuple[str, str | None]
     picks: dict[str, Pick]
     key: str  # "segment", "segment:<cut>", "uuid5:title" or "attr:<name>"
-    required: tuple[str, ...]
+    skip_without: tuple[str, ...] = ()
+    raise_without: tuple[str, ...] = ()
     nested: bool = False
     base: str | None = None
-    on_missing: str = "skip"
 
 
 _PREVIEW = {
@@ -167,7 +167,8 @@ PROFILES: dict[str, ListingProfile] = {
             "url": Pick("a", ("anc", "ancs"), attr="href", squeeze=False),
         },
         key="segment:.",
-        required=("url",),
+        skip_without=("url",),
+        raise_without=("title",),
     ),
     "eec": ListingProfile(
         block=("li", None),
@@ -177,9 +178,8 @@ PROFILES: dict[str, ListingProfile] = {
             "summary": Pick("p", strip_each=False),
         },
         key="segment:?",
-        required=("url", "summary"),
+        raise_without=("url", "summary"),
         base="https://energy.economictimes.indiatimes.com",
-        on_missing="raise",
     ),
     "saur": ListingProfile(
         block=("article", None),
@@ -195,29 +195,29 @@ PROFILES: dict[str, ListingProfile] = {
             ),
         },
         key="attr:id",
-        required=("url", "date_published", "author", "summary"),
-        on_missing="raise",
+        raise_without=("article_id", "url", "date_published", "author", "summary"),
     ),
     "pvmag": ListingProfile(
         block=("div", "article-preview"),
         picks=_PREVIEW,
         key="uuid5:title",
-        required=("title", "date_published", "author", "summary"),
+        raise_without=("title", "url", "date_published", "author", "summary"),
         nested=True,
-        on_missing="raise",
     ),
     "pvmag_us": ListingProfile(
         block=("div", "article-preview"),
         picks=_PREVIEW,
         key="uuid5:title",
-        required=("title",),
+        skip_without=("title",),
+        raise_without=("url", "date_published", "author"),
         nested=True,
     ),
     "pvmag_global": ListingProfile(
         block=("div", "article-preview"),
         picks=_PREVIEW,
         key="uuid5:title",
-        required=("title",),
+        skip_without=("title",),
+        raise_without=("url", "date_published", "author"),
         nested=True,
     ),
 }
@@ -270,9 +270,10 @@ def extract_listing(
     # Laid out through a one-row list: a filter on a field is then not pushed below
     # it, where Spark would read the field a second time.
     rows = blocks.select(*keep, "block", F.inline(F.array(F.struct(*fields))))
-    rows = require(rows, profile.required, profile.on_missing)
+    rows = require(rows, profile.skip_without, "skip")
     key = _listing_key(profile.key, F.col("block"))
-    return rows.select(*keep, key.alias("article_id"), *LISTING_COLUMNS)
+    rows = rows.select(*keep, key.alias("article_id"), *LISTING_COLUMNS)
+    return require(rows, profile.raise_without, "raise")
 
 
 def extract_jsonld(

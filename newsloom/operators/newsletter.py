@@ -101,11 +101,17 @@ def link_matrix(
 ) -> DataFrame:
     """The index with a row for every day and category; ``url`` null where empty."""
     labels = F.array(*[F.lit(c) for c in categories])
-    grid = days.select("nl_date").distinct().withColumn("category", F.explode(labels))
-    return grid.join(
-        distinct_links(index.select("nl_date", "category", "url")),
-        ["nl_date", "category"],
-        "left",
+    asked = days.select("nl_date").distinct()
+    links = distinct_links(index.select("nl_date", "category", "url")).filter(
+        F.col("url").isNotNull() & F.col("category").isin(*categories)
+    )
+    # Only cells are joined, never the links in them: a cell may hold very many.
+    full = links.select("nl_date", "category").distinct()
+    empty = asked.withColumn("category", F.explode(labels)).join(
+        full, ["nl_date", "category"], "left_anti"
+    )
+    return links.join(asked, "nl_date", "left_semi").unionByName(
+        empty.withColumn("url", F.lit(None).cast("string"))
     )
 
 

@@ -197,3 +197,20 @@ def test_store_rewrites_its_partitions_only(spark, tmp_path):
     J.write_store(spark.createDataFrame([(1, "a", "x"), (2, "a", "y")], cols), path)
     J.write_store(spark.createDataFrame([(3, "a", "y")], cols), path)
     assert sorted(r.id for r in J.read_store(spark, path).collect()) == [1, 3]
+
+
+def test_indented_file_read_by_many_tasks(spark, tmp_path):
+    store = {
+        str(i): {"v": "x" * (i % 97), "d": {"a": [{"b": "\n    },\n"}], "n": i}} for i in range(3000)
+    }
+    (tmp_path / "big.json").write_text(json.dumps(store, indent=4))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5003")
+    try:
+        df = J.read_keyed_json(spark, str(tmp_path / "big.json"), "v string, d string", indented=True)
+        assert df.rdd.getNumPartitions() > 50
+        got = {r.article_id: (r.v, json.loads(r.d)) for r in df.collect()}
+        assert df.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {k: (v["v"], v["d"]) for k, v in store.items()}

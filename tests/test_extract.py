@@ -87,6 +87,12 @@ def test_preview_listing_that_needs_all(spark):
             E.extract_listing(preview_page(spark, broken), "pvmag").collect()
 
 
+def test_preview_listing_without_a_date_stops(spark):
+    item = ITEM.format(n=1, lead=LEAD).replace("<time", "<span").replace("</time", "</span")
+    with pytest.raises(Exception, match="item without date_published"):
+        E.extract_listing(preview_page(spark, item), "pvmag_global").collect()
+
+
 def test_body(page):
     pages = page("article_body.html")
     container = ("div", "entry-content clearfix")
