@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from newsloom.functions.text import bind
+
 # Answer keys, the answer form shown in a prompt, gate and budget.
 SOLAR_KEYS = ("solar", "notSolar")
 THEME_KEYS = ("pr", "mi", "ti", "pa", "fi")
@@ -163,16 +165,21 @@ def parse_scores(
     answer = _col(answer)
     # As text first: a double field would turn a quoted number into null.
     texts = F.from_json(answer, ", ".join(f"`{k}` string" for k in keys))
-    out = []
-    for k in keys:
-        value = texts[k].try_cast("double")
-        if on_error == "raise":
-            failed = F.raise_error(F.concat(F.lit(f"no score {k} in "), answer))
-            value = F.when(value.isNotNull() | answer.isNull(), value).otherwise(
-                failed.cast("double")
-            )
-        out.append(value.alias(k))
-    return F.struct(*out)
+
+    def read(found: Column) -> Column:
+        out = []
+        for k in keys:
+            value = found[k].try_cast("double")
+            if on_error == "raise":
+                failed = F.raise_error(F.concat(F.lit(f"no score {k} in "), answer))
+                value = F.when(value.isNotNull() | answer.isNull(), value).otherwise(
+                    failed.cast("double")
+                )
+            out.append(value.alias(k))
+        return F.struct(*out)
+
+    # Bound, as each key would otherwise have the answer parsed for itself.
+    return bind(texts, read)
 
 
 def answer_pattern(keys: tuple[str, ...]) -> str:
@@ -217,9 +224,16 @@ def lexicon_answer(words: Column | str, lexicons: dict[str, list[str]]) -> Colum
     what the first one leaves, ``1 - p``.
     """
     words = _col(words)
-    first = _share(words, next(iter(lexicons.values())))
-    scores = []
-    for key, listed in lexicons.items():
-        p = _share(words, listed) if listed else F.round(F.lit(1.0) - first, 6)
-        scores.append(p.alias(key))
-    return F.to_json(F.struct(*scores))
+    shares = F.array(*[_share(words, listed) for listed in lexicons.values() if listed])
+
+    def answer(found: Column) -> Column:
+        scores, at = [], 0
+        for key, listed in lexicons.items():
+            if listed:
+                p, at = found[at], at + 1
+            else:
+                p = F.round(F.lit(1.0) - found[0], 6)
+            scores.append(p.alias(key))
+        return F.to_json(F.struct(*scores))
+
+    return bind(shares, answer)

@@ -107,7 +107,11 @@ _TAG = "CASE " + " ".join(
     for tag, given in SHAPES.items()
 ) + " END"
 _UTC = "('pvmag_global', 'pvmag_us')"
-SQL_ARTICLES = f"""
+
+
+def sql_articles(tag: str) -> str:
+    """SQL for the article table, each document in the shape of its tag."""
+    return f"""
   SELECT doc_id, tag AS source, 'https://x.example/' || {sql_uuid5('text')} AS url,
     {sql_squeeze('string_split(text, chr(10))[1]')} AS title, text AS body,
     CASE WHEN tag = 'mercom' OR (lang = 'fr' AND tag NOT IN ('ec', 'eec', 'nleec')) THEN NULL
@@ -118,11 +122,14 @@ SQL_ARTICLES = f"""
            CASE lang WHEN 'en' THEN [lang, source] WHEN 'fr' THEN [lang || ',' || source]
                      WHEN 'de' THEN [CAST(n_chars AS VARCHAR)] ELSE CAST([] AS VARCHAR[]) END
          WHEN tag = 'mercom' THEN [lang, source] WHEN tag = 'saur' THEN [lang] END AS kws
-  FROM (SELECT *, {_TAG} AS tag, DATE '2024-01-01' + CAST(n_chars % 366 AS INT) AS day
+  FROM (SELECT *, {tag} AS tag, DATE '2024-01-01' + CAST(n_chars % 366 AS INT) AS day
         FROM documents)
 """
 
 
+SQL_ARTICLES = sql_articles(_TAG)
+
+
 @query(
     "u1_articles_by_source_month",
     f"""SELECT source, strftime(date, '%Y-%m') AS month, count(*) AS n_articles,
@@ -168,14 +175,28 @@ def u1_other(spark: SparkSession, d: str) -> DataFrame:
     return docs.unionByName(turns, allowMissingColumns=True)
 
 
+_FAMILIES = ("ec", "mercom", "saur", "pvmag_us")
+
+
 @query(
     "p8_conform",
-    f"""SELECT source, url, title, body, CAST(date AS VARCHAR) AS date
-        FROM ({SQL_ARTICLES}) WHERE source = 'saur'""",
+    " UNION ALL ".join(
+        f"""SELECT source, url, title, summary, body, CAST(date AS VARCHAR) AS date
+            FROM ({sql_articles(repr(tag))})"""
+        for tag in _FAMILIES
+    ),
 )
 def p8(spark: SparkSession, d: str) -> DataFrame:
-    saur = C.conform(source_frames(spark, d)["saur"], "saur")
-    return saur.select("source", "url", "title", "body", F.col("date").cast("string").alias("date"))
+    """All documents in the shape of each family of sources."""
+    docs = table(spark, d, "documents")
+    shapes = _shape_columns()
+    frames = [
+        C.conform(docs.select(*[v.alias(n) for n, v in shapes[tag].items()]), tag)
+        for tag in _FAMILIES
+    ]
+    return C.union_sources(frames).select(
+        "source", "url", "title", "summary", "body", F.col("date").cast("string").alias("date")
+    )
 
 
 @query("p10_tag_source", "SELECT doc_id, 'mercom' AS source FROM documents")

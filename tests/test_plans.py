@@ -35,7 +35,7 @@ def test_plan(spark, name):
 def test_columns_are_pruned_and_filters_pushed(spark):
     text = plan(entry.queries()["a3_category_counts"](spark, SF))
     assert "ReadSchema: struct<user_id:bigint,event_type:string>" in text
-    text = plan(entry.queries()["p8_conform"](spark, SF))
+    text = plan(entry.queries()["u1_union_sources"](spark, SF))
     assert "PushedFilters: [In(source" in text
     text = plan(entry.queries()["s5_read_table"](spark, SF))
     assert "l_shipdate" not in text
