@@ -109,6 +109,42 @@ def extract_tags(
     return rows.select(*pages.columns, F.when(there, tags).alias("key_words"))
 
 
+@dataclass(frozen=True)
+class BodyProfile:
+    """Where a site's article pages hold the text and the tags."""
+
+    container: tuple[str, str]
+    tags: tuple[str, str] | None = None
+    drop_last: int = 0
+    on_missing: str = "null"
+
+
+# Containers of text and tags; some sites end with a paragraph that is
+# no part of the article.
+_MAGAZINE = BodyProfile(("div", "entry-content"), drop_last=1, on_missing="raise")
+BODY_PROFILES: dict[str, BodyProfile] = {
+    "saur": BodyProfile(("div", "entry-content clearfix"), ("div", "entry-tags")),
+    "pvmag": _MAGAZINE,
+    "pvmag_us": _MAGAZINE,
+    "pvmag_global": _MAGAZINE,
+}
+
+
+def article_bodies(pages: DataFrame, source: str, html: str = "html") -> DataFrame:
+    """Add ``body`` and ``key_words`` of a site's article pages; both null for no page."""
+    profile = BODY_PROFILES[source]
+    rows = extract_body(
+        pages,
+        profile.container,
+        drop_last=profile.drop_last,
+        on_missing=profile.on_missing,
+        html=html,
+    )
+    if profile.tags is None:
+        return rows.withColumn("key_words", F.lit(None).cast("array<string>"))
+    return extract_tags(rows, profile.tags, html=html)
+
+
 @dataclass(frozen=True)
 class Pick:
     """Where one field sits inside an item block.
@@ -330,3 +366,11 @@ def apply_jsonld_policy(
     return good, letters.select(
         F.col(key).alias("entry"), F.col("problem").alias("reason")
     )
+
+
+def article_records(
+    pages: DataFrame, source: str, key: str = "url", html: str = "html"
+) -> tuple[DataFrame, DataFrame]:
+    """JSON-LD records of a site's article pages, and its dead letters."""
+    rows = extract_jsonld(pages, drop_breaks=source == "ec", html=html)
+    return apply_jsonld_policy(rows, source, key)

@@ -107,13 +107,21 @@ def o5(spark: SparkSession, d: str) -> DataFrame:
     return L.split(table(spark, d, "documents"), "doc_id").select("doc_id", "side")
 
 
-@query("m4_title_regressor")
+@query(
+    "m4_title_regressor",
+    """SELECT doc_id, CASE WHEN CAST('0x' || substr(md5(doc_id || '-42'), 1, 8) AS BIGINT) % 100 < 10
+         THEN 'test' ELSE 'train' END AS side, CAST(quality AS DOUBLE) AS label, true AS predicted
+       FROM documents JOIN labels USING (doc_id)""",
+)
 def m4(spark: SparkSession, d: str) -> DataFrame:
-    """A trained model's predictions have no twin in SQL."""
+    """Values of a trained model cannot be told in SQL; rows, sides and labels can."""
     labels = table(spark, d, "labels").select(
         "doc_id", F.col("quality").cast("double").alias("label")
     )
     rows = table(spark, d, "documents").select("doc_id", "text").join(labels, "doc_id")
     sides = L.split(rows, "doc_id")
     model = L.train_title_regressor(sides.filter("side = 'train'"), max_iter=10)
-    return model.transform(sides).select("doc_id", "side", "label", "prediction")
+    value = F.col("prediction")
+    return model.transform(sides).select(
+        "doc_id", "side", "label", (~F.isnan(value) & (F.abs(value) < 1e6)).alias("predicted")
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import scores as S
 from newsloom.operators import incremental as I
 from newsloom.operators import scoring as R
+from newsloom.plans import acquire as A
 from newsloom.plans import titles as T
 from newsloom.plans import words as W
 from newsloom.sources import keyed_json as J
@@ -71,3 +72,90 @@ def test_link_index_and_dead_letters(spark, tmp_path):
     links = spark.createDataFrame([("1",), ("2",)], "article_id string")
     left = I.exclude_all(links, [links.limit(0)], dead)
     assert [r.article_id for r in left.select(F.col("article_id")).collect()] == ["2"]
+
+
+def landed(spark, pages):
+    rows = [("pvmag_us", n, html) for n, html in enumerate(pages)]
+    return spark.createDataFrame(rows, "source string, page int, html string")
+
+
+def item(n):
+    return (
+        f'<div class="article-preview"><h2 class="entry-title"><a href="h/{n}">T{n}</a></h2>'
+        f'<time class="entry-published updated" datetime="2024-01-0{n}"></time>'
+        '<span class="entry-author">A</span></div>'
+    )
+
+
+def test_listing_then_bodies(spark):
+    first = A.take_new(spark, landed(spark, [item(3) + item(2), item(2) + item(1)]), "pvmag_us", None)
+    # A first load does not stop at a repeat.
+    assert sorted(r.title for r in spark.read.parquet(first).collect()) == ["T1", "T2", "T3"]
+    second = A.take_new(spark, landed(spark, [item(5) + item(4) + item(3) + item(6)]), "pvmag_us", first)
+    titles = {r.title: r.page for r in spark.read.parquet(second).collect()}
+    assert sorted(titles) == ["T1", "T2", "T3", "T4", "T5"]
+    assert A.urls_to_fetch(spark, second).count() == 5
+    pages = spark.createDataFrame(
+        [
+            ("h/1", '<div class="entry-content"><p>One</p><p>ad</p></div>'),
+            ("h/2", None),
+            ("h/9", "<p>nobody asked</p>"),
+        ],
+        "url string, html string",
+    )
+    third = A.fill_bodies(spark, second, pages, "pvmag_us")
+    bodies = {r.title: r.body for r in spark.read.parquet(third).collect()}
+    assert bodies == {"T1": "One", "T2": None, "T3": None, "T4": None, "T5": None}
+    assert A.urls_to_fetch(spark, third).count() == 4
+    # A page that is fetched again does not replace a body that is there.
+    again = pages.withColumn("html", F.lit('<div class="entry-content"><p>X</p><p>ad</p></div>'))
+    fourth = A.fill_bodies(spark, third, again, "pvmag_us")
+    bodies = {r.title: r.body for r in spark.read.parquet(fourth).collect()}
+    assert bodies["T1"] == "One" and bodies["T2"] == "X"
+
+
+def test_api_rows_without_content_stay_unknown(spark):
+    def answer(*posts):
+        nodes = [
+            {"id": i, "slug": i, "date": "2024-01-01", "content": c, "title": i,
+             "categories": {"nodes": []}, "author": {"node": {"name": "A"}}}
+            for i, c in posts
+        ]
+        return json.dumps({"data": {"posts": {"nodes": nodes}}})
+
+    rows = [
+        ("mercom", 0, answer(("a", "<p>x</p>"), ("b", None), ("b", "<p>y</p>"))),
+        ("mercom", 1, answer(("c", "<p>z</p>"), ("a", "<p>w</p>"), ("d", "<p>v</p>"))),
+    ]
+    frame = spark.createDataFrame(rows, "source string, page int, payload string")
+    store = spark.read.parquet(A.take_new(spark, frame, "mercom", None))
+    assert {r.article_id: r.body for r in store.collect()} == {"a": "x", "b": "y", "c": "z"}
+
+
+def test_article_records(spark, page):
+    from newsloom.operators.extract import article_records
+
+    pages = page("article_jsonld.html").withColumn("url", F.lit("u"))
+    good, dead = article_records(pages, "ec")
+    assert good.first().data.headline == "Real" and dead.count() == 0
+    good, dead = article_records(pages, "eec")
+    assert good.count() == 0 and dead.count() == 0
+
+
+def test_saur_bodies(page):
+    from newsloom.operators.extract import article_bodies
+
+    row = article_bodies(page("article_body.html"), "saur").first()
+    assert row.body == "One bold Two x Open Last" and row.key_words == ["solar", "r & d"]
+
+
+def test_rows_without_details_may_come_again(spark):
+    def li(n):
+        return f'<li><a class="anc" title="T{n}" href="/s/{n}.cms">x</a></li>'
+
+    rows = [("ec", 1, li(1) + li(2)), ("ec", 2, li(2) + li(3) + li(1) + li(4))]
+    pages = spark.createDataFrame(rows, "source string, page int, html string")
+    details = spark.createDataFrame([("1", "H1"), ("3", "H3"), ("4", "H4")], "article_id string, headline string")
+    store = spark.read.parquet(A.take_new(spark, pages, "ec", None, details))
+    # 2 failed twice and stopped nothing; the second 1 did stop the listing.
+    assert {r.article_id: r.headline for r in store.collect()} == {"1": "H1", "3": "H3"}
