@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.text import bind, squeeze_ws, strip_ws, unescape_html
 
-_NOISE = r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>"
-_COMMENT = r"(?s)<!--.*?-->"
+# What is never closed runs to the end of the page; that also keeps a page with many
+# openings and no end from being read once for each of them.
+_NOISE = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)"
+_COMMENT = r"(?s)<!--.*?(?:-->|\z)"
 _TAG = r"<[^>]*>"
 
 

@@ -7,9 +7,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words with inner apostrophes or hyphens, single symbols, and runs of line breaks.
-# Punctuation never becomes a token; line breaks do.
-TOKEN = r"[\p{L}\p{M}\p{N}]+(?:['’\-][\p{L}\p{M}\p{N}]+)*|\p{S}|[\r\n]+"
-TOKEN_NO_BREAKS = r"[\p{L}\p{M}\p{N}]+(?:['’\-][\p{L}\p{M}\p{N}]+)*|\p{S}"
+# Punctuation never becomes a token; line breaks do. The group is possessive, as a
+# group that may step back is matched by recursion and a long enough chain of
+# hyphens would overflow the stack.
+_WORD = r"[\p{L}\p{M}\p{N}]+(?:['’\-][\p{L}\p{M}\p{N}]+)*+"
+TOKEN_NO_BREAKS = _WORD + r"|\p{S}"
+TOKEN = TOKEN_NO_BREAKS + r"|[\r\n]+"
 
 # Word-vector settings and the length of a nearest-words list.
 VECTOR_SIZE = 300

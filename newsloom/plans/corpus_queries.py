@@ -11,8 +11,10 @@ from newsloom.operators import corpus as K
 from newsloom.plans.registry import query, quote, sql_list, table
 
 STOP = K.default_stopwords()
+# The other engine has no possessive groups; nothing follows this one, so it is the same.
+SQL_TOKEN = K.TOKEN.replace(")*+", ")*")
 
-_TOKENS = f"""SELECT doc_id, list_filter(regexp_extract_all(text, {quote(K.TOKEN)}),
+_TOKENS = f"""SELECT doc_id, list_filter(regexp_extract_all(text, {quote(SQL_TOKEN)}),
   lambda t: NOT list_contains({sql_list(STOP)}, lower(t))) AS kept FROM documents"""
 SQL_CORPUS = f"SELECT doc_id, list_transform(kept, lambda t: lower(t)) AS tokens FROM ({_TOKENS})"
 _WORDS = f"SELECT doc_id, unnest(tokens) AS token FROM ({SQL_CORPUS})"
