@@ -18,7 +18,10 @@ from newsloom.functions.text import bind, squeeze_ws, strip_ws, unescape_html
 # openings and no end from being read once for each of them.
 _NOISE = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)"
 _COMMENT = r"(?s)<!--.*?(?:-->|\z)"
-_TAG = r"<[^>]*>"
+# Rest of a tag after its name; a quoted value may hold the sign that ends a tag.
+_TAIL = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>"
+# A sign that no name follows is text.
+_TAG = r"<(?:/?[A-Za-z]|[!?])" + _TAIL
 
 
 def _col(c: Column | str) -> Column:
@@ -42,7 +45,7 @@ def open_tag(tag: str, cls: str | tuple[str, ...] | None = None, **attrs: str) -
         pattern += rf"(?=[^>]*\sclass\s*=\s*(?:{wanted}))"
     for name, value in attrs.items():
         pattern += rf"(?=[^>]*\s{name}\s*=\s*[\"']?{re.escape(value)}[\"'\s>])"
-    return pattern + r"[^>]*>"
+    return pattern + _TAIL
 
 
 def _class_value(cls: str) -> str:
@@ -113,7 +116,7 @@ def _balanced(rest: Column, tag: str) -> Column:
 
     An element that is never closed runs to the end of the page.
     """
-    pattern = rf"(?i)<(/?){tag}\b[^>]*>"
+    pattern = rf"(?i)</?{tag}\b" + _TAIL
 
     def cut(marks: Column) -> Column:
         pieces = F.split(rest, pattern)
@@ -176,7 +179,7 @@ def first_block(
 
 def paragraphs(markup: Column) -> Column:
     """Inner markup of each ``<p>`` in order; a new ``<p>`` closes an open one."""
-    pieces = F.split(markup, r"(?i)<p(?:\s[^>]*)?>")
+    pieces = F.split(markup, r"(?i)<p(?=[\s>])" + _TAIL)
     return F.transform(
         F.slice(pieces, 2, F.size(pieces)),
         lambda p: F.get(F.split(p, r"(?i)</p\s*>", 2), F.lit(0)),

@@ -188,3 +188,13 @@ def test_nested_blocks_unclosed(spark):
     assert blocks == ['<div class="b"><div>a</div>x', '<div class="b">y<div>z']
     first = df.select(M.first_block(F.col("html"), "div", "b", nested=True)).first()[0]
     assert first == blocks[0]
+
+
+def test_signs_that_are_no_tags(spark):
+    html = '<p title="a > b">1 < 2 and <img alt="x > y" src=\'z\'>3 > 2</p><a href="/u" title="p > q">t</a>'
+    df = spark.createDataFrame([(1, html)], "page_id int, html string")
+    assert E.extract_body(df).first().body == "1 < 2 and 3 > 2"
+    link = E.extract_anchors(df).first()
+    assert (link.href, link.title, link.text) == ("/u", "p > q", "t")
+    stray = spark.createDataFrame([(1, '<p class=x">one</p><p a="b>two</p>')], "i int, html string")
+    assert E.extract_body(stray).first().body == "one two"
