@@ -91,7 +91,8 @@ def lemmatize(docs: DataFrame, lemmas: DataFrame, key: str = "doc_id") -> DataFr
         asked.join(lemmas.select("token", "lemma"), "token")
         .groupBy(key)
         .agg(
-            F.collect_list(
+            # A set, so that documents which share a key do no harm.
+            F.collect_set(
                 F.struct(F.hash("token").alias("h"), F.struct("token", "lemma").alias("p"))
             ).alias("_pairs")
         )

@@ -128,8 +128,13 @@ def resume(
 
 
 def article_key(url: str = "url", source: str = "source", title: str = "title") -> Column:
-    """Key of an article that does not depend on row order."""
-    return F.xxhash64(source, url, title)
+    """Key of an article that does not depend on row order.
+
+    128 bits, as a hash of 64 would give different articles the same key once there
+    are some billions of them.
+    """
+    parts = [F.coalesce(F.col(c), F.lit("\x00")) for c in (source, url, title)]
+    return F.md5(F.concat_ws("\x1f", *parts))
 
 
 def to_score(

@@ -20,11 +20,10 @@ def build_corpus(
 ) -> DataFrame:
     """Preprocess and shuffle a line corpus and write its tokens.
 
-    A line's hash stands for its place, as lines of a split file have none.
+    A line's hash stands for its place, as lines of a split file have none. Equal
+    lines share it and are all kept.
     """
-    docs = I.read_lines(spark, lines).select(
-        F.xxhash64("text", F.lit(seed)).alias("doc_id"), "text"
-    )
+    docs = I.read_lines(spark, lines).select(F.md5("text").alias("doc_id"), "text")
     tokens = K.preprocess(docs, "text", stopwords, lemmas)
     I.write_tokens(K.shuffled(tokens, seed), out)
     return I.read_tokens(spark, out)

@@ -9,10 +9,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+SHUFFLE_TARGET = 256 * 2**20
+
+
+def shuffle_partitions(input_bytes: int, cores: int = 0) -> int:
+    """How many partitions a shuffle of that many bytes should have.
+
+    About 256 MB each and no fewer than 200 or three per core; adaptive execution
+    joins the ones that turn out small.
+    """
+    return max(200, 3 * cores, min(100_000, -(-input_bytes // SHUFFLE_TARGET)))
+
+
 def build_session(
-    app: str = "newsloom", master: str | None = None, **conf: str
+    app: str = "newsloom",
+    master: str | None = None,
+    input_bytes: int | None = None,
+    **conf: str,
 ) -> SparkSession:
-    """A session with adaptive execution, skew handling and UTC dates on."""
+    """A session with adaptive execution, skew handling and UTC dates on.
+
+    ``input_bytes``, the size of what a job reads, sets the number of shuffle
+    partitions. Options are given with ``__`` in place of dots.
+    """
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
@@ -23,6 +42,10 @@ def build_session(
     )
     if master:
         builder = builder.master(master)
+    if input_bytes is not None:
+        builder = builder.config(
+            "spark.sql.shuffle.partitions", str(shuffle_partitions(input_bytes))
+        )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()

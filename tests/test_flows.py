@@ -49,8 +49,10 @@ def test_words(spark, tmp_path):
     lines = tmp_path / "corpus.txt"
     lines.write_text("\n".join(["solar panel park"] * 9 + ["coal mine pit"] * 9))
     # Equal lines have equal keys and are all kept.
-    tokens = W.build_corpus(spark, str(lines), str(tmp_path / "tokens"))
-    assert tokens.count() == 18
+    lemmas = spark.createDataFrame([("panel", "board"), ("pit", "hole")], "token string, lemma string")
+    tokens = W.build_corpus(spark, str(lines), str(tmp_path / "tokens"), lemmas=lemmas)
+    got = sorted(" ".join(r.tokens) for r in tokens.collect())
+    assert got == ["coal mine hole"] * 9 + ["solar board park"] * 9
     near = W.nearest_words(spark, tokens, "solar", 3, size=4, epochs=1, min_count=2)
     assert len({r.word for r in near.collect()} - {"solar"}) == 3
 

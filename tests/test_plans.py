@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from newsloom.operators import incremental as I
-from newsloom.session import small_side
+from newsloom.session import shuffle_partitions, small_side
 
 SF = "/root/testdata/sf0.001"
 # The scorer interface is Python by nature; everything else is native.
@@ -68,3 +68,10 @@ def test_small_side_has_a_bound(spark):
     big = spark.range(10**9)
     assert "BroadcastHashJoin" in plan(big.join(small, "id"))
     assert small_side(df, 49) is df
+
+
+def test_shuffle_partitions():
+    assert shuffle_partitions(10**6) == 200
+    assert shuffle_partitions(10**12) == 3726
+    assert shuffle_partitions(10**6, cores=4000) == 12_000
+    assert shuffle_partitions(10**14) == 100_000
