@@ -29,21 +29,28 @@ def _place(df: DataFrame, order: list[str]) -> Column:
     return F.struct(*order)
 
 
-def new_only(listing: DataFrame, store: DataFrame, keys: list[str]) -> DataFrame:
-    """Listing rows whose key is not in the store."""
-    return listing.join(store.select(*keys), keys, "left_anti")
-
-
 def known_keys(listing: DataFrame, store: DataFrame, keys: list[str]) -> DataFrame:
     """Keys of the listing that the store holds.
 
-    For a small listing against a big store: the listing side is what Spark
-    broadcasts, so the store is read once and not shuffled.
+    The listing's keys are the side Spark broadcasts if they are few, so a big
+    store is read once, keys only, and not shuffled.
     """
     wanted = listing.select(*keys).distinct()
     return store.select(*keys).join(wanted, keys, "left_semi").distinct()
 
 
+def new_only(
+    listing: DataFrame, store: DataFrame, keys: list[str], big_store: bool = True
+) -> DataFrame:
+    """Listing rows whose key is not in the store.
+
+    With ``big_store`` the listing is read twice so that the store need not be
+    shuffled for a small listing; without it one plain anti-join does it.
+    """
+    known = known_keys(listing, store, keys) if big_store else store.select(*keys)
+    return listing.join(known, keys, "left_anti")
+
+
 def exclude_all(
     links: DataFrame,
     stores: list[DataFrame],
@@ -86,7 +93,7 @@ def stop_places(
     keys = [*part, key]
     rows = listing.select(*keys, _place(listing, order).alias("_place"), *_flag(registered))
     stored = (
-        rows.join(store.select(*keys), keys, "left_semi")
+        rows.join(known_keys(rows, store, keys), keys, "left_semi")
         .groupBy(*part)
         .agg(F.min("_place").alias("_stop"))
     )

@@ -61,6 +61,19 @@ def test_small_batch_leaves_the_store_where_it_is(spark, tmp_path):
     assert f"{path}]" in store_side and "hashpartitioning" not in store_side
 
 
+def test_small_listing_leaves_the_store_where_it_is(spark, tmp_path):
+    path, small = str(tmp_path / "store"), str(tmp_path / "listing")
+    spark.range(1000).selectExpr("id AS k").write.parquet(path)
+    spark.range(5).selectExpr("id * 900 AS k").write.parquet(small)
+    got = I.new_only(spark.read.parquet(small), spark.read.parquet(path), ["k"])
+    text = plan(got)
+    assert "SortMergeJoin" not in text
+    scan = text.index(f"{path}]")
+    semi = text.rindex("LeftSemi", 0, scan)
+    assert "Exchange" not in text[semi:scan]
+    assert sorted(r.k for r in got.collect()) == [1800, 2700, 3600]
+
+
 def test_small_side_has_a_bound(spark):
     df = spark.range(50).withColumn("x", F.lit(1))
     small = small_side(df, 50)
