@@ -32,7 +32,7 @@ def sql_text(x: str) -> str:
 
 
 _ANCHORS = f"""
-  SELECT page_id, url, pos - 1 AS pos, regexp_extract(a, 'href="([^"]*)"', 1) AS href,
+  SELECT page_id, url, CAST(pos - 1 AS INT) AS pos, regexp_extract(a, 'href="([^"]*)"', 1) AS href,
          {sql_squeeze(sql_text('a'))} AS text
   FROM (SELECT page_id, url, unnest(xs) AS a, generate_subscripts(xs, 1) AS pos
         FROM (SELECT page_id, url,
@@ -104,7 +104,7 @@ def p2_quarantine(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "p3_blocks",
-    f"""SELECT page_id, pos - 1 AS pos, {sql_text('b')} AS item
+    f"""SELECT page_id, CAST(pos - 1 AS INT) AS pos, {sql_text('b')} AS item
         FROM (SELECT page_id, unnest(xs) AS b, generate_subscripts(xs, 1) AS pos
               FROM (SELECT page_id, regexp_extract_all({CLEAN}, '(?is)<li\\b[^>]*>.*?</li>') AS xs
                     FROM pages))""",
