@@ -181,13 +181,16 @@ def score_titles(
 
 
 def lexicon_scorer(lexicons: dict[str, list[str]]) -> Callable[[DataFrame], DataFrame]:
-    """The built-in scorer, in native expressions."""
+    """The built-in scorer, in native expressions.
+
+    It leaves the words of the title behind for the next one, so that several such
+    scorers split a title only once.
+    """
 
     def answer(rows: DataFrame) -> DataFrame:
-        words = rows.withColumn("_words", S.title_words("title"))
-        return words.withColumn("answer", S.lexicon_answer("_words", lexicons)).drop(
-            "_words"
-        )
+        if "_words" not in rows.columns:
+            rows = rows.withColumn("_words", S.title_words("title"))
+        return rows.withColumn("answer", S.lexicon_answer("_words", lexicons))
 
     return answer
 
@@ -204,7 +207,8 @@ def prompt_scorer(
     """A scorer that renders the prompt and hands it to a registered function."""
 
     def answer(rows: DataFrame) -> DataFrame:
-        prompts = rows.withColumn(
+        # Nothing goes to Python that need not.
+        prompts = rows.drop("_words").withColumn(
             "prompt", S.render_prompt("title", template, keys, wrapper, **prompt_parts)
         )
         return map_answers(

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from newsloom.functions.text import truncate_tokens
 from newsloom.operators import corpus as K
 from newsloom.plans.registry import query, quote, sql_list, table
+from newsloom.session import fresh_path
+from newsloom.sources import files as I
 
 STOP = K.default_stopwords()
 # The other engine has no possessive groups; nothing follows this one, so it is the same.
@@ -25,6 +27,13 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
     return K.preprocess(table(spark, d, "documents"))
 
 
+def stored_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """The same, written down first, for steps that read it more than once."""
+    path = fresh_path(spark, "tokens")
+    I.write_tokens(corpus(spark, d), path)
+    return I.read_tokens(spark, path)
+
+
 @query(
     "p19_filter_tokens",
     f"SELECT doc_id, array_to_string(kept, ' ') AS kept FROM ({_TOKENS})",
@@ -103,7 +112,7 @@ def plural_lemmas(vocab: DataFrame) -> DataFrame:
         ON c.doc_id = t.doc_id""",
 )
 def j9(spark: SparkSession, d: str) -> DataFrame:
-    docs = corpus(spark, d)
+    docs = stored_corpus(spark, d)
     done = K.lemmatize(docs, plural_lemmas(K.vocabulary(docs)))
     return done.select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
@@ -156,7 +165,7 @@ def m3(spark: SparkSession, d: str) -> DataFrame:
 )
 def m2(spark: SparkSession, d: str) -> DataFrame:
     """Values of a trainer cannot be told in SQL; vocabulary and shape can."""
-    model = K.train_vectors(corpus(spark, d), size=16, epochs=1)
+    model = K.train_vectors(stored_corpus(spark, d), size=16, epochs=1)
     finite = F.forall("vector", lambda x: ~F.isnan(x) & (F.abs(x) < 1e6))
     return K.word_vectors(model).select(
         "word", F.size("vector").alias("dim"), finite.alias("finite")
