@@ -17,6 +17,12 @@ CATEGORY_PREFIX = "news%2F"
 # Unicode white space plus the four ASCII separators that count as blank too.
 WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
 
+# The same characters one by one, for trimming without a pattern.
+_BLANKS = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
+    "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 _ENTITY_NAME = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 
@@ -179,9 +185,7 @@ def join_text(parts: Column | str, sep: str, strip_each: bool = False) -> Column
 
 def strip_ws(c: Column | str) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.regexp_replace(
-        _col(c), r"(?U)^[\s\x1c-\x1f]+|(?U)[\s\x1c-\x1f]+$", ""
-    )
+    return F.trim(_col(c), F.lit(_BLANKS))
 
 
 def truncate_tokens(tokens: Column | str, n: int) -> Column:
