@@ -214,3 +214,24 @@ def test_indented_file_read_by_many_tasks(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert got == {k: (v["v"], v["d"]) for k, v in store.items()}
+
+
+def test_one_store_of_all_sources(spark):
+    rows = [
+        ("ec", "u1", "H", "Aug 2, 2024", "a,b", None, None, None),
+        ("mercom", "u2", None, None, None, "2024-01-02T10:00:00", ["k"], None),
+        ("pvmag_us", "u3", None, None, None, None, None, "2024-12-31T22:00:00-05:00"),
+    ]
+    store = spark.createDataFrame(
+        rows,
+        "source string, url string, headline string, datePublished string, keywords string,"
+        "date string, categories array<string>, date_published string",
+    )
+    got = {r.source: r for r in C.conform_all(store).collect()}
+    assert (got["ec"].title, str(got["ec"].date), got["ec"].kws) == ("H", "2024-08-02", ["a,b"])
+    assert (str(got["mercom"].date), got["mercom"].kws) == ("2024-01-02", ["k"])
+    assert (str(got["pvmag_us"].date), got["pvmag_us"].kws) == ("2025-01-01", None)
+    assert C.conform_all(store).schema.simpleString() == C.ARTICLE_SCHEMA.simpleString()
+    other = store.withColumn("source", F.lit("elsewhere"))
+    with pytest.raises(Exception, match="no mapping for source elsewhere"):
+        C.conform_all(other).collect()
