@@ -72,8 +72,14 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
-def new_index(spark: SparkSession, name: str = "digest-index", buckets: int = BUCKETS) -> DigestIndex:
-    """An empty index in the shared working folder."""
+def new_index(spark: SparkSession, name: str = "digest-index", buckets: int | None = None) -> DigestIndex:
+    """An empty index in the shared working folder.
+
+    With as many buckets as the session's shuffles have partitions, ``BUCKETS`` at
+    least: a bucket is then about what one task of a shuffle takes.
+    """
+    if buckets is None:
+        buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return DigestIndex(spark, re.sub(r"\s", "_", fresh_path(spark, name)), buckets)
 
 
