@@ -17,7 +17,10 @@ from newsloom.functions.text import bind, squeeze_ws, strip_ws, unescape_html
 # What is never closed runs to the end of the page; that also keeps a page with many
 # openings and no end from being read once for each of them.
 _NOISE = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)"
-_COMMENT = r"(?s)<!--.*?(?:-->|\z)"
+_LD_TAG = r"<script\b[^>]*\btype\s*=\s*[\"']?application/ld\+json\b[^>]*>"
+# Comments and whole scripts in the order of the page: neither is looked for inside
+# the other.
+_SCRIPTS = r"(?is)<!--.*?(?:-->|\z)|<script\b[^>]*>.*?(?:</script\s*>|\z)"
 # Rest of a tag after its name; a quoted value may hold the sign that ends a tag.
 _TAIL = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>"
 # A sign that no name follows is text.
@@ -111,49 +114,76 @@ def _close(marks: Column) -> Column:
     )
 
 
-def _balanced(rest: Column, tag: str) -> Column:
+def _balanced(rest: Column, tag: str, whole: bool = True) -> Column:
     """``rest`` up to the end tag that closes the element it starts in.
 
-    An element that is never closed runs to the end of the page.
+    An element that is never closed runs to the end of the page, or is null without
+    ``whole``.
     """
     pattern = rf"(?i)</?{tag}\b" + _TAIL
 
     def cut(marks: Column) -> Column:
         pieces = F.split(rest, pattern)
-        return bind(
-            _close(marks),
-            lambda kept: F.array_join(
+
+        def join(kept: Column) -> Column:
+            text = F.array_join(
                 F.zip_with(
                     F.slice(pieces, 1, F.when(kept > 0, kept).otherwise(F.size(pieces))),
                     F.slice(marks, 1, F.when(kept > 0, kept - 1).otherwise(F.size(marks))),
                     lambda piece, mark: F.concat(piece, F.coalesce(mark, F.lit(""))),
                 ),
                 "",
-            ),
-        )
+            )
+            return text if whole else F.when(kept > 0, text)
+
+        return bind(_close(marks), join)
 
     return bind(F.regexp_extract_all(rest, F.lit(pattern), F.lit(0)), cut)
 
 
 def nested_blocks(markup: Column, tag: str, cls=None, **attrs: str) -> Column:
-    """All elements of a tag that may hold more of the same tag, start tag first.
+    """All elements of a tag, each whole with what it holds, start tag first.
 
-    A block inside a block of the same class starts a block of its own.
+    An element inside another one of the same class is in the outer one and an element
+    of its own.
     """
     opening = rf"(?is){open_tag(tag, cls, **attrs)}"
 
     def blocks(page: Column) -> Column:
+        def cut_all(starts: Column, rests: Column) -> Column:
+            def cut(start: Column, i: Column) -> Column:
+                # Most elements end before the next one of their class begins.
+                near = _balanced(F.get(rests, i + 1), tag, whole=False)
+                following = F.zip_with(
+                    F.slice(rests, i + 2, F.size(rests)),
+                    F.slice(starts, i + 2, F.size(rests)),
+                    lambda rest, later: F.concat(rest, F.coalesce(later, F.lit(""))),
+                )
+                far = bind(F.array_join(following, ""), lambda rest: _balanced(rest, tag))
+                return F.concat(start, F.coalesce(near, far))
+
+            return F.transform(starts, cut)
+
         starts = F.regexp_extract_all(page, F.lit(opening), F.lit(0))
-        rests = F.split(page, opening)
-        return F.zip_with(
-            starts,
-            F.slice(rests, 2, F.size(rests)),
-            lambda start, rest: F.concat(start, _balanced(rest, tag)),
-        )
+        return bind(starts, lambda s: bind(F.split(page, opening), lambda r: cut_all(s, r)))
 
     return bind(markup, blocks)
 
 
+def whole_blocks(markup: Column, tag: str, cls=None, **attrs: str) -> Column:
+    """``nested_blocks``, by one pattern where no element of the tag holds another."""
+    inner = rf"(?is)\A<{tag}\b" + _TAIL + rf".*?<{tag}\b"
+
+    def choose(page: Column) -> Column:
+        def pick(flat: Column) -> Column:
+            nested = F.exists(flat, lambda b: b.rlike(inner))
+            return F.when(nested, nested_blocks(page, tag, cls, **attrs)).otherwise(flat)
+
+        return bind(flat_blocks(page, tag, cls, **attrs), pick)
+
+    return bind(markup, choose)
+
+
 def first_block(
     markup: Column, tag: str, cls=None, nested: bool = False, **attrs: str
 ) -> Column:
@@ -205,10 +235,7 @@ def paragraph_text(
 
 def jsonld_block(html: Column | str, n: int = 1, drop_breaks: bool = False) -> Column:
     """Text of the JSON-LD block at index ``n``; null if the page has fewer."""
-    page = F.regexp_replace(_col(html), _COMMENT, "")
-    pattern = (
-        r"(?is)<script\b[^>]*\btype\s*=\s*[\"']?application/ld\+json\b[^>]*>"
-        r"(.*?)</script\s*>"
-    )
-    block = F.get(F.regexp_extract_all(page, F.lit(pattern), F.lit(1)), F.lit(n))
+    found = F.regexp_extract_all(_col(html), F.lit(_SCRIPTS), F.lit(0))
+    closed = F.filter(found, lambda m: m.rlike(r"(?is)\A" + _LD_TAG + r".*</script\s*>\z"))
+    block = F.regexp_extract(F.get(closed, F.lit(n)), r"(?is)\A" + _LD_TAG + r"(.*)</script\s*>\z", 1)
     return F.translate(block, "\n\t", "") if drop_breaks else block

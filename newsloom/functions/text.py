@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,7 +24,12 @@ _BLANKS = (
     "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
-_ENTITY_NAME = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+# A reference as HTML 5 reads it, without its ampersand; the closing sign may lack.
+_REFERENCE = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+# Names that need no closing sign, longest first.
+_SHORT_NAMES = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+# Numbers of C1 controls stand for the characters of Windows-1252.
+_C1 = {b: bytes([b]).decode("cp1252", "replace").replace("\ufffd", chr(b)) for b in range(0x80, 0xA0)}
 
 
 def _col(c: Column | str) -> Column:
@@ -129,39 +135,61 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _entity_char(name: Column) -> Column:
-    named = F.create_map(
-        *[
-            F.lit(x)
-            for key, code in {**name2codepoint, "apos": 39}.items()
-            for x in (key, chr(code))
-        ]
-    )
-    digits = F.when(
-        F.lower(F.substring(name, 1, 2)) == "#x",
-        F.conv(F.substring(name, 3, 6), 16, 10),
-    ).otherwise(F.substring(name, 2, 7))
-
-    def numeric(code: Column) -> Column:
-        legal = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.when(legal, char).otherwise(F.lit("�"))
-
-    return F.when(name.startswith("#"), bind(digits.try_cast("int"), numeric)).otherwise(
-        named[name]
+def _named(name: Column) -> Column:
+    """Characters of a name with its closing sign or a short one; null if unknown.
+
+    Two steps, by the first two letters and then the whole: a map is searched from end
+    to end.
+    """
+    groups: dict[str, dict[str, str]] = {}
+    for key, chars in html5.items():
+        groups.setdefault(key[:2], {})[key] = chars
+    # One literal, parsed while the query is planned.
+    table = F.from_json(F.lit(json.dumps(groups)), "map<string,map<string,string>>")
+    return table[F.substring(name, 1, 2)][name]
+
+
+def _numbered(name: Column) -> Column:
+    """Character of ``#123``, ``#123;`` or ``#x7b;``."""
+    bare = F.rtrim(name, F.lit(";"))
+    hexadecimal = F.lower(F.substring(bare, 1, 2)) == "#x"
+    digits = F.ltrim(F.when(hexadecimal, F.substr(bare, F.lit(3))).otherwise(F.substr(bare, F.lit(2))), F.lit("0"))
+    # More digits than any character has: no number is made of them.
+    short = F.when(F.length(digits) > 7, F.lit("9999999")).otherwise(digits)
+    number = F.when(short == "", F.lit(0)).otherwise(
+        F.when(hexadecimal, F.conv(short, 16, 10)).otherwise(short).try_cast("bigint")
     )
+    c1 = F.create_map(*[F.lit(x) for pair in _C1.items() for x in pair])
+
+    def char(code: Column) -> Column:
+        none = code.between(0x1, 0x8) | code.between(0xE, 0x1F) | (code == 0xB) | (code == 0x7F)
+        none = none | code.between(0xFDD0, 0xFDEF) | ((code % 0x10000) >= 0xFFFE)
+        wrong = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return (
+            F.when(wrong, F.lit("\ufffd"))
+            .when(code.between(0x80, 0x9F), c1[code.cast("int")])
+            .when(none, F.lit(""))
+            .otherwise(plain)
+        )
+
+    return bind(number, char)
 
 
 def unescape_html(c: Column | str) -> Column:
-    """Decode named and numeric entities in one pass; unknown ones stay."""
+    """Decode named and numeric references in one pass; unknown ones stay."""
+    short = r"^(" + "|".join(_SHORT_NAMES) + ")"
 
     def piece(p: Column) -> Column:
         def decode(name: Column) -> Column:
-            char = F.when(name != "", _entity_char(name))
-            rest = F.substr(p, F.length(name) + F.lit(2))
-            return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), p))
-
-        return bind(F.regexp_extract(p, _ENTITY_NAME, 1), decode)
+            rest = F.substr(p, F.length(name) + F.lit(1))
+            start = F.regexp_extract(name, short, 1)
+            whole = F.when(name.startswith("#"), _numbered(name)).otherwise(_named(name))
+            part = F.when(start != "", F.concat(_named(start), F.substr(p, F.length(start) + F.lit(1))))
+            known = F.when(name != "", F.coalesce(F.concat(whole, rest), part))
+            return F.coalesce(known, F.concat(F.lit("&"), p))
+
+        return bind(F.regexp_extract(p, _REFERENCE, 1), decode)
 
     def decode_all(pieces: Column) -> Column:
         tail = F.transform(F.slice(pieces, 2, F.size(pieces)), piece)

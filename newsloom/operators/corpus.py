@@ -130,6 +130,30 @@ def vocabulary(
     )
 
 
+def text_vocabulary(
+    docs: DataFrame,
+    min_count: int = MIN_COUNT,
+    text: str = "text",
+    stopwords: list[str] | None = None,
+    keep_breaks: bool = True,
+) -> DataFrame:
+    """``vocabulary`` of texts as ``preprocess`` would leave them, without lemmas.
+
+    Tokens are counted as written first; stop words are dropped and case is folded on
+    the distinct tokens only.
+    """
+    stopwords = default_stopwords() if stopwords is None else stopwords
+    raw = (
+        docs.select(F.explode(tokenize(text, keep_breaks)).alias("raw"))
+        .groupBy("raw")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    rows = raw.select(F.lower("raw").alias("token"), "n")
+    if stopwords:
+        rows = rows.filter(~F.col("token").isin(*stopwords))
+    return rows.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
+
+
 def corpus_size(docs: DataFrame) -> DataFrame:
     """How many documents the corpus has."""
     return docs.agg(F.count(F.lit(1)).alias("n_docs"))

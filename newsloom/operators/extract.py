@@ -49,7 +49,7 @@ def extract_blocks(
     html: str = "html",
 ) -> DataFrame:
     """Cut a listing page into its item blocks, in page order."""
-    cut = M.nested_blocks if nested else M.flat_blocks
+    cut = M.nested_blocks if nested else M.whole_blocks
     return pages.select(
         *[c for c in pages.columns if c != html],
         F.posexplode(cut(M.strip_noise(html), tag, cls)).alias("pos", "block"),

@@ -10,14 +10,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from newsloom.session import small_side
+# Into how many parts a cursor's rows are spread for the join with its stop place.
+SPREAD = 32
 
 
 def _place(df: DataFrame, order: list[str]) -> Column:
     """Place of a row as one sortable value.
 
     A page and a position on it, both whole numbers, are packed into one number,
-    which Spark can aggregate by hash; page must fit 31 bits, position 32.
+    which Spark can aggregate by hash. A page of more than 31 bits or a position of
+    more than 32 stops the job.
     """
     if len(order) == 1:
         return F.col(order[0])
@@ -25,7 +27,12 @@ def _place(df: DataFrame, order: list[str]) -> Column:
     types = dict(df.dtypes)
     if len(order) == 2 and all(types[c] in whole for c in order):
         page, pos = (F.col(c).cast("bigint") for c in order)
-        return F.shiftleft(page, 32) + pos
+        fits = page.between(0, 2**31 - 1) & pos.between(0, 2**32 - 1)
+        wide = F.raise_error(F.lit("a place of a listing is out of range"))
+        packed = F.shiftleft(page, 32) + pos
+        return F.when(page.isNull() | pos.isNull(), None).when(fits, packed).otherwise(
+            wide.cast("bigint")
+        )
     return F.struct(*order)
 
 
@@ -39,41 +46,39 @@ def known_keys(listing: DataFrame, store: DataFrame, keys: list[str]) -> DataFra
     return store.select(*keys).join(wanted, keys, "left_semi").distinct()
 
 
-def new_only(
-    listing: DataFrame, store: DataFrame, keys: list[str], big_store: bool = True
-) -> DataFrame:
+def new_only(listing: DataFrame, store: DataFrame, keys: list[str]) -> DataFrame:
     """Listing rows whose key is not in the store.
 
-    With ``big_store`` the listing is read twice so that the store need not be
-    shuffled for a small listing; without it one plain anti-join does it.
+    The listing is read twice so that the store is not shuffled for a small one.
     """
-    known = known_keys(listing, store, keys) if big_store else store.select(*keys)
-    return listing.join(known, keys, "left_anti")
+    return listing.join(known_keys(listing, store, keys), keys, "left_anti")
 
 
 def exclude_all(
     links: DataFrame,
     stores: list[DataFrame],
     dead: DataFrame | None = None,
-    key: str = "article_id",
+    keys: list[str] | str = "article_id",
     entry: str = "entry",
     normalize_keys: bool = False,
 ) -> DataFrame:
     """Links found in none of the stores and not dead-lettered.
 
-    Dead letters hold ids and whole URLs. Only the ids match a key, so a URL is
-    tried again, unless ``normalize_keys`` cuts it to its id first.
+    ``keys`` may name a category before the id, so that stores of several categories
+    are told apart. Dead letters hold ids and whole URLs and match the last key. Only
+    the ids match a key, so a URL is tried again, unless ``normalize_keys`` cuts it to
+    its id first. The stores are tested against the links' keys and not shuffled for a
+    small list of links.
     """
-    known = [s.select(F.col(key).alias("_known")) for s in stores]
+    keys = [keys] if isinstance(keys, str) else keys
+    for store in stores:
+        links = new_only(links, store, keys)
     if dead is not None:
         gone = F.col(entry)
         if normalize_keys:
             gone = F.substring_index(gone, "/", -1)
-        known.append(dead.select(gone.alias("_known")))
-    every = known[0]
-    for part in known[1:]:
-        every = every.unionByName(part)
-    return links.join(every, links[key] == every["_known"], "left_anti")
+        links = new_only(links, dead.select(gone.alias(keys[-1])), keys[-1:])
+    return links
 
 
 def stop_places(
@@ -150,20 +155,27 @@ def take_until_known(
             return last_per_key(listing, [*part, key], order)
         store = listing.select(*part, key).limit(0)
     stops = stop_places(listing, store, key, order, part, registered)
-    stops = small_side(stops)
     rows = listing.withColumn("_place", _place(listing, order))
+    rows = with_cursor(rows, stops, part)
+    before = F.col("_stop").isNull() | (F.col("_place") < F.col("_stop"))
     if mode == "strict":
-        kept = rows.join(stops, part, "left").filter(
-            F.col("_stop").isNull() | (F.col("_place") < F.col("_stop"))
-        )
-        return kept.select(*listing.columns)
-    loaded = small_side(store.select(*part).distinct().withColumn("_loaded", F.lit(True)))
-    rows = rows.join(stops, part, "left").join(loaded, part, "left")
-    first_load = F.col("_loaded").isNull()
-    kept = rows.filter(
-        first_load | F.col("_stop").isNull() | (F.col("_place") < F.col("_stop"))
-    )
-    return last_per_key(kept.select(*listing.columns), [*part, key], order)
+        return rows.filter(before).select(*listing.columns)
+    loaded = store.select(*part).distinct().withColumn("_loaded", F.lit(True))
+    rows = with_cursor(rows, loaded, part).filter(F.col("_loaded").isNull() | before)
+    return last_per_key(rows.select(*listing.columns), [*part, key], order)
+
+
+def with_cursor(rows: DataFrame, facts: DataFrame, part: list[str]) -> DataFrame:
+    """Rows with what ``facts`` holds for their cursor, one row per cursor.
+
+    Cursors are few and some have very many rows. The rows of one are spread over
+    ``SPREAD`` keys and the facts repeated for each, so that the join is even also when
+    Spark doesn't broadcast the facts.
+    """
+    spread = F.pmod(F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("map")]), F.lit(SPREAD))
+    copies = facts.withColumn("_spread", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    keyed = rows.withColumn("_spread", spread.cast("int"))
+    return keyed.join(copies, [*part, "_spread"], "left").drop("_spread")
 
 
 def last_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -198,7 +210,9 @@ def upsert(
     The store holds one row per key. Its rows are only tested against the keys of
     the batch, so a small batch is broadcast and a big store is not shuffled.
     """
-    newest = last_per_key(batch, keys, order) if order else batch
+    if not order:
+        raise ValueError("the last write of a key needs an order")
+    newest = last_per_key(batch, keys, order)
     kept = store.join(newest.select(*keys), keys, "left_anti")
     return kept.unionByName(newest, allowMissingColumns=True)
 
@@ -236,10 +250,18 @@ def upsert_fields(
 
 
 def backfill(
-    store: DataFrame, bodies: DataFrame, key: str, fields: tuple[str, ...]
+    store: DataFrame,
+    bodies: DataFrame,
+    key: str,
+    fields: tuple[str, ...],
+    order: list[str] | None = None,
 ) -> DataFrame:
-    """Write fetched fields into the store rows; a fetched null overwrites too."""
-    new = bodies.select(
+    """Write fetched fields into the store rows; a fetched null overwrites too.
+
+    Of several bodies of a key the last in ``order`` counts, without one the greatest
+    in ``fields``; the store keeps its number of rows.
+    """
+    new = last_per_key(bodies, [key], order or list(fields)).select(
         F.col(key).alias("_key"),
         *[F.col(f).alias(f"_new_{f}") for f in fields],
         F.lit(True).alias("_hit"),
@@ -262,8 +284,11 @@ def needs_body(store: DataFrame, body: str = "body") -> DataFrame:
 def pending(
     articles: DataFrame, scores: DataFrame, keys: list[str], value: str | None = None
 ) -> DataFrame:
-    """Articles without a score row; a row whose ``value`` is null is pending too."""
-    done = scores if value is None else scores.filter(F.col(value).isNotNull())
+    """Articles without a score row; a row whose ``value`` is null or false is no score."""
+    done = scores
+    if value is not None:
+        flag = dict(scores.dtypes)[value] == "boolean"
+        done = scores.filter(F.col(value) if flag else F.col(value).isNotNull())
     return articles.join(done.select(*keys), keys, "left_anti")
 
 

@@ -3,8 +3,9 @@
 A plain window partitioned by a hot key would hold all rows of that key in one
 task. Here every run is cut into buckets of its order column, the buckets are
 summed up, only the sums are scanned in order, and each row is completed with what
-came before its bucket. ``width`` bounds the rows of one bucket when the order
-column has no repeats within a run.
+came before its bucket. The buckets of a run are as wide as its order column is
+sparse, so that about ``width`` rows fall in each where the values are spread evenly:
+dense numbers, time stamps and hashes alike.
 """
 
 from __future__ import annotations
@@ -18,19 +19,35 @@ from pyspark.sql import functions as F
 WIDTH = 65_536
 
 
-def bucket_of(order: str, width: int = WIDTH) -> Column:
-    """Number of the bucket a row falls in."""
-    return F.floor(F.col(order) / F.lit(width)).cast("bigint")
+# Into how many parts the rows of a run are spread to learn its range.
+_SPREAD = 32
 
 
-def bucketed(df: DataFrame, order: str, width: int = WIDTH) -> DataFrame:
+def bucketed(df: DataFrame, part: list[str], order: str, width: int = WIDTH) -> DataFrame:
     """Add the bucket, unless an earlier step did.
 
     Steps that follow each other over the same run then share one shuffle.
     """
     if "_bucket" in df.columns:
         return df
-    return df.withColumn("_bucket", bucket_of(order, width))
+    # As doubles: the differences of wide whole numbers have no overflow, and rounding
+    # keeps the order.
+    value = F.col(order).cast("double")
+    ranges = df.groupBy(*part).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.count(F.lit(1)).alias("_rows"))
+    # How far apart buckets begin: the range over the number of buckets.
+    step = (F.col("_high") - F.col("_low") + 1) / F.ceil(F.col("_rows") / F.lit(width))
+    ranges = ranges.select(
+        *[F.col(k).alias(f"_k_{k}") for k in part],
+        "_low",
+        F.greatest(step, F.lit(1.0)).alias("_step"),
+        F.explode(F.sequence(F.lit(0), F.lit(_SPREAD - 1))).alias("_s"),
+    )
+    rows = df.withColumn("_spread", F.pmod(F.xxhash64(order), F.lit(_SPREAD)).cast("int"))
+    same = F.col("_spread") == F.col("_s")
+    for k in part:
+        same = same & rows[k].eqNullSafe(F.col(f"_k_{k}"))
+    bucket = F.floor((value - F.col("_low")) / F.col("_step")).cast("bigint")
+    return rows.join(ranges, same, "left").select(*df.columns, bucket.alias("_bucket"))
 
 
 def with_carry(
@@ -70,7 +87,7 @@ def numbered(
     width: int = WIDTH,
 ) -> DataFrame:
     """Add the 1-based position of a row in its run, and the size of the run."""
-    rows = bucketed(df, order, width)
+    rows = bucketed(df, part, order, width)
     local = W.partitionBy(*part, "_bucket").orderBy(order)
     rows = with_carry(
         rows,
@@ -97,7 +114,7 @@ def previous(
     width: int = WIDTH,
 ) -> DataFrame:
     """Add the value of the row before in the run; null on the first row."""
-    rows = bucketed(df, order, width)
+    rows = bucketed(df, part, order, width)
     local = W.partitionBy(*part, "_bucket").orderBy(order)
     rows = with_carry(
         rows,
@@ -122,7 +139,7 @@ def running(
 ) -> DataFrame:
     """Add the running ``max``, ``min`` or ``sum`` of a column in its run."""
     agg = {"max": F.max, "min": F.min, "sum": F.sum}[kind]
-    rows = bucketed(df, order, width)
+    rows = bucketed(df, part, order, width)
     local = (
         W.partitionBy(*part, "_bucket")
         .orderBy(order)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.functions import scores as S
-from newsloom.operators.incremental import pending, upsert
+from newsloom.operators.incremental import last_per_key, pending, upsert
 
 # A factory takes the configuration and gives the function that answers a batch of
 # prompts. It runs on the executors, once per task, so it may open a client there.
@@ -93,9 +93,7 @@ def gate(
     return df.filter(F.col(score) >= F.lit(threshold))
 
 
-def budget(
-    eligible: DataFrame, index: str, max_index: int = S.MAX_INDEX
-) -> DataFrame:
+def budget(eligible: DataFrame, index: str, max_index: int) -> DataFrame:
     """Eligible rows up to an index, and the first one above it.
 
     The limit is tested after a row is scored, so one row above it is scored too.
@@ -144,16 +142,23 @@ def to_score(
     gate_on: str | None = None,
     threshold: float = S.SOLAR_THRESHOLD,
     index: str | None = None,
-    max_index: int = S.MAX_INDEX,
+    max_index: int | None = None,
 ) -> DataFrame:
     """``(key, title)`` of the titles still to be scored.
 
-    All tests come before the scorer, so it sees only rows it has to.
+    All tests come before the scorer, so it sees only rows it has to. What ``done`` holds
+    counts as scored where its ``valid`` is true, or all of it without that column.
+    ``index`` is a column of running numbers and needs ``max_index``.
     """
-    rows = articles if done is None else pending(articles, done, [key])
+    rows = articles
+    if done is not None:
+        valid = "valid" if "valid" in done.columns else None
+        rows = pending(articles, done, [key], valid)
     if gate_on:
         rows = gate(rows, gate_on, threshold)
     if index:
+        if max_index is None:
+            raise ValueError("a budget needs its greatest index")
         rows = budget(rows, index, max_index)
     return rows.select(key, "title")
 
@@ -220,7 +225,18 @@ def prompt_scorer(
 
 def save_scores(saved: DataFrame, batch: DataFrame, key: str = "article_id") -> DataFrame:
     """Saved scores with a new batch, one row per article, written over them."""
-    return upsert(saved, batch, [key], [])
+    return upsert(saved, batch, [key], [key])
+
+
+def latest_scores(
+    saved: DataFrame, keys: list[str] | str = "article_id", order: list[str] | None = None
+) -> DataFrame:
+    """One row per key of an append-only score table: a valid one before a failed one.
+
+    ``order`` tells later rows from earlier ones among those.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    return last_per_key(saved, keys, ["valid", *(order or [])])
 
 
 def score_many(
@@ -256,6 +272,58 @@ def score_many(
     return scored.select(key, F.inline(F.array(*values)))
 
 
+def score_wide(
+    articles: DataFrame,
+    keys: tuple[str, ...],
+    models: dict[str, Callable[[DataFrame], DataFrame]],
+    key: str = "article_id",
+    done: DataFrame | None = None,
+    on_error: str = "null",
+    **tests,
+) -> DataFrame:
+    """``(key, scores)``: one struct of the keys per model, all models in one row."""
+    rows = to_score(articles, key, done, **tests)
+    for i, answer in enumerate(models.values()):
+        rows = answer(rows).withColumnRenamed("answer", f"_answer_{i}")
+    found = [S.parse_scores(f"_answer_{i}", keys, on_error).alias(m) for i, m in enumerate(models)]
+    return rows.select(key, F.struct(*found).alias("scores"))
+
+
+def models_by_label(
+    wide: DataFrame, models: list[str], keys: tuple[str, ...], key: str = "article_id"
+) -> DataFrame:
+    """One column per model for each article and label, out of ``score_wide``.
+
+    All values of an article are in its row already, so nothing is shuffled.
+    """
+    rows = [
+        F.struct(F.lit(k).alias("label"), *[F.col("scores")[m][k].alias(m) for m in models])
+        for k in keys
+    ]
+    return wide.select(key, F.inline(F.array(*rows)))
+
+
+def pool_wide(
+    wide: DataFrame, models: list[str], label: str = "solar", key: str = "article_id"
+) -> DataFrame:
+    """``pool`` out of ``score_wide``: the mean log-odds within the row."""
+    odds = [_log_odds(F.col("scores")[m][label]) for m in models]
+    known = sum((o.isNotNull().cast("int") for o in odds), F.lit(0))
+    total = sum((F.coalesce(o, F.lit(0.0)) for o in odds), F.lit(0.0))
+    mean = total / F.nullif(known, F.lit(0))
+    return wide.select(key, _probability(mean).alias("solar_p"))
+
+
+def _log_odds(p: Column) -> Column:
+    # Not before the test for null: the least of a null and a number is the number.
+    near = F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
+    return F.when(p.isNotNull(), F.ln(near / (F.lit(1.0) - near)))
+
+
+def _probability(odds: Column) -> Column:
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
+
+
 def wide_by_model(
     long: DataFrame, models: list[str], key: str = "article_id"
 ) -> DataFrame:
@@ -271,12 +339,11 @@ def pool(
     Our own definition; no step of the work rebuilt here says how the models are
     combined. Scores are kept off 0 and 1 by a millionth.
     """
-    p = F.least(F.greatest(F.col("p"), F.lit(1e-6)), F.lit(1 - 1e-6))
-    odds = F.avg(F.ln(p / (F.lit(1.0) - p)))
+    odds = F.avg(_log_odds(F.col("p")))
     return (
         long.filter(F.col("label") == label)
         .groupBy(key)
-        .agg((F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))).alias("solar_p"))
+        .agg(_probability(odds).alias("solar_p"))
     )
 
 

@@ -56,7 +56,7 @@ def early_stop(
     """
     local = W.partitionBy(*part, "_bucket").orderBy(epoch)
     rows = (
-        bucketed(log.select(*part, epoch, loss), epoch, width)
+        bucketed(log.select(*part, epoch, loss), part, epoch, width)
         .filter(F.col(loss).isNotNull())
         .select(
             *part,

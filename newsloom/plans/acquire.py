@@ -1,7 +1,7 @@
 """From landed pages to a source's store: new listing rows, then their bodies.
 
-A store is never written to the path it is read from: each step gives the path of a
-new version.
+A store holds one folder per run of ``take_new`` and only grows. A backfill gives the
+path of a new version.
 """
 
 from __future__ import annotations
@@ -49,6 +49,11 @@ def listing_rows(
     )
 
 
+def cursor_of(landed: DataFrame) -> list[str]:
+    """The columns that name a cursor: each topic of a source has a listing of its own."""
+    return ["source", "topic"] if "topic" in landed.columns else ["source"]
+
+
 def take_new(
     spark: SparkSession,
     landed: DataFrame,
@@ -56,24 +61,26 @@ def take_new(
     store: str | None,
     details: DataFrame | None = None,
 ) -> str:
-    """Add the new rows of landed listing pages and give the new store's path.
+    """Add the new rows of landed listing pages to the store and give its path.
 
-    The listing is read several times to find where it stops, so it is written down
-    first and pages are parsed once.
+    Pages with a ``topic`` are read topic by topic, and an article may be stored under
+    several. The listing is read several times to find where it stops, so it is written
+    down first and pages are parsed once. Only the new rows are written.
     """
+    cursor = cursor_of(landed)
     listing = fresh_path(spark, f"{source}-listing")
     listing_rows(landed, source, details).write.parquet(listing)
     rows = spark.read.parquet(listing)
     old = None if store is None else spark.read.parquet(store)
     fresh = I.take_until_known(
-        rows, old, "article_id", _PLACE, ["source"], MODES[source], "registered"
+        rows, old, "article_id", _PLACE, cursor, MODES[source], "registered"
     ).filter("registered")
     if source == "mercom":
         fresh = post_articles(fresh)
-    fresh = fresh.drop("registered")
-    whole = fresh if old is None else I.upsert(old, fresh, ["article_id"], _PLACE)
-    out = fresh_path(spark, f"{source}-store")
-    whole.write.parquet(out)
+    fresh = I.last_per_key(fresh.drop("registered"), [*cursor, "article_id"], _PLACE)
+    out = fresh_path(spark, f"{source}-store") if store is None else store
+    known = 0 if old is None or "run" not in old.columns else old.agg(F.max("run")).first()[0] or 0
+    fresh.write.mode("append").parquet(f"{out}/run={known + 1}")
     return out
 
 
@@ -87,12 +94,20 @@ def fill_bodies(
 ) -> str:
     """Write the bodies of fetched pages ``(url, html)`` into a new store version.
 
-    Only rows without a body are filled; a page that was not found has null html.
+    Only rows without a body are filled; a page that was not found has null html. A
+    page that landed several times counts once: by ``fetched`` the last, if there is
+    such a column.
     """
     old = spark.read.parquet(store)
-    asked = I.needs_body(old).select("article_id", "url")
-    bodies = E.article_bodies(pages.join(asked, "url"), source)
+    order = ["fetched"] if "fetched" in pages.columns else ["html"]
+    once = I.last_per_key(pages, ["url"], order)
+    asked = I.needs_body(old).select("article_id", "url").distinct()
+    bodies = E.article_bodies(once.join(asked, "url"), source)
     out = fresh_path(spark, f"{source}-store")
     fields = ("body", "key_words")
-    I.backfill(old, bodies.select("article_id", *fields), "article_id", fields).write.parquet(out)
+    whole = I.backfill(old, bodies.select("article_id", *fields), "article_id", fields)
+    if "run" in old.columns:
+        whole.write.partitionBy("run").parquet(out)
+    else:
+        whole.write.parquet(out)
     return out

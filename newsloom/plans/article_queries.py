@@ -274,6 +274,31 @@ def w1(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("source", "article_id", "doc_id")
 
 
+_BY_TOPIC = "SELECT source, lang AS topic, md5(text) AS article_id, doc_id FROM documents"
+
+
+@query(
+    "w1_take_until_known_by_topic",
+    f"""SELECT source, topic, article_id, doc_id FROM (
+          SELECT *, max(CASE WHEN known THEN 1 ELSE 0 END) OVER (PARTITION BY source, topic
+            ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stopped
+          FROM (SELECT *, row_number() OVER (PARTITION BY source, topic, article_id ORDER BY doc_id) > 1
+                OR EXISTS (SELECT 1 FROM ({_BY_TOPIC}) s JOIN labels USING (doc_id) WHERE toxic = 1
+                  AND s.source = l.source AND s.topic = l.topic AND s.article_id = l.article_id) AS known
+                FROM ({_BY_TOPIC}) l)) WHERE stopped = 0""",
+)
+def w1_by_topic(spark: SparkSession, d: str) -> DataFrame:
+    """Each topic of a source is a cursor of its own."""
+    listing = table(spark, d, "documents").select(
+        "source", F.col("lang").alias("topic"), F.md5("text").alias("article_id"), "doc_id"
+    )
+    store = listing.join(table(spark, d, "labels").filter("toxic = 1"), "doc_id")
+    cursor = ["source", "topic"]
+    return I.take_until_known(listing, store, "article_id", ["doc_id"], cursor).select(
+        *cursor, "article_id", "doc_id"
+    )
+
+
 @query(
     "w1_take_until_known_registered",
     _sql_prefix(
@@ -412,6 +437,24 @@ def j4(spark: SparkSession, d: str) -> DataFrame:
     return I.backfill(store, bodies, "doc_id", ("body", "key_words"))
 
 
+@query(
+    "j4_backfill_twice",
+    """SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN d.text ELSE 'second' || quality END AS body
+       FROM documents d LEFT JOIN labels l USING (doc_id)""",
+)
+def j4_twice(spark: SparkSession, d: str) -> DataFrame:
+    """A page that landed twice fills its row once, with what landed last."""
+    store = table(spark, d, "documents").select("doc_id", F.col("text").alias("body"))
+    bodies = table(spark, d, "labels").select(
+        "doc_id",
+        F.inline(F.array(*[
+            F.struct(F.lit(i).alias("landed"), F.concat(F.lit(word), F.col("quality")).alias("body"))
+            for i, word in ((1, "first"), (2, "second"))
+        ])),
+    )
+    return I.backfill(store, bodies, "doc_id", ("body",), ["landed"])
+
+
 def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, d, "documents").select(
         F.md5("text").alias("article_id"), "doc_id", "lang", "source"

@@ -53,7 +53,7 @@ def m1(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a4_vocabulary", SQL_VOCAB)
 def a4(spark: SparkSession, d: str) -> DataFrame:
-    return K.vocabulary(corpus(spark, d))
+    return K.text_vocabulary(table(spark, d, "documents"))
 
 
 @query("a5_corpus_size", "SELECT count(*) AS n_docs FROM documents")
@@ -128,7 +128,7 @@ def u2(spark: SparkSession, d: str) -> DataFrame:
     words = table(spark, d, "conversations").select(
         F.explode(F.split(F.lower("text"), " ")).alias("word")
     )
-    return K.vocab_union(K.vocabulary(corpus(spark, d)), words.distinct())
+    return K.vocab_union(K.text_vocabulary(table(spark, d, "documents")), words.distinct())
 
 
 @query("o2_shuffled", "SELECT doc_id, lang, source FROM documents")

@@ -116,6 +116,23 @@ def p3(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "p3_blocks_nested_list",
+    """SELECT page_id, CAST(pos AS INT) AS pos, item FROM (SELECT page_id, unnest([0, 1, 2, 3]) AS pos,
+         unnest(['M' || page_id || '12', '1', '2', url]) AS item FROM pages)""",
+)
+def p3_nested_list(spark: SparkSession, d: str) -> DataFrame:
+    """An outer item is whole, and the items it holds are items too."""
+    item = F.concat(
+        F.lit("<ul><li>M"), F.col("page_id").cast("string"),
+        F.lit("<ul><li>1</li><li>2</li></ul></li><li>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</li></ul>"),
+    )
+    pages = table(spark, d, "pages").select("page_id", item.alias("html"))
+    return E.extract_blocks(pages, "li").select(
+        "page_id", "pos", M.text_of(F.col("block")).alias("item")
+    )
+
+
 @query(
     "p3_nested_blocks",
     f"""SELECT page_id, 0 AS pos, {sql_text("regexp_extract(c, '(?s)<div class=.ad.>(.*?)</div>', 1)")}

@@ -382,6 +382,24 @@ def f23(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "f23_unescape_numeric",
+    """SELECT doc_id, 'a' || CASE WHEN n BETWEEN 128 AND 159 THEN substr(m, n - 127, 1) ELSE chr(n) END
+         || '© ' || doc_id || chr(n + 256) || '&x' AS plain
+       FROM (SELECT doc_id, CAST(CASE WHEN doc_id % 300 < 192 THEN 32 + doc_id % 95 ELSE 128 + doc_id % 128 END AS INT) AS n,
+               '€' || chr(129) || '‚ƒ„…†‡ˆ‰Š‹Œ' || chr(141) || 'Ž' || chr(143) || chr(144) || '‘’“”•–—˜™š›œ' || chr(157) || 'žŸ' AS m
+             FROM documents)""",
+)
+def f23_numeric(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers with and without closing sign, of C1 controls too, and a bare name."""
+    n = F.expr("CASE WHEN doc_id % 300 < 192 THEN 32 + doc_id % 95 ELSE 128 + doc_id % 128 END")
+    text = F.concat(
+        F.lit("a&#"), n.cast("string"), F.lit("&copy "), F.col("doc_id").cast("string"),
+        F.lit("&#x"), F.hex(n + 256), F.lit(";&x"),
+    )
+    return table(spark, d, "documents").select("doc_id", X.unescape_html(text).alias("plain"))
+
+
 @query(
     "f24_predicates",
     """SELECT page_id, contains(url, 'blog') AS has_blog, starts_with(url, 'https') AS secure,

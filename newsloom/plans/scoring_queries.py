@@ -98,9 +98,16 @@ def m6_save(spark: SparkSession, d: str) -> DataFrame:
     return R.save_scores(saved, batch.select("doc_id", "solar"), "doc_id")
 
 
+def _models() -> dict:
+    return {m: R.lexicon_scorer(solar_lexicon(m)) for m in LEXICONS}
+
+
 def many(spark: SparkSession, d: str) -> DataFrame:
-    models = {m: R.lexicon_scorer(solar_lexicon(m)) for m in LEXICONS}
-    return R.score_many(titles(spark, d), S.SOLAR_KEYS, models, "doc_id")
+    return R.score_many(titles(spark, d), S.SOLAR_KEYS, _models(), "doc_id")
+
+
+def wide(spark: SparkSession, d: str) -> DataFrame:
+    return R.score_wide(titles(spark, d), S.SOLAR_KEYS, _models(), "doc_id")
 
 
 _MANY = " UNION ALL ".join(
@@ -122,7 +129,7 @@ def m7(spark: SparkSession, d: str) -> DataFrame:
     + f" FROM ({_MANY}) GROUP BY doc_id, label",
 )
 def m7_wide(spark: SparkSession, d: str) -> DataFrame:
-    return R.wide_by_model(many(spark, d), list(LEXICONS), "doc_id")
+    return R.models_by_label(wide(spark, d), list(LEXICONS), S.SOLAR_KEYS, "doc_id")
 
 
 @query(
@@ -132,10 +139,26 @@ def m7_wide(spark: SparkSession, d: str) -> DataFrame:
               WHERE label = 'solar') GROUP BY doc_id""",
 )
 def m8(spark: SparkSession, d: str) -> DataFrame:
-    pooled = R.pool(many(spark, d), "solar", "doc_id")
+    pooled = R.pool_wide(wide(spark, d), list(LEXICONS), "solar", "doc_id")
     return pooled.select("doc_id", F.round("solar_p", 6).alias("solar_p"))
 
 
+_WEAK = "CASE WHEN doc_id % 3 = 1 THEN NULL ELSE quality END"
+
+
+@query(
+    "m6_resume_failed",
+    f"""SELECT doc_id, solar FROM ({_solar_sql('gemma')}) WHERE doc_id NOT IN
+        (SELECT doc_id FROM labels WHERE {_WEAK} IS NOT NULL)""",
+)
+def m6_failed(spark: SparkSession, d: str) -> DataFrame:
+    """Titles asked again: those without a score and those whose answer was no good."""
+    saved = table(spark, d, "labels").selectExpr("doc_id", f"{_WEAK} IS NOT NULL AS valid")
+    answer = R.lexicon_scorer(solar_lexicon("gemma"))
+    batch = R.score_titles(titles(spark, d), S.SOLAR_KEYS, answer, "doc_id", saved)
+    return batch.select("doc_id", "solar")
+
+
 @query(
     "p12_gate",
     "SELECT event_id, value / (1 + value) AS solar_p FROM events WHERE value / (1 + value) >= 0.69",
@@ -154,7 +177,7 @@ def p12(spark: SparkSession, d: str) -> DataFrame:
 )
 def o4(spark: SparkSession, d: str) -> DataFrame:
     eligible = table(spark, d, "events").filter("value >= 10").select("event_id", "event_type")
-    return R.budget(eligible, "event_id")
+    return R.budget(eligible, "event_id", S.MAX_INDEX)
 
 
 @query(

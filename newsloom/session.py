@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
+from pyspark.sql import SparkSession
 
 SHUFFLE_TARGET = 256 * 2**20
 
@@ -18,7 +15,7 @@ def shuffle_partitions(input_bytes: int, cores: int = 0) -> int:
     About 256 MB each and no fewer than 200 or three per core; adaptive execution
     joins the ones that turn out small.
     """
-    return max(200, 3 * cores, min(100_000, -(-input_bytes // SHUFFLE_TARGET)))
+    return max(200, 3 * cores, -(-input_bytes // SHUFFLE_TARGET))
 
 
 def build_session(
@@ -52,37 +49,24 @@ def build_session(
 
 
 def work_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the one the cluster names, if it does."""
+    """Folder every executor can reach: the one the cluster names, if it does.
+
+    Else a folder beside the warehouse, which executors share as well.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir"
     )
-    if named:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(named)
-        return named
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    local = tempfile.mkdtemp(prefix="newsloom-")
-    sc.setCheckpointDir(local)
-    return sc.getCheckpointDir()
+    if not named:
+        named = sc.getCheckpointDir()
+    if not named:
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named)
+    return named
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path under the working folder."""
     return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-
-def small_side(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Mark ``df`` for broadcast if it has at most ``max_rows`` rows.
-
-    At most ``max_rows + 1`` rows reach the driver for the check. A bigger side
-    comes back as it was, and the join then shuffles both sides.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

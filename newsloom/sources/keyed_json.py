@@ -26,7 +26,7 @@ def read_keyed_json(
     path: str | list[str],
     schema: T.StructType | str,
     key: str = KEY,
-    indented: bool = False,
+    indented: bool = True,
     missing_ok: bool = True,
     wrap: bool = True,
 ) -> DataFrame:
@@ -36,9 +36,10 @@ def read_keyed_json(
     schema names.
 
     A field of type string holding a list or an object arrives as its JSON text. A
-    missing or empty file is an empty store. ``indented=True`` is for files written
-    with an indent of four blanks: they are split at the end of an entry, so one
-    big file is read by many tasks. Without it each file is one task.
+    missing or empty file is an empty store. Files written with an indent of four blanks
+    are split at the end of an entry, so one big file is read by many tasks. A file on
+    one line is one piece. A file with another indent may stop the job: it is read with
+    ``indented=False``, as one task.
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
@@ -70,7 +71,9 @@ def _whole_entry(name: str):
     closes it.
     """
     piece = F.rtrim(F.col(name), F.lit(" \n\r\t"))
-    is_last = piece.endswith("\n}") | piece.rlike(r"^\{\s*\}$")
+    # An object that doesn't begin as an indented store does is whole.
+    compact = piece.startswith("{") & ~piece.rlike(r'^\{\r?\n    "')
+    is_last = piece.endswith("\n}") | compact
     opened = F.when(piece.startswith("{"), piece).otherwise(
         F.concat(F.lit("{"), piece)
     )
@@ -85,7 +88,7 @@ def read_keyed_table(
 
 
 def read_link_index(
-    spark: SparkSession, path: str | list[str], indented: bool = False
+    spark: SparkSession, path: str | list[str], indented: bool = True
 ) -> DataFrame:
     """A newsletter index ``{day: {category: [link]}}`` as one row per link.
 

@@ -52,14 +52,19 @@ def append_new(
 ) -> None:
     """Add the rows of a batch whose key the store does not hold."""
     store = open_store(batch.sparkSession, path, batch.schema)
-    # Read twice: once for its keys, once for its rows.
-    batch = batch.persist()
-    try:
-        known = known_keys(batch, earlier_rows(store, run, batch_id), keys)
-        fresh = first_per_key(batch.join(known, keys, "left_anti"), keys, order)
-        write_batch(fresh, path, run, batch_id)
-    finally:
-        batch.unpersist()
+    # Read twice, once for its keys, once for its rows; nothing of it is held.
+    known = known_keys(batch, earlier_rows(store, run, batch_id), keys)
+    fresh = first_per_key(batch.join(known, keys, "left_anti"), keys, order)
+    write_batch(fresh, path, run, batch_id)
+
+
+def compact(spark: SparkSession, path: str, out: str, files: int) -> None:
+    """The rows of a store in ``files`` files a run, as a new store at ``out``.
+
+    All batches of a run become its batch 0, so a run that goes on finds them all.
+    """
+    rows = spark.read.parquet(path).withColumn("batch_id", F.lit(0).cast("long"))
+    rows.repartition(files, "run").write.partitionBy("run", "batch_id").parquet(out)
 
 
 def ingest_stream(

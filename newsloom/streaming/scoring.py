@@ -47,7 +47,9 @@ def score_stream(
     def score(batch: DataFrame, batch_id: int) -> None:
         store = open_store(batch.sparkSession, path, _score_schema(batch, key, keys))
         done = earlier_rows(store, run, batch_id).filter(F.col("model") == model)
-        todo = first_per_key(pending(batch, done, [key]), [key], [key])
+        # A failed answer is kept with valid false, and asked for again when its title
+        # comes again; latest_scores reads one row per title.
+        todo = first_per_key(pending(batch, done, [key], "valid"), [key], [key])
         scored = score_titles(todo, keys, answer, key, **options)
         rows = scored.withColumn("model", F.lit(model))
         write_batch(rows, path, run, batch_id)

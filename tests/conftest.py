@@ -19,6 +19,8 @@ def spark(tmp_path_factory):
         "local[8]",
         spark__ui__enabled="false",
         spark__sql__shuffle__partitions="8",
+        # Plans show whole paths, however long the temporary folder's is.
+        spark__sql__maxMetadataStringLength="2000",
         spark__checkpoint__dir=str(tmp_path_factory.mktemp("work")),
         spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")),
     )

@@ -25,24 +25,59 @@ THEMES = R.lexicon_scorer({k: [k, "solar"] for k in S.THEME_KEYS})
 def test_solar_then_themes(spark):
     got = T.solar_then_themes(spark, articles(spark), {"a": SOLAR, "b": SOLAR}, THEMES, 0.7)
     rows = {r.url: r for r in got.collect()}
-    assert len(rows) == got.count() == 3
+    assert len(rows) == 3 and got.count() == 4
     assert round(rows["u1"].solar_p, 4) == 0.75 and rows["u1"].pr == 0.75
     assert rows["u2"].pr is None and rows["u3"].pr is None
 
 
-def test_scores_are_kept(spark):
+def test_copies_of_an_article_all_get_its_score(spark):
+    got = T.solar_then_themes(spark, articles(spark), {"a": SOLAR}, THEMES, 0.7)
+    assert [round(r.solar_p, 4) for r in got.collect() if r.url == "u1"] == [0.75, 0.75]
+
+
+def counting(spark, answers):
+    """A scorer that notes each title it is asked about and gives ``answers`` or a good one."""
+    log = spark.sparkContext.accumulator(0)
+
+    def make(config):
+        def score(prompts):
+            log.add(len(prompts))
+            good = json.dumps({"solar": 0.5, "notSolar": 0.5})
+            return [next((a for k, a in answers.items() if k in p), good) for p in prompts]
+
+        return score
+
+    return log, R.prompt_scorer(make, "{text}", S.SOLAR_KEYS)
+
+
+def test_each_pending_title_is_asked_once(spark):
     rows = T.with_key(articles(spark))
-    first = T.score_articles(spark, rows.filter("url <> 'u2'"), SOLAR)
-    calls = []
+    log, answer = counting(spark, {})
+    store = T.score_articles(spark, rows.filter("url <> 'u2'"), answer)
+    assert log.value == 2
+    assert T.score_articles(spark, rows, answer, store=store) == store
+    assert log.value == 3
+    T.score_articles(spark, rows, answer, store=store)
+    assert log.value == 3 and T.saved_scores(spark, store).count() == 3
 
-    def watched(pending):
-        calls.append(sorted(r.title for r in pending.collect()))
-        return SOLAR(pending)
 
-    second = T.score_articles(spark, rows, watched, saved=first)
-    assert calls == [["coal"]]
-    assert spark.read.parquet(second).count() == 3
-    assert spark.read.parquet(first).count() == 2
+def test_failed_answers_are_asked_again(spark):
+    rows = T.with_key(articles(spark))
+    key = rows.filter("url = 'u2'").first().article_id
+    log, bad = counting(spark, {"coal": "no idea"})
+    store = T.score_articles(spark, rows.filter("url <> 'u3'"), bad)
+    assert log.value == 2
+    got = {r.article_id: r for r in T.saved_scores(spark, store).collect()}
+    assert got[key].solar is None and not got[key].valid
+    T.score_articles(spark, rows.filter("url <> 'u3'"), bad, store=store)
+    assert log.value == 3
+    log, good = counting(spark, {})
+    T.score_articles(spark, rows.filter("url <> 'u3'"), good, store=store)
+    assert log.value == 1
+    got = {r.article_id: r for r in T.saved_scores(spark, store).collect()}
+    assert got[key].solar == 0.5 and got[key].valid and len(got) == 2
+    T.score_articles(spark, rows.filter("url <> 'u3'"), good, store=store)
+    assert log.value == 1
 
 
 def test_words(spark, tmp_path):
@@ -151,6 +186,42 @@ def test_saur_bodies(page):
     assert row.body == "One bold Two x Open Last" and row.key_words == ["solar", "r & d"]
 
 
+def test_topics_are_cursors_of_their_own(spark):
+    """One article may be listed under several topics; each topic has its own end."""
+
+    def li(n):
+        return f'<li><a class="anc" title="T{n}" href="/s/{n}.cms">x</a></li>'
+
+    def pages(**topics):
+        rows = [("ec", t, 0, "".join(map(li, ns))) for t, ns in topics.items()]
+        return spark.createDataFrame(rows, "source string, topic string, page int, html string")
+
+    def rows(store):
+        got = spark.read.parquet(store).collect()
+        assert len(got) == len({(r.topic, r.article_id) for r in got})
+        return sorted((r.topic, int(r.article_id)) for r in got)
+
+    store = A.take_new(spark, pages(solar=[1, 2, 5, 6], wind=[3, 1, 4]), "ec", None)
+    want = [("solar", n) for n in (1, 2, 5, 6)] + [("wind", n) for n in (1, 3, 4)]
+    assert rows(store) == sorted(want)
+    before = set(spark.read.parquet(store).inputFiles())
+    assert A.take_new(spark, pages(solar=[1, 2, 5, 6], wind=[3, 1, 4]), "ec", store) == store
+    assert rows(store) == sorted(want)
+    A.take_new(spark, pages(solar=[9, 1, 8], wind=[2, 7, 3]), "ec", store)
+    assert rows(store) == sorted([*want, ("solar", 9), ("wind", 2), ("wind", 7)])
+    assert before <= set(spark.read.parquet(store).inputFiles())
+
+
+def test_a_page_landed_twice_fills_once(spark):
+    store = A.take_new(spark, landed(spark, [item(2) + item(1)]), "pvmag_us", None)
+    html = '<div class="entry-content"><p>{}</p><p>ad</p></div>'
+    pages = spark.createDataFrame(
+        [("h/1", html.format("Old"), 1), ("h/1", html.format("New"), 2)], "url string, html string, fetched int"
+    )
+    got = spark.read.parquet(A.fill_bodies(spark, store, pages, "pvmag_us"))
+    assert {r.title: r.body for r in got.collect()} == {"T1": "New", "T2": None} and got.count() == 2
+
+
 def test_rows_without_details_may_come_again(spark):
     def li(n):
         return f'<li><a class="anc" title="T{n}" href="/s/{n}.cms">x</a></li>'

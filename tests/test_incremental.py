@@ -177,5 +177,35 @@ def test_known_keys(spark):
     listing = spark.createDataFrame([("a",), ("b",), ("a",)], "key string")
     store = spark.createDataFrame([("a",), ("a",), ("z",)], "key string")
     assert [r.key for r in I.known_keys(listing, store, ["key"]).collect()] == ["a"]
-    for big in (True, False):
-        assert [r.key for r in I.new_only(listing, store, ["key"], big).collect()] == ["b"]
+    assert [r.key for r in I.new_only(listing, store, ["key"]).collect()] == ["b"]
+
+
+def test_places_out_of_range_stop_the_job(spark):
+    schema = "source string, page long, pos long, key string"
+    wide = spark.createDataFrame([("a", 2**31, 0, "x"), ("a", 0, 0, "x")], schema)
+    with pytest.raises(Exception, match="out of range"):
+        I.take_until_known(wide, None, "key", ["page", "pos"], ["source"]).collect()
+    edge = spark.createDataFrame([("a", 2**31 - 1, 2**32 - 1, "x"), ("a", 0, 0, "y")], schema)
+    assert I.take_until_known(edge, None, "key", ["page", "pos"], ["source"]).count() == 2
+
+
+def test_exclude_all_by_category(spark):
+    links = spark.createDataFrame([("oil", "1"), ("coal", "1"), ("coal", "2")], "category string, article_id string")
+    own = spark.createDataFrame([("oil", "1")], "category string, article_id string")
+    got = I.exclude_all(links, [own], keys=["category", "article_id"]).collect()
+    assert sorted(map(tuple, got)) == [("coal", "1"), ("coal", "2")]
+
+
+def test_upsert_demands_an_order(spark):
+    df = spark.createDataFrame([("a", 1)], "key string, v int")
+    with pytest.raises(ValueError):
+        I.upsert(df, df, ["key"], [])
+
+
+def test_backfill_twice_is_once(spark):
+    store = spark.createDataFrame([("a", "x"), ("b", "y")], "key string, url string")
+    bodies = spark.createDataFrame([("a", "one", 1), ("a", "two", 2), ("a", "two", 2)], "key string, body string, seq int")
+    got = I.backfill(store, bodies, "key", ("body",), ["seq"])
+    assert sorted(map(tuple, got.collect())) == [("a", "x", "two"), ("b", "y", None)]
+    again = I.backfill(got, bodies.filter("seq = 1"), "key", ("body",), ["seq"])
+    assert again.count() == 2 and again.filter("key = 'a'").first().body == "one"

@@ -111,3 +111,15 @@ def test_split_is_stable(spark):
     assert all(whole[i] == side for i, side in part.items())
     share = sum(s == "test" for s in whole.values()) / 5000
     assert 0.08 < share < 0.12
+
+
+def test_sparse_order_of_a_hot_run_has_few_rows_in_a_bucket(spark):
+    """Hashed ids: no two rows near each other, and most rows in one run."""
+    df = spark.range(20_000).selectExpr(
+        "CASE WHEN id % 10 = 0 THEN 'b' END AS run", "xxhash64(id) >> 4 AS at", "CAST(id AS double) AS v"
+    )
+    sizes = O.bucketed(df, ["run"], "at", 500).groupBy("run", "_bucket").count().collect()
+    assert max(r["count"] for r in sizes) < 1000 and 40 <= len(sizes) <= 45
+    got = O.numbered(df, ["run"], "at", "idx", "total", 500)
+    wrong = got.selectExpr("idx", "total", "row_number() OVER (PARTITION BY run ORDER BY at) AS want").filter("idx <> want")
+    assert wrong.count() == 0 and got.count() == 20_000

@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 import pytest
-from pyspark.sql import functions as F
-
 import __spark_entry__ as entry
 from newsloom.operators import incremental as I
-from newsloom.session import shuffle_partitions, small_side
+from newsloom.session import shuffle_partitions
 
 SF = "/root/testdata/sf0.001"
 # The scorer interface is Python by nature; everything else is native.
 PYTHON = {"d1_mapped_scorer", "d2_nested_prompts"}
 # These run jobs of their own before they give a plan.
-EAGER = ("j9_", "m2_", "m4_", "s12_", "st1_", "st2_", "s1_", "s2_", "s3_", "s4_", "s6_", "s7_", "s8_", "s9_")
+EAGER = ("j9_", "m2_", "m4_", "s12_", "st1_", "st2_", "s1_", "s2_", "s3_", "s4_", "s6_", "s7_", "s8_", "s9_", "op", "pipeline")
 
 
 def plan(df):
@@ -74,17 +72,43 @@ def test_small_listing_leaves_the_store_where_it_is(spark, tmp_path):
     assert sorted(r.k for r in got.collect()) == [1800, 2700, 3600]
 
 
-def test_small_side_has_a_bound(spark):
-    df = spark.range(50).withColumn("x", F.lit(1))
-    small = small_side(df, 50)
-    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, df.collect()))
-    big = spark.range(10**9)
-    assert "BroadcastHashJoin" in plan(big.join(small, "id"))
-    assert small_side(df, 49) is df
+def test_one_plan_for_few_and_many_cursors(spark, tmp_path):
+    """Stop places come from one plan without a job of its own, whatever their number."""
+    shapes = []
+    for n in (3, 20_000):
+        path = str(tmp_path / f"listing-{n}")
+        rows = spark.range(40_000).selectExpr(
+            f"concat('s', CASE WHEN id % 2 = 0 THEN 0 ELSE id % {n} END) AS source",
+            "id AS pos", "concat('k', id % 30000) AS key",
+        )
+        rows.write.parquet(path)
+        got = I.take_until_known(spark.read.parquet(path), None, "key", ["pos"], ["source"])
+        text = plan(got)
+        shapes.append([line.split("(")[0].split("[")[0].strip(" :+-") for line in text.splitlines()])
+        assert "_spread" in text and got.count() > 0
+    assert shapes[0] == shapes[1]
+
+
+def test_scores_of_a_title_stay_in_their_row(spark):
+    for name in ("m7_wide_by_model", "m8_pool"):
+        assert "Exchange" not in plan(entry.queries()[name](spark, SF))
+
+
+def test_exclusion_leaves_the_stores_where_they_are(spark, tmp_path):
+    path, small = str(tmp_path / "store"), str(tmp_path / "links")
+    spark.range(1000).selectExpr("id % 3 AS category", "id AS k").write.parquet(path)
+    spark.range(5).selectExpr("1L AS category", "id * 100 AS k").write.parquet(small)
+    got = I.exclude_all(spark.read.parquet(small), [spark.read.parquet(path)], keys=["category", "k"])
+    text = plan(got)
+    assert "SortMergeJoin" not in text
+    scan = text.index(f"{path}]")
+    assert "Exchange" not in text[text.rindex("LeftSemi", 0, scan) : scan]
+    # 100 and 400 are of category 1 in the store too.
+    assert sorted(r.k for r in got.collect()) == [0, 200, 300]
 
 
 def test_shuffle_partitions():
     assert shuffle_partitions(10**6) == 200
     assert shuffle_partitions(10**12) == 3726
     assert shuffle_partitions(10**6, cores=4000) == 12_000
-    assert shuffle_partitions(10**14) == 100_000
+    assert shuffle_partitions(10**14) == 372_530

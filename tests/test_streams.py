@@ -6,7 +6,7 @@ from newsloom.functions import scores as S
 from newsloom.functions.text import article_id
 from newsloom.operators import scoring as R
 from newsloom.operators.incremental import first_per_key
-from newsloom.streaming.ingest import append_new, ingest_stream
+from newsloom.streaming.ingest import append_new, compact, ingest_stream
 from newsloom.streaming.scoring import score_stream
 
 PAGES = "page int, url string"
@@ -97,3 +97,32 @@ def test_scoring_goes_on_after_a_kill(spark, tmp_path):
     assert rows("store") == rows("once") and len(rows("once")) == 12
     # Batches 0 and 1 were not scored a second time: two runs after the kill.
     assert len(calls) == 5
+
+
+def test_streams_read_a_table_of_several_files(spark, tmp_path):
+    """The registered streams give the same rows on one file and on a folder of files."""
+    import shutil
+
+    from newsloom.plans import all_queries
+
+    queries = all_queries()[0]
+    one, many = "/root/testdata/sf0.001", str(tmp_path / "many")
+    for name in ("pages", "documents"):
+        spark.read.parquet(f"{one}/{name}.parquet").repartition(3).write.parquet(f"{many}/{name}.parquet")
+    for name in ("st1_ingest_stream", "st2_score_stream"):
+        a, b = (queries[name](spark, d) for d in (one, many))
+        keys = lambda df: sorted(r.article_id for r in df.collect())
+        assert keys(a) == keys(b) and keys(a)
+    shutil.rmtree(many)
+
+
+def test_compacted_store_is_the_same(spark, tmp_path):
+    path, out = str(tmp_path / "store"), str(tmp_path / "out")
+    first = listing(spark.createDataFrame([(1, "h/a"), (2, "h/b")], PAGES))
+    second = listing(spark.createDataFrame([(3, "h/b"), (4, "h/c")], PAGES))
+    append_new(first, 0, path, ["article_id"], ["page"], "r")
+    append_new(second, 1, path, ["article_id"], ["page"], "r")
+    compact(spark, path, out, 1)
+    assert keys(spark.read.parquet(out)) == keys(spark.read.parquet(path))
+    append_new(second, 2, out, ["article_id"], ["page"], "r")
+    assert keys(spark.read.parquet(out)) == keys(spark.read.parquet(path))

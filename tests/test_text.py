@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import html
+import html.entities
+import random
 import re
 import uuid
 from urllib.parse import unquote
@@ -88,8 +90,16 @@ def test_unquote_utf8(spark):
     )
 )
 def test_unescape(spark, texts):
-    # Entities that Python also reads without their semicolon are left out.
-    texts = [t for t in texts if not re.search(r"&(?:amp|lt|eacute|#x?[0-9A-Fa-f]+)(?!;)[^a-zA-Z0-9]", t)]
+    assert values(spark, texts, X.unescape_html("s")) == [html.unescape(t) for t in texts]
+
+
+def test_unescape_as_html5_does(spark):
+    rng = random.Random(4)
+    names = sorted(html.entities.html5)
+    parts = [*"ab;# &<\n", "&#", "&#x", "&#146;", "&#x80", "&#0;", "&#xD800;", "&#1114112;", "&#99999999999999999999;", "&#11;", "&#13;",
+             "&#xFFFE;", "&#000000065;", "&#x0000000041", "&copy 2024", "&amp x", "&notit;", "&lpar;", "&ampamp;", "&Amp;", "&" + "a" * 40 + ";"]
+    texts = ["".join(rng.choice(parts) if rng.random() < 0.6 else "&" + rng.choice(names) for _ in range(rng.randint(1, 6))) for _ in range(600)]
+    texts += ["&" + n for n in names] + [f"&#{i};" for i in range(300)]
     assert values(spark, texts, X.unescape_html("s")) == [html.unescape(t) for t in texts]
 
 
