@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,30 +78,58 @@ def render_prompt(
     template: str,
     keys: tuple[str, ...],
     wrapper: str = "mistral",
-    labels: dict[str, str] | None = None,
-    examples: list[tuple[str, str]] | None = None,
+    labels: dict[str, str] | Column | None = None,
+    examples: list[tuple[str, str]] | Column | None = None,
 ) -> Column:
     """The whole prompt for a title.
 
     Answer form, label definitions and few-shot examples are settings of a few
     lines, so they go into the plan as text; only the title is filled in per row.
-    It goes in last, so braces and percent signs in it stay as they are.
+    It goes in last, so braces and percent signs in it stay as they are. Labels and
+    examples may also be columns: the one text that ``settings_text`` makes of a table.
     """
-    label_text = "".join(f"{k}: {v}\n" for k, v in (labels or {}).items())
-    example_text = "".join(f"Title: {t}\nAnswer: {a}\n" for t, a in (examples or []))
+    given = {}
+    for name, value in (("labels", labels), ("examples", examples)):
+        if isinstance(value, Column):
+            given[name] = value
+    label_text, example_text = "\x00labels\x00", "\x00examples\x00"
+    if "labels" not in given:
+        label_text = "".join(f"{k}: {v}\n" for k, v in (labels or {}).items())
+    if "examples" not in given:
+        example_text = "".join(f"Title: {t}\nAnswer: {a}\n" for t, a in (examples or []))
     filled = (
         template.replace("{frmt}", answer_form(keys))
         .replace("{labels}", label_text)
         .replace("{examples}", example_text)
     )
     filled = WRAPPERS[wrapper].replace("{prompt}", filled)
-    parts = filled.split("{text}")
-    pieces = [F.lit(parts[0])]
-    for part in parts[1:]:
-        pieces += [_col(title), F.lit(part)]
+    pieces = []
+    for i, part in enumerate(filled.split("{text}")):
+        if i:
+            pieces.append(_col(title))
+        for k, piece in enumerate(part.split("\x00")):
+            # Every second piece names what a column holds.
+            pieces.append(given[piece] if k % 2 else F.lit(piece))
     return F.concat(*pieces)
 
 
+def settings_text(rows, first: str, second: str, form: str, most: int = 200) -> Column:
+    """The rows of a small table as one text, in order of their two columns.
+
+    ``form`` has ``{0}`` and ``{1}`` for the columns. More than ``most`` rows stop the
+    job: what goes into every prompt is a setting, not a corpus.
+    """
+    start, middle, end = (F.lit(x) for x in re.split(r"\{[01]\}", form))
+    pair = F.struct(F.col(first).cast("string").alias("a"), F.col(second).cast("string").alias("b"))
+    few = rows.select(pair.alias("p")).orderBy("p").limit(most + 1)
+    lines = F.transform(
+        F.array_sort(F.collect_list("p")), lambda p: F.concat(start, p["a"], middle, p["b"], end)
+    )
+    many = F.raise_error(F.lit(f"more than {most} rows for a prompt")).cast("string")
+    text = F.when(F.count(F.lit(1)) > most, many).otherwise(F.array_join(lines, ""))
+    return few.agg(text.alias("text")).scalar()
+
+
 def score_payload(prompt: Column | str, temperature: float = 0.5) -> Column:
     """JSON body of a scoring request."""
     fields = [_col(prompt).alias("prompt")]

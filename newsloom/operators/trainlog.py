@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
@@ -200,3 +201,58 @@ def train_title_regressor(
             ),
         ]
     ).fit(titles.select(text, label))
+
+
+# Strengths of regularisation tried one after the other, from strong to weak.
+REG_PATH = (0.3, 0.1, 0.03, 0.01, 0.003)
+MAX_TOKENS = 128
+
+
+def select_title_regressor(
+    titles: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    label: str = "label",
+    path: tuple[float, ...] = REG_PATH,
+    patience: int = PATIENCE,
+    max_tokens: int = MAX_TOKENS,
+    features: int = 4096,
+    max_iter: int = 20,
+):
+    """The best regressor along a path of settings, and the log of the path.
+
+    Titles are cut to ``max_tokens`` words and split by ``split``. Each setting is an
+    epoch of the log ``(run, epoch, reg, train_loss, eval_loss)``; the path ends when
+    ``patience`` settings in a row were no better on the held-out side. Features are
+    computed once for all settings.
+    """
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    rows = split(titles, key).select("side", label, F.slice(words, 1, max_tokens).alias("words"))
+    prepare = Pipeline(
+        stages=[
+            HashingTF(inputCol="words", outputCol="tf", numFeatures=features),
+            IDF(inputCol="tf", outputCol="features"),
+        ]
+    ).fit(rows.filter("side = 'train'"))
+    ready = prepare.transform(rows).select("side", label, "features").persist()
+    train, held = ready.filter("side = 'train'"), ready.filter("side = 'test'")
+    judge = RegressionEvaluator(labelCol=label, metricName="mse")
+    log, models = [], []
+    try:
+        for epoch, reg in enumerate(path):
+            trainer = LinearRegression(
+                labelCol=label, regParam=reg, maxIter=max_iter, solver="l-bfgs"
+            )
+            models.append(trainer.fit(train))
+            losses = [judge.evaluate(models[-1].transform(side)) for side in (train, held)]
+            log.append(("title", epoch, reg, *losses))
+            best = min(range(len(log)), key=lambda i: (log[i][4], i))
+            if epoch - best >= patience:
+                break
+    finally:
+        ready.unpersist()
+    frame = titles.sparkSession.createDataFrame(
+        log, "run string, epoch int, reg double, train_loss double, eval_loss double"
+    )
+    chosen = best_epoch(frame, ["run"]).first()["best_epoch"]
+    return PipelineModel([*prepare.stages, models[chosen]]), frame

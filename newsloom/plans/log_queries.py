@@ -125,3 +125,17 @@ def m4(spark: SparkSession, d: str) -> DataFrame:
     return model.transform(sides).select(
         "doc_id", "side", "label", (~F.isnan(value) & (F.abs(value) < 1e6)).alias("predicted")
     )
+
+
+@query(
+    "m4_training_log",
+    f"""SELECT 'title' AS run, CAST(i AS INT) AS epoch, list_extract({list(L.REG_PATH)}, CAST(i AS INT) + 1)::DOUBLE AS reg,
+        true AS measured FROM range({len(L.REG_PATH)}) t(i)""",
+)
+def m4_log(spark: SparkSession, d: str) -> DataFrame:
+    """Every setting of the path with both losses; values cannot be told in SQL."""
+    labels = table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
+    rows = table(spark, d, "documents").select("doc_id", "text").join(labels, "doc_id")
+    _, log = L.select_title_regressor(rows, patience=len(L.REG_PATH))
+    measured = F.col("train_loss").between(0, 10) & F.col("eval_loss").between(0, 10)
+    return log.select("run", "epoch", "reg", measured.alias("measured"))

@@ -233,6 +233,23 @@ def j8(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", prompt.alias("prompt"))
 
 
+_SHORTEST = "SELECT text, item_id FROM benchmark ORDER BY length(text), item_id LIMIT 3"
+
+
+@query(
+    "j8_examples_from_table",
+    f"""SELECT conv_id, turn, '<s>[INST]Form.' || chr(10) || (SELECT string_agg('Title: ' || text || chr(10) ||
+          'Answer: ' || item_id || chr(10), '' ORDER BY text, CAST(item_id AS VARCHAR)) FROM ({_SHORTEST}))
+          || 'Title: ' || text || '[/INST]' AS prompt FROM conversations""",
+)
+def j8_table(spark: SparkSession, d: str) -> DataFrame:
+    """Few-shot examples that are rows of a table: its three shortest ones."""
+    few = table(spark, d, "benchmark").orderBy(F.length("text"), "item_id").limit(3)
+    shots = S.settings_text(few, "text", "item_id", "Title: {0}\nAnswer: {1}\n")
+    prompt = S.render_prompt("text", "Form.\n{examples}Title: {text}", S.THEME_KEYS, "mistral", examples=shots)
+    return table(spark, d, "conversations").select("conv_id", "turn", prompt.alias("prompt"))
+
+
 @query(
     "a10_group_examples",
     """SELECT text, array_to_string(list_sort(list(DISTINCT answer)), '|') AS answers

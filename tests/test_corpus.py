@@ -103,6 +103,30 @@ def test_regressor_learns_and_is_saved(spark, tmp_path):
     assert all((r.prediction > 0.5) == (r.label > 0.5) for r in got)
 
 
+def test_regressor_is_chosen_on_the_held_out_side(spark):
+    rng = random.Random(2)
+    rows = [(i, f"solar park {rng.random()}" if i % 2 else f"coal mine {rng.random()}", float(i % 2)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, label double")
+    model, log = L.select_title_regressor(df, features=256, path=(1.0, 0.1, 0.01, 0.5, 0.6, 0.7, 0.8), patience=2)
+    entries = log.orderBy("epoch").collect()
+    best = min(entries, key=lambda r: (r.eval_loss, r.epoch))
+    # The path ends after two settings in a row that are no better.
+    assert len(entries) == min(7, best.epoch + 3)
+    assert model.stages[-1].getRegParam() == best.reg
+    stop = L.early_stop(log, ["run"], patience=2).collect()
+    assert not stop or stop[0].stop_epoch == entries[-1].epoch
+    words = df.selectExpr("label", "split(text, ' ') AS words")
+    assert all((r.prediction > 0.5) == (r.label > 0.5) for r in model.transform(words).collect())
+
+
+def test_text_vocabulary_is_that_of_the_corpus(spark):
+    docs = spark.createDataFrame([(1, "The Sun, the SUN and a sun\n\nPark"), (2, "park It's it's"), (3, None)], "doc_id int, text string")
+    for stop in (["the"], []):
+        want = K.vocabulary(K.preprocess(docs, stopwords=stop), 1)
+        got = K.text_vocabulary(docs, 1, stopwords=stop)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_examples(spark, fixture_path):
     from newsloom.operators.scoring import group_examples
 

@@ -8,6 +8,7 @@ from newsloom.functions import scores as S
 from newsloom.operators import incremental as I
 from newsloom.operators import scoring as R
 from newsloom.plans import acquire as A
+from newsloom.plans import newsletters as NL
 from newsloom.plans import titles as T
 from newsloom.plans import words as W
 from newsloom.sources import keyed_json as J
@@ -232,3 +233,39 @@ def test_rows_without_details_may_come_again(spark):
     store = spark.read.parquet(A.take_new(spark, pages, "ec", None, details))
     # 2 failed twice and stopped nothing; the second 1 did stop the listing.
     assert {r.article_id: r.headline for r in store.collect()} == {"1": "H1", "3": "H3"}
+
+
+def test_newsletter_from_days_to_articles(spark):
+    def link(category, n):
+        return f'<a href="https://r/?url=https%3A%2F%2Fh%2Fnews%2F{category}%2F{n}&mailer_id=1">Story {n}</a>'
+
+    def pages(**days):
+        rows = [(f"2024-01-{d[1:]}", html) for d, html in days.items()]
+        return spark.createDataFrame(rows, "nl_date string, html string").withColumn("nl_date", F.to_date("nl_date"))
+
+    asked = [str(r.nl_date) for r in NL.days_to_ask(spark, None, "2024-01-01", "2024-01-03").collect()]
+    assert sorted(asked) == ["2024-01-01", "2024-01-02", "2024-01-03"]
+    index = NL.add_days(spark, pages(d01=link("oil", 1) + link("coal", 2), d02="<p>none</p>"), None)
+    left = NL.days_to_ask(spark, index, "2024-01-01", "2024-01-03").collect()
+    assert [str(r.nl_date) for r in left] == ["2024-01-03"]
+    # A day that is known is left as it is; a new one is added.
+    again = NL.add_days(spark, pages(d01=link("oil", 9), d03=link("oil", 3) + link("oil", 1)), index)
+    assert again == index
+
+    sibling = spark.createDataFrame([("3",)], "article_id string")
+    links = NL.links_to_fetch(spark, index, None, [sibling])
+    assert sorted((r.category, r.article_id) for r in links.collect()) == [("coal", "2"), ("oil", "1")]
+    record = '<script type="application/ld+json">{}</script><script type="application/ld+json">{"headline": "H"}</script>'
+    fetched = links.select("url", F.when(F.col("article_id") == "1", record).otherwise("<p>gone</p>").alias("html"))
+    store, dead = NL.add_articles(spark, links, fetched.unionByName(fetched), None)
+    got = spark.read.parquet(store).collect()
+    assert [(r.category, r.article_id, r.data.headline) for r in got] == [("oil", "1", "H")]
+    assert [tuple(r) for r in dead.collect()] == [("2", "no block")]
+    assert NL.links_to_fetch(spark, index, store, [sibling], dead).count() == 0
+
+
+def test_details_are_merged_into_a_listing(spark):
+    listing = spark.createDataFrame([("1", "a"), ("2", "b")], "article_id string, title string")
+    details = spark.createDataFrame([("1", "x"), ("1", None), ("9", "y")], "article_id string, data string")
+    got = sorted(map(tuple, NL.merge_details(listing, details).collect()))
+    assert got == [("1", "a", "x"), ("2", "b", None)]

@@ -162,3 +162,26 @@ def test_article_key_is_stable(spark):
     df = spark.createDataFrame([("u", "s", "t"), ("u", "s", "t2")], "url string, source string, title string")
     keys = [r[0] for r in df.select(R.article_key()).collect()]
     assert len(set(keys)) == 2
+
+
+def test_prompt_settings_from_tables(spark):
+    shots = spark.createDataFrame([("b", "2"), ("a", "1"), ("a {text}", "0")], "text string, answer string")
+    labels = spark.createDataFrame([("pr", "Policy")], "key string, name string")
+    rows = spark.createDataFrame([("T {x} %",), (None,)], "title string")
+    prompt = S.render_prompt(
+        "title", "{labels}{examples}Title: {text}", S.SOLAR_KEYS,
+        labels=S.settings_text(labels, "key", "name", "{0}: {1}\n"),
+        examples=S.settings_text(shots, "text", "answer", "Title: {0}\nAnswer: {1}\n"),
+    )
+    want = S.render_prompt(
+        "title", "{labels}{examples}Title: {text}", S.SOLAR_KEYS,
+        labels={"pr": "Policy"}, examples=[("a", "1")],
+    )
+    got = [r[0] for r in rows.select(prompt).collect()]
+    assert got[0] == (
+        "<s>[INST]pr: Policy\nTitle: a\nAnswer: 1\nTitle: a {text}\nAnswer: 0\nTitle: b\nAnswer: 2\nTitle: T {x} %[/INST]"
+    )
+    assert got[1] is None
+    assert rows.select(want).first()[0].endswith("Title: a\nAnswer: 1\nTitle: T {x} %[/INST]")
+    with pytest.raises(Exception, match="more than 2 rows"):
+        rows.select(S.settings_text(shots, "text", "answer", "{0}={1};", most=2)).collect()
