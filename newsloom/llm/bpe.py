@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from newsloom.llm.common import ids_back, keyed_texts
 #: and letters are the library's for them. Others go through the library's own rules.
 _UNUSUAL = re.compile("[\x1c-\x1f\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbeɐ-\U0010ffff]")
 _PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-_KEPT = 400_000
+_KEPT = 200_000
 
 
 def byte_symbols() -> list[str]:
@@ -57,30 +58,43 @@ class Fragments(dict):
 
 
 class Bpe:
-    """One vocabulary, read from a tokenizers file."""
+    """One vocabulary, read from a tokenizers file.
 
-    def __init__(self, path: str):
+    With ``library`` the words are merged by the library's own model in place of forced
+    boundaries and merges here; the ids are the same.
+    """
+
+    def __init__(self, path: str, library: bool = False):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         self.end = model["end_of_word_suffix"] or ""
-        self.vocab: dict[str, int] = model["vocab"]
-        self.ranks = {tuple(m): i for i, m in enumerate(model["merges"])}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special = re.compile("|".join(map(re.escape, self.special)) or "(?!)")
         rules = Tokenizer.from_file(path)
         self._normalizer, self._splitter = rules.normalizer, rules.pre_tokenizer
+        self._model = rules.model if library else None
         self._symbols = byte_symbols()
+        self._shown = str.maketrans(dict(enumerate(self._symbols)))
+        self.pieces = Fragments(self._encode_piece)
+        self.words = Fragments(self._encode_word)
+        self.fragments: dict[tuple[str, ...], bytes] = {}
+        if library:
+            return
+        self.vocab: dict[str, int] = model["vocab"]
+        self.ranks = {tuple(m): i for i, m in enumerate(model["merges"])}
         n = max([*self.vocab.values(), *self.special.values()]) + 1
         self.tokens = [b""] * n
         for token, i in {**self.vocab, **self.special}.items():
             self.tokens[i] = token.encode()
         self.inside = {p for token in self.vocab for p in self._pairs(self._split(token))}
-        self.pieces = Fragments(self._encode_piece)
-        self.words = Fragments(self._encode_word)
-        self.fragments: dict[tuple[str, ...], bytes] = {}
+
+    def forget(self) -> None:
+        """Let go of the words met so far, for what a worker does next."""
+        for kept in (self.pieces, self.words, self.fragments):
+            kept.clear()
 
     def _split(self, token: str) -> list[str]:
         """Symbols of a token, the mark of the word's end with the last one."""
@@ -148,12 +162,15 @@ class Bpe:
                     heapq.heappush(heap, (ranks[p], a, p))
         return [p for p in live if p is not None]
 
+    def _merged(self, fragment: list[str]) -> bytes:
+        ids = [self.vocab[p] for p in self._merge(fragment) if p in self.vocab]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _encode_symbols(self, fragment: list[str]) -> bytes:
         key = tuple(fragment)
         got = self.fragments.get(key)
         if got is None:
-            ids = [self.vocab[p] for p in self._merge(list(fragment)) if p in self.vocab]
-            got = np.array(ids, "<u4").tobytes()
+            got = self._merged(fragment)
             if len(self.fragments) >= _KEPT:
                 self.fragments.clear()
             if len(key) <= 64:
@@ -162,11 +179,18 @@ class Bpe:
 
     def _encode_word(self, word: str) -> bytes:
         """A word of the pre-tokenizer, lower-cased."""
+        if self._model is not None:
+            found = self._model.tokenize(word.encode().decode("latin-1").translate(self._shown))
+            return struct.pack(f"<{len(found)}I", *[t.id for t in found])
         table = self._symbols
         symbols = [table[b] for b in word.encode()]
         if symbols:
             symbols[-1] += self.end
-        return b"".join(map(self._encode_symbols, self.cut(symbols)))
+        fragments = self.cut(symbols)
+        # A word without a cut is kept as a word already.
+        if len(fragments) == 1:
+            return self._merged(symbols)
+        return b"".join(map(self._encode_symbols, fragments))
 
     def _encode_piece(self, piece: str) -> bytes:
         """What stands between two white-space characters in a usual text."""
@@ -209,14 +233,14 @@ class Bpe:
         return b" ".join(map(self.tokens.__getitem__, got))
 
 
-_OPEN: dict[str, Bpe] = {}
+_OPEN: dict[tuple[str, bool], Bpe] = {}
 
 
-def vocabulary(path: str) -> Bpe:
+def vocabulary(path: str, library: bool = False) -> Bpe:
     """The vocabulary of a file, read once in each Python worker."""
-    if path not in _OPEN:
-        _OPEN[path] = Bpe(path)
-    return _OPEN[path]
+    if (path, library) not in _OPEN:
+        _OPEN[path, library] = Bpe(path, library)
+    return _OPEN[path, library]
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -232,6 +256,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
             yield pd.DataFrame(
                 {"doc_id": batch["doc_id"], "ids": [bpe.encode(t) for t in batch["text"]]}
             )
+        bpe.forget()
 
     return ids_back(keyed_texts(docs).mapInPandas(run, "doc_id string, ids binary"))
 
@@ -273,6 +298,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "doc_id", batch["doc_id"].array)
             yield out
+        bpe.forget()
 
     schema = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return ids_back(keyed_texts(docs).mapInPandas(run, schema))

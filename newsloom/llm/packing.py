@@ -31,6 +31,8 @@ SIZE = 2048
 BLOCK, ISLANDS, POPULATION, EPOCHS, CHILDREN = 8192, 4, 4, 3, 4
 #: Numbers of sequences that a block has for itself; hashes deal it about ``BLOCK``.
 _STRIDE = 1 << 24
+#: Bytes of ids that a task hands on at once.
+_CHUNK = 8 * 2**20
 #: Sequences filled less than this are packed again across blocks.
 WELL_FILLED = 0.97
 
@@ -43,16 +45,23 @@ def token_pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
     ``doc_id`` are different documents.
     """
 
+    names = ["doc_id", "piece", "start", "length", "ids"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = vocabulary(path)
+        bpe = vocabulary(path, library=True)
+        rows, held = [], 0
         for batch in batches:
-            rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
                 ids = bpe.encode(text) + b"\0\0\0\0"
                 for piece, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
                     rows.append((doc, piece, at // 4, len(part) // 4, part))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"])
+                held += len(ids)
+                if held > _CHUNK:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+        yield pd.DataFrame(rows, columns=names)
+        bpe.forget()
 
     schema = "doc_id string, piece int, start long, length long, ids binary"
     return ids_back(keyed_texts(docs).mapInPandas(run, schema))
