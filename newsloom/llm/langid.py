@@ -79,15 +79,20 @@ def sample(docs: DataFrame, most: int = SAMPLE, languages: int = LANGUAGES) -> D
     """``text, lang, rank``: of each language the ``most`` texts of least id hash.
 
     Only rows with an id, a language and a letter whose id is not held out. Ranks are
-    limited before the shuffle.
+    limited before the shuffle and made of keys alone; the texts of the bounded number
+    of keys are fetched where they are.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
     ).where(is_training(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     largest = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-    return ranked.join(F.broadcast(largest.select("lang")), "lang").select("text", "lang", "rank")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "hash")
+    keys = rows.select("lang", "doc_id", F.xxhash64("text").alias("hash"))
+    ranked = keys.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    # At most ``most`` keys of each of ``languages`` languages.
+    ranked = ranked.join(F.broadcast(largest.select("lang")), "lang")
+    found = rows.withColumn("hash", F.xxhash64("text")).join(F.broadcast(ranked), ["lang", "doc_id", "hash"])
+    return found.dropDuplicates(["lang", "rank"]).select("text", "lang", "rank")
 
 
 def train(docs: DataFrame, most: int = SAMPLE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:

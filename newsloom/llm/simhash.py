@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import ids_back, keyed_texts, saved, with_row
 
 WORDS, RADIUS, PARTS, SEED = 3, 2, 4, 42
+#: Radius and parts of a wider search, which finds near copies of more changes.
+WIDE = (4, 6)
 #: Points of a bucket of trees, and (query, node) pairs that a search holds at once.
 BUCKET, FRONT = 60_000, 1 << 19
 #: Shingles whose bits are counted at once.
@@ -157,55 +160,66 @@ def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarr
     return top(np.arange(n))
 
 
-def _bits(at: int, width: int) -> str:
-    return f"(shiftrightunsigned(fp, {at}) & {(1 << width) - 1}L)"
+def part_masks(parts: int) -> list[int]:
+    """The 64 bits cut into ``parts`` of nearly equal width."""
+    cuts = [round(i * 64 / parts) for i in range(parts + 1)]
+    return [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
 
 
-def _shared(parts: list[tuple[int, int]], radius: int) -> list[tuple[str, list[tuple[int, int]]]]:
-    """For each choice of parts that a near pair must share: their bits as one number,
-    and the parts that are left. A part is (lowest bit, width)."""
-    out = []
-    for chosen in combinations(parts, len(parts) - radius):
-        key = "0L"
-        for at, width in chosen:
-            key = f"({key} * {1 << width}L + {_bits(at, width)})"
-        out.append((key, [p for p in parts if p not in chosen]))
-    return out
+def halves(mask: int) -> list[int]:
+    """A run of bits as two runs."""
+    low, width = mask & -mask, mask.bit_count()
+    first = low * ((1 << width // 2) - 1)
+    return [first, mask - first]
 
 
-def shards(points: DataFrame, limit: int = BUCKET) -> DataFrame:
+def shard_masks(radius: int = RADIUS, parts: int = PARTS) -> tuple[list[int], list[tuple[int, int]]]:
+    """Masks of the bits that a near pair must share, one of them at least.
+
+    The second list has finer masks ``(number of the mask, mask)`` for shards that are
+    too large: of the bits left, cut in halves, a near pair shares all but ``radius``.
+    """
+    every = part_masks(parts)
+    top, finer = [], []
+    for chosen in combinations(every, parts - radius):
+        rest = [h for m in every if m not in chosen for h in halves(m)]
+        for more in combinations(rest, len(rest) - radius):
+            finer.append((len(top), sum(chosen) + sum(more)))
+        top.append(sum(chosen))
+    return top, finer
+
+
+def _signed(mask: int) -> int:
+    return mask - (mask >> 63 << 64)
+
+
+def shards(points: DataFrame, radius: int = RADIUS, parts: int = PARTS, limit: int = BUCKET) -> DataFrame:
     """``part, key, fp``: the shards of distinct points, each of a bounded size.
 
-    A shard of more than ``limit`` points is cut once more by the bits that its points
-    do not share yet; then 48 bits are shared, so it holds 65536 points at most. Points
-    alone in their shard are left out: they have no pair there.
+    A key is the fingerprint's bits under a mask. A shard of more than ``limit`` points
+    is cut once more by finer masks; what is left free then, 16 bits for a radius of 2,
+    bounds its points. Points alone in their shard are left out: they have no pair there.
     """
-    width = 64 // PARTS
-    top = _shared([(i * width, width) for i in range(PARTS)], RADIUS)
-    keys = ", ".join(f"struct({k} AS part, {key} AS key)" for k, (key, _) in enumerate(top))
+    top, finer = shard_masks(radius, parts)
+    keys = ", ".join(f"struct({k} AS part, fp & {_signed(m)}L AS key)" for k, m in enumerate(top))
     by = Window.partitionBy("part", "key")
     first = (
         points.selectExpr("fp", f"inline(array({keys}))")
         .withColumn("n", F.count("*").over(by))
         .where("n > 1")
     )
-    cases = []
-    for k, (_, rest) in enumerate(top):
-        halves = [(at + h * width // 2, width // 2) for at, _ in rest for h in (0, 1)]
-        finer = ", ".join(
-            f"struct({100 + 10 * k + i} AS part, key * 65536L + {key} AS key)"
-            for i, (key, _) in enumerate(_shared(halves, RADIUS))
-        )
-        cases.append(f"WHEN part = {k} THEN array({finer})")
-    # A finer key is 48 bits: 32 shared ones and 16 more.
-    large = first.where(F.col("n") > limit).selectExpr("fp", f"inline(CASE {' '.join(cases)} END)")
+    rows = [(k, len(top) + i, _signed(m)) for i, (k, m) in enumerate(finer)]
+    masks = points.sparkSession.createDataFrame(rows, "part int, finer int, mask long")
+    # A table of a fixed number of rows.
+    large = first.where(F.col("n") > limit).join(F.broadcast(masks), "part")
+    large = large.select(F.col("finer").alias("part"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
     return first.where(F.col("n") <= limit).select("part", "key", "fp").unionByName(large)
 
 
-def links(points: DataFrame, n: int, limit: int = BUCKET) -> DataFrame:
+def links(points: DataFrame, n: int, radius: int = RADIUS, parts: int = PARTS, limit: int = BUCKET) -> DataFrame:
     """Spanning links ``a, b`` between the ``n`` distinct ``fp`` of ``points``."""
-    buckets = max(1, -(-6 * n // BUCKET))
-    sharded = shards(points, limit)
+    buckets = max(1, -(-comb(parts, radius) * n // BUCKET))
+    sharded = shards(points, radius, parts, limit)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["part", "key", "fp"], kind="stable")
@@ -213,7 +227,7 @@ def links(points: DataFrame, n: int, limit: int = BUCKET) -> DataFrame:
         shard = np.r_[0, np.cumsum((part[1:] != part[:-1]) | (key[1:] != key[:-1]))]
         points = group["fp"].to_numpy().view(np.uint64)
         forest = Forest(shard, points)
-        label = spanning(len(points), forest.within(RADIUS))
+        label = spanning(len(points), forest.within(radius))
         linked = np.flatnonzero(label != np.arange(len(points)))
         return pd.DataFrame({"a": points[label[linked]].view(np.int64), "b": points[linked].view(np.int64)})
 
@@ -246,29 +260,29 @@ def components(pairs: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _named(points: DataFrame) -> DataFrame:
+def _named(points: DataFrame, radius: int, parts: int) -> DataFrame:
     """``fp, root`` for distinct ``fp``: the least fingerprint that links reach."""
-    found = components(links(points.select("fp"), points.count()))
+    found = components(links(points.select("fp"), points.count(), radius, parts))
     # Only points with links are in there; all others are their own component.
     near = points.join(found, F.col("fp") == F.col("node"), "left")
     return near.withColumn("root", F.coalesce("root", "fp")).drop("node")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, parts: int = PARTS) -> DataFrame:
     """``doc_id, fp, component_id``, one row per row of ``docs``.
 
     ``component_id`` is the smallest ``doc_id`` that links reach, itself included (null
     if all ids in reach are null). Rows of equal ids are rows of their own.
     """
     rows = saved(fingerprints(docs), "fingerprints")
-    roots = saved(_named(rows.groupBy("fp").agg(F.min("doc_id").alias("least"))), "roots")
+    roots = saved(_named(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), radius, parts), "roots")
     ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     named = saved(roots.join(ids, "root").select("fp", "component_id"), "named")
     # A fingerprint of very many copies: adaptive execution splits it in this join.
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, radius: int = RADIUS, parts: int = PARTS) -> DataFrame:
     """One row of each component, all columns: the one with the smallest ``doc_id``.
 
     Null ids come last. Of rows with the same id and fingerprint the least hash of the
@@ -285,7 +299,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = keyed_texts(docs).withColumn("hash", F.xxhash64("text"))
     rows = ids_back(rows.mapInPandas(run, "doc_id string, hash long, fp long"))
     points = saved(rows.groupBy("fp").agg(F.min(rank).alias("least")), "points")
-    best = _named(points).groupBy("root").agg(F.min("least").alias("least"))
+    best = _named(points, radius, parts).groupBy("root").agg(F.min("least").alias("least"))
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     stay = best.select(F.coalesce("least.doc_id", F.lit(-(2**63))).alias("key"), F.col("least.hash").alias("hash"))
     # The best of several components may be equal where rows repeat: one row each.

@@ -385,7 +385,8 @@ def test_one_of_each(docs, rows, none):
 
 
 @pytest.mark.parametrize("limit", [simhash.BUCKET, 3])
-def test_links_of_close_points(spark, limit):
+@pytest.mark.parametrize("radius, parts", [(2, 4), simhash.WIDE, (1, 2)])
+def test_links_of_close_points(spark, radius, parts, limit):
     rng = random.Random(1)
     points = set()
     for _ in range(8):
@@ -396,7 +397,7 @@ def test_links_of_close_points(spark, limit):
     points |= {rng.getrandbits(64) for _ in range(200)} | {0, 1, 3, 7, 15, 2**63, 2**64 - 1}
     points = sorted(points)
     frame = spark.createDataFrame([(p - (p >> 63 << 64),) for p in points], "fp long")
-    found = {(r.node, r.root) for r in simhash.components(simhash.links(frame, len(points), limit)).collect()}
+    found = {(r.node, r.root) for r in simhash.components(simhash.links(frame, len(points), radius, parts, limit)).collect()}
     root = {p: p for p in points}
 
     def top(p):
@@ -406,7 +407,7 @@ def test_links_of_close_points(spark, limit):
 
     for i, p in enumerate(points):
         for q in points[:i]:
-            if (p ^ q).bit_count() <= 2:
+            if (p ^ q).bit_count() <= radius:
                 root[top(p)] = top(q)
     groups = defaultdict(set)
     for p in points:
@@ -415,6 +416,16 @@ def test_links_of_close_points(spark, limit):
     assert {x for x in found if x[0] != x[1]} == want
 
 
+@pytest.mark.parametrize("radius, parts", [(2, 4), (4, 6), (3, 5)])
+def test_masks_leave_no_near_pair_out(radius, parts):
+    rng = random.Random(9)
+    top, finer = simhash.shard_masks(radius, parts)
+    for _ in range(2000):
+        apart = sum(1 << b for b in rng.sample(range(64), radius))
+        hit = [k for k, m in enumerate(top) if not m & apart]
+        assert hit and any(not m & apart for k, m in finer if k == hit[0])
+
+
 def test_forest_finds_all_pairs():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
