@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import bpe, exact, langid, packing, quality, sharding, simhash, tools, urls, warc
+from newsloom.llm.quality_sql import OP1_SQL
 
 #: Tokenizer file of packing and encoding.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -131,4 +132,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_bpe": op10_bpe,
 }
-SQL: dict[str, str] = {"op3_tool_calls": OP3_SQL, "op5_warc": OP5_SQL, "op6_exact_dedup": OP6_SQL}
+SQL: dict[str, str] = {"op1_quality": OP1_SQL, "op3_tool_calls": OP3_SQL, "op5_warc": OP5_SQL, "op6_exact_dedup": OP6_SQL}
