@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.session import fresh_path
@@ -11,6 +13,19 @@ from newsloom.session import fresh_path
 WHITE = " \t\n\x0b\x0c\r"
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    Functions that run there name others of the package. Where the package is installed
+    or on the path of the executors already, this changes nothing.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared working folder and read back.
 
@@ -24,6 +39,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 def texts(docs: DataFrame) -> DataFrame:
     """Only ``doc_id`` and ``text`` of documents, under their own types."""
+    importable(docs.sparkSession)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),

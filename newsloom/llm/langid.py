@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import ids_back, keyed_texts, saved, with_row
+from newsloom.llm.common import ids_back, importable, keyed_texts, saved, with_row
 
 #: Longest n-grams; bits of an n-gram's hash.
 SPECTRUM, BITS = 3, 20
@@ -101,6 +101,7 @@ def train(docs: DataFrame, most: int = SAMPLE, landmarks: int = LANDMARKS, ridge
     Sets of n-grams of the landmarks and one row of kernel values per sampled text reach
     the driver, both bounded by the parameters.
     """
+    importable(docs.sparkSession)
     chosen = saved(sample(docs, most), "language-sample")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

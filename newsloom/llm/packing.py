@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.bpe import vocabulary
-from newsloom.llm.common import ids_back, keyed_texts, saved
+from newsloom.llm.common import ids_back, importable, keyed_texts, saved
 
 SIZE = 2048
 #: Pieces in a block, islands of a block, packings of an island, epochs, children of
@@ -253,6 +253,7 @@ def pack(items: DataFrame, size: int = SIZE, block: int = BLOCK) -> DataFrame:
 
     An empty table gives an empty plan. Equal lengths are told apart by ``uid``.
     """
+    importable(items.sparkSession)
     items = items.select("uid", "length")
     # Packed sequences are numbered from 0 on, sequences of one whole piece below 0.
     whole = items.where(F.col("length") == size).select(

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import ids_back, keyed_texts, saved, with_row
+from newsloom.llm.common import ids_back, importable, keyed_texts, saved, with_row
 
 WORDS, RADIUS, PARTS, SEED = 3, 2, 4, 42
 #: Radius and parts of a wider search, which finds near copies of more changes.
@@ -218,6 +218,7 @@ def shards(points: DataFrame, radius: int = RADIUS, parts: int = PARTS, limit: i
 
 def links(points: DataFrame, n: int, radius: int = RADIUS, parts: int = PARTS, limit: int = BUCKET) -> DataFrame:
     """Spanning links ``a, b`` between the ``n`` distinct ``fp`` of ``points``."""
+    importable(points.sparkSession)
     buckets = max(1, -(-comb(parts, radius) * n // BUCKET))
     sharded = shards(points, radius, parts, limit)
 

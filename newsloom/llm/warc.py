@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import saved
+from newsloom.llm.common import importable, saved
 from newsloom.session import fresh_path
 
 VERSION = "WARC/1.1\r\n"
@@ -172,6 +172,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     ``payload_bytes`` are computed from it, for a revisit the digest is the stated one.
     ``fields`` is the block of a request or metadata record.
     """
+    importable(spark)
     names = [c.split()[0] for c in _RECORD.split(", ")]
     lines = spark.read.option("lineSep", VERSION).text(path)
     lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
