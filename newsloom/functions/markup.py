@@ -172,11 +172,11 @@ def nested_blocks(markup: Column, tag: str, cls=None, **attrs: str) -> Column:
 
 def whole_blocks(markup: Column, tag: str, cls=None, **attrs: str) -> Column:
     """``nested_blocks``, by one pattern where no element of the tag holds another."""
-    inner = rf"(?is)\A<{tag}\b" + _TAIL + rf".*?<{tag}\b"
-
     def choose(page: Column) -> Column:
         def pick(flat: Column) -> Column:
-            nested = F.exists(flat, lambda b: b.rlike(inner))
+            # A plain search: it may also meet a longer name, and then the longer way is
+            # taken for nothing.
+            nested = F.exists(flat, lambda b: F.locate(f"<{tag}", F.lower(b), 2) > 0)
             return F.when(nested, nested_blocks(page, tag, cls, **attrs)).otherwise(flat)
 
         return bind(flat_blocks(page, tag, cls, **attrs), pick)
