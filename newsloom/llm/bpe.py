@@ -29,7 +29,7 @@ from newsloom.llm.common import ids_back, keyed_texts
 #: and letters are the library's for them. Others go through the library's own rules.
 _UNUSUAL = re.compile("[\x1c-\x1f\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbeɐ-\U0010ffff]")
 _PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-_KEPT = 200_000
+_KEPT = 400_000
 
 
 def byte_symbols() -> list[str]:
