@@ -1,0 +1,97 @@
+"""Near copies of the pipeline beside all pairs of five-word shingle sets."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from newsloom.llm import alike, simhash
+
+DOCS = "doc_id long, text string, root string, point int"
+
+
+def grams(text):
+    words = (text or "").split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def least_of_groups(rows):
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    sets = [grams(t) for _, t, *_ in rows]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                root[top(i)] = top(j)
+    groups = {}
+    for i, row in enumerate(rows):
+        groups.setdefault(top(i), []).append(row[0])
+    return sorted(map(min, groups.values()))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    passage = rng.choices(words, k=40)
+    out = ["", " \t", None, "one", "one two", "one  two", "one two three four five six"]
+    for _ in range(12):
+        base = rng.choices(words, k=rng.randint(60, 150)) + passage
+        out.append(" ".join(base))
+        for _ in range(14):
+            copy = list(base)
+            for _ in range(rng.randint(1, 5)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            out.append(" ".join(copy))
+    # A chain: each is alike to the next, not to the one after.
+    chain = rng.choices(words, k=400)
+    return out + [" ".join(chain[i : i + 100]) for i in range(0, 120, 8)]
+
+
+def test_stage_keeps_one_of_all_alike(spark, texts, monkeypatch):
+    rows = [(i, t, "r", 1) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, DOCS)
+    want = least_of_groups(rows)
+    got = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id for r in got.collect()) == want
+    # The first round alone reaches fewer pairs; later ones have to find the others.
+    monkeypatch.setattr(alike, "REACH", 2)
+    assert sorted(r.doc_id for r in alike.one_of_each(docs).collect()) == want
+
+
+def test_copy_far_from_its_fingerprint(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(500)}" for _ in range(80)]
+    copies = [[*base[:i], "new", *base[i + 1 :]] for i in range(0, 80, 5)]
+    far = [c for c in copies if (simhash.fingerprint(" ".join(base)) ^ simhash.fingerprint(" ".join(c))).bit_count() > 4]
+    assert far
+    docs = spark.createDataFrame([(1, " ".join(base), "r", 1), (2, " ".join(far[0]), "r", 1)], DOCS)
+    assert [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()] == [1]
+
+
+def test_rows_of_equal_ids_and_none(spark):
+    docs = spark.createDataFrame([(None, "a b", "r", 1), (3, "a b", "r", 1), (3, "a b", "r", 1), (None, None, "r", 1)], DOCS)
+    assert sorted((r.doc_id or 0, r.text) for r in alike.one_of_each(docs).collect()) in ([(0, None), (3, "a b")],)
+    assert alike.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_alike_sets_share_a_prefix():
+    rng = np.random.default_rng(1)
+    for n in (1, 4, 5, 9, 15, 50, 200):
+        for _ in range(40):
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            drop = rng.integers(0, n // 5 + 1)
+            b = np.unique(np.r_[a[rng.permutation(len(a))[drop:]], rng.integers(0, 2**63, rng.integers(0, n // 5 + 1), dtype=np.uint64)])
+            common = np.sort(rng.permutation(a)[: n // 2])
+            counts = rng.integers(3, 9, len(common))
+            if alike.alike(a, b):
+                assert set(alike.prefix(a, common, counts)) & set(alike.prefix(b, common, counts))
