@@ -27,6 +27,10 @@ SAMPLE, LANDMARKS, LANGUAGES = 300, 24, 64
 RIDGE = 1e-2
 #: A prediction with less is rejected.
 LEAST_SCORE = 0.3
+#: A prediction is sure unless its lead over the second language and its share of known
+#: n-grams are both less than all but this part of the language's training rows and their
+#: first ``HEAD`` characters have. The heads stand for short texts.
+DOUBT, HEAD = 0.005, 100
 UNKNOWN = "und"
 #: Characters of a text handled at once, texts in a matrix.
 _STEP, _ROWS = 1 << 20, 256
@@ -48,13 +52,31 @@ def hashed_grams(text: str) -> Iterator[np.ndarray]:
             yield (whole[:_STEP] >> np.uint64(64 - BITS) if n > 1 else whole[:_STEP] % np.uint64(1 << BITS)).astype(np.int64)
 
 
+def profile(texts: list[str], columns: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """A row of 0 and 1 for each text, which of the known n-grams it has; and how many it has in all."""
+    out, sizes = np.zeros((len(texts), width + 1), np.float32), np.zeros((len(texts), 1))
+    seen = np.zeros(1 << BITS, bool)
+    for row, size, text in zip(out, sizes, texts):
+        for grams in hashed_grams(text):
+            seen[grams] = True
+        grams = np.flatnonzero(seen)
+        seen[grams] = False
+        row[columns[grams]] = 1
+        size[0] = len(grams)
+    return out[:, :width], np.maximum(sizes, 1)
+
+
 def presence(texts: list[str], columns: np.ndarray, width: int) -> np.ndarray:
     """A row of 0 and 1 for each text: which of the known n-grams it has."""
-    out = np.zeros((len(texts), width + 1), np.float32)
-    for row, text in zip(out, texts):
-        for grams in hashed_grams(text):
-            row[columns[grams]] = 1
-    return out[:, :width]
+    return profile(texts, columns, width)[0]
+
+
+def leads(scores: np.ndarray) -> np.ndarray:
+    """How far the best language of each row is before the second; with one language, before nothing known."""
+    if scores.shape[1] < 2:
+        return scores[:, 0] - 0.5
+    two = np.partition(scores, -2, axis=1)[:, -2:]
+    return two[:, 1] - two[:, 0]
 
 
 def is_training(doc_id: Column) -> Column:
@@ -63,16 +85,30 @@ def is_training(doc_id: Column) -> Column:
 
 
 class Model:
-    """Known n-grams, languages and the weight of each n-gram for each language."""
+    """Known n-grams, languages and the weight of each n-gram for each language.
+
+    ``least`` has for each language the lead and the share of known n-grams; with less
+    of both it is not sure.
+    """
 
-    def __init__(self, columns: np.ndarray, width: int, languages: list[str], weights: np.ndarray):
-        self.columns, self.width, self.languages, self.weights = columns, width, languages, weights
+    def __init__(self, columns: np.ndarray, width: int, languages: list[str], weights: np.ndarray, least: np.ndarray):
+        self.columns, self.width, self.languages, self.weights, self.least = columns, width, languages, weights, least
+
+    def judge(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores from 0 to 1 for each text and language, and whether the best one is sure.
+
+        The norm is that of all n-grams of the text: what the model has never seen counts
+        against every language.
+        """
+        have, size = profile(texts, self.columns, self.width)
+        scores = have @ self.weights / np.sqrt(size) / 2 + 0.5
+        evidence = np.c_[leads(scores), have.sum(1) / size[:, 0]]
+        sure = (evidence >= self.least[scores.argmax(1)]).any(1)
+        return np.clip(scores, 0, 1), sure
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """From 0 to 1 for each text and language."""
-        have = presence(texts, self.columns, self.width)
-        size = np.sqrt(np.maximum(have.sum(1, keepdims=True), 1))
-        return np.clip((have @ self.weights / size + 1) / 2, 0, 1)
+        return self.judge(texts)[0]
 
 
 def sample(docs: DataFrame, most: int = SAMPLE, languages: int = LANGUAGES) -> DataFrame:
@@ -131,11 +167,15 @@ def train(docs: DataFrame, most: int = SAMPLE, landmarks: int = LANDMARKS, ridge
         for batch in batches:
             for at in range(0, len(batch), _ROWS):
                 part = batch[at : at + _ROWS]
-                have = presence(part["text"].tolist(), columns, table.shape[1])
-                values = have @ table.T / np.sqrt(np.maximum(have.sum(1, keepdims=True), 1))
-                yield pd.DataFrame({"lang": part["lang"], "rank": part["rank"], "k": [v.astype("<f8").tobytes() for v in values]})
-
-    rows = chosen.mapInPandas(kernel, "lang string, rank int, k binary").collect()
+                out = {"lang": part["lang"], "rank": part["rank"]}
+                for name, texts in (("", part["text"]), ("_head", part["text"].str[:HEAD])):
+                    have, size = profile(texts.tolist(), columns, table.shape[1])
+                    values = have @ table.T / np.sqrt(size)
+                    out[f"k{name}"] = [v.astype("<f8").tobytes() for v in values]
+                    out[f"share{name}"] = have.sum(1) / size[:, 0]
+                yield pd.DataFrame(out)
+
+    rows = chosen.mapInPandas(kernel, "lang string, rank int, k binary, share double, k_head binary, share_head double").collect()
     rows.sort(key=lambda r: (r.lang, r.rank))
     languages = sorted({r.lang for r in rows})
     k = np.stack([np.frombuffer(r.k, "<f8") for r in rows])
@@ -146,11 +186,25 @@ def train(docs: DataFrame, most: int = SAMPLE, landmarks: int = LANDMARKS, ridge
     inner = table.astype(np.float64) @ table.T.astype(np.float64)
     left = k.T @ (weight * k) + ridge * inner / len(marks) + 1e-9 * np.eye(len(marks))
     found = np.linalg.solve(left, k.T @ (weight * y))
-    return Model(columns, width, languages, (table.T @ found).astype(np.float32))
+    # What is evidence enough, by the rows that are told right.
+    heads = np.stack([np.frombuffer(r.k_head, "<f8") for r in rows])
+    scores = np.concatenate([k, heads]) @ found / 2 + 0.5
+    share = np.array([r.share for r in rows] + [r.share_head for r in rows])
+    truth = np.tile(np.argmax(y, 1), 2)
+    right, evidence = scores.argmax(1) == truth, np.c_[leads(scores), share]
+    # Landmarks know all of their own n-grams; they tell only where there is nothing else.
+    other = np.tile([r.rank > landmarks for r in rows], 2)
+    least = np.full((len(languages), 2), np.inf)
+    for i in range(len(languages)):
+        mine = right & (truth == i)
+        if (told := evidence[mine & other if (mine & other).any() else mine]).size:
+            # A hair less: scores are worked out in single precision later on.
+            least[i] = np.quantile(told, DOUBT, axis=0, method="lower") - 1e-4
+    return Model(columns, width, languages, (table.T @ found).astype(np.float32), least)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score``, and ``hash`` of the text, per row.
+    """``doc_id, held_out, lang_pred, score``, ``hash`` of the text and ``sure``, per row.
 
     ``und`` with score 0 for a null text, one without a letter, or without a model.
     ``held_out`` is false for a null id, which is not learned from either.
@@ -164,18 +218,18 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), _ROWS):
                 part = batch[at : at + _ROWS]
-                lang, score = np.full(len(part), UNKNOWN, object), np.zeros(len(part))
+                lang, score, sure = np.full(len(part), UNKNOWN, object), np.zeros(len(part)), np.zeros(len(part), bool)
                 there = part["text"].notna().to_numpy()
                 if model is not None and there.any():
-                    found = model.scores(part["text"][there].tolist())
+                    found, sure[there] = model.judge(part["text"][there].tolist())
                     best = found.argmax(1)
                     lang[there] = np.array(model.languages, object)[best]
                     score[there] = found[np.arange(len(best)), best]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "hash": part["hash"], "lang_pred": lang, "score": score})
+                yield pd.DataFrame({"doc_id": part["doc_id"], "hash": part["hash"], "lang_pred": lang, "score": score, "sure": sure})
 
-    got = ids_back(rows.mapInPandas(run, "doc_id string, hash long, lang_pred string, score double"))
+    got = ids_back(rows.mapInPandas(run, "doc_id string, hash long, lang_pred string, score double, sure boolean"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    return got.select("doc_id", held.alias("held_out"), "lang_pred", "score", "hash")
+    return got.select("doc_id", held.alias("held_out"), "lang_pred", "score", "hash", "sure")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -184,8 +238,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is known well enough."""
-    good = identify(docs).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    """The rows of ``docs``, all columns, whose language is known well enough and sure."""
+    good = identify(docs).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least) & F.col("sure"))
     good = good.select("doc_id", "hash").distinct()
     text = F.col("text").cast("string")
     rows = with_row(docs, doc_id=F.col("doc_id").cast("long"), hash=F.xxhash64(text))

@@ -108,7 +108,7 @@ def op7_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(_table(spark, sf_dir, "documents")).drop("hash")
+    return langid.identify(_table(spark, sf_dir, "documents")).drop("hash", "sure")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
