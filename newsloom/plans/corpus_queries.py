@@ -165,7 +165,7 @@ def m3(spark: SparkSession, d: str) -> DataFrame:
 )
 def m2(spark: SparkSession, d: str) -> DataFrame:
     """Values of a trainer cannot be told in SQL; vocabulary and shape can."""
-    model = K.train_vectors(stored_corpus(spark, d), size=16, epochs=1)
+    model = K.train_vectors(stored_corpus(spark, d), size=16)
     finite = F.forall("vector", lambda x: ~F.isnan(x) & (F.abs(x) < 1e6))
     return K.word_vectors(model).select(
         "word", F.size("vector").alias("dim"), finite.alias("finite")

@@ -120,7 +120,7 @@ def m4(spark: SparkSession, d: str) -> DataFrame:
     )
     rows = table(spark, d, "documents").select("doc_id", "text").join(labels, "doc_id")
     sides = L.split(rows, "doc_id")
-    model = L.train_title_regressor(sides.filter("side = 'train'"), max_iter=10)
+    model = L.train_title_regressor(sides.filter("side = 'train'"))
     value = F.col("prediction")
     return model.transform(sides).select(
         "doc_id", "side", "label", (~F.isnan(value) & (F.abs(value) < 1e6)).alias("predicted")
