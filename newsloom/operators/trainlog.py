@@ -205,7 +205,6 @@ def train_title_regressor(
 
 # Strengths of regularisation tried one after the other, from strong to weak.
 REG_PATH = (0.3, 0.1, 0.03, 0.01, 0.003)
-MAX_TOKENS = 128
 
 
 def select_title_regressor(
@@ -215,19 +214,21 @@ def select_title_regressor(
     label: str = "label",
     path: tuple[float, ...] = REG_PATH,
     patience: int = PATIENCE,
-    max_tokens: int = MAX_TOKENS,
+    max_tokens: int | None = None,
     features: int = 4096,
     max_iter: int = 20,
 ):
     """The best regressor along a path of settings, and the log of the path.
 
-    Titles are cut to ``max_tokens`` words and split by ``split``. Each setting is an
+    Texts are cut to ``max_tokens`` words, if given, and split by ``split``. Each setting is an
     epoch of the log ``(run, epoch, reg, train_loss, eval_loss)``; the path ends when
     ``patience`` settings in a row were no better on the held-out side. Features are
     computed once for all settings.
     """
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    rows = split(titles, key).select("side", label, F.slice(words, 1, max_tokens).alias("words"))
+    if max_tokens is not None:
+        words = F.slice(words, 1, max_tokens)
+    rows = split(titles, key).select("side", label, words.alias("words"))
     prepare = Pipeline(
         stages=[
             HashingTF(inputCol="words", outputCol="tf", numFeatures=features),
