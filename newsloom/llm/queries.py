@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, exact, langid, packing, quality, sharding, simhash, tools, urls, warc
+from newsloom.llm import audit, bpe, exact, langid, packing, quality, secrets, sharding, simhash, tools, urls, warc, whiten
 from newsloom.llm.quality_sql import OP1_SQL
 
 #: Tokenizer file of packing and encoding.
@@ -120,6 +120,25 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+    kinds = [r.kind for r in secrets.BASE]
+    base = secrets.joined(F.filter(spans, lambda s: s["kind"].isin(kinds)))
+    return secrets.find_secrets(_table(spark, sf_dir, "documents")).select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in kinds],
+        F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.joined(spans).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_pack": op2_pack,
@@ -131,5 +150,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_simhash": op9_simhash,
     "op10_bpe": op10_bpe,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_whiten": op12_whiten,
+    "op13_secrets": op13_secrets,
+}
+SQL: dict[str, str] = {
+    "op1_quality": OP1_SQL,
+    "op3_tool_calls": OP3_SQL,
+    "op5_warc": OP5_SQL,
+    "op6_exact_dedup": OP6_SQL,
+    "op11_filter_audit": audit.OP11_SQL,
+    "op13_secrets": secrets.OP13_SQL,
 }
-SQL: dict[str, str] = {"op1_quality": OP1_SQL, "op3_tool_calls": OP3_SQL, "op5_warc": OP5_SQL, "op6_exact_dedup": OP6_SQL}
