@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from newsloom.llm import alike, exact, langid, packing, quality  # noqa: E402
+from newsloom.llm import exact, langid, packing, quality, simhash  # noqa: E402
 from newsloom.llm.common import saved  # noqa: E402
 from newsloom.llm.queries import TOKENIZER  # noqa: E402
 
@@ -36,12 +36,11 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies.
+    """The document of the smallest id of each group that links of SimHash reach.
 
-    Near copies share 0.8 or more of their five-word shingles, however far apart their
-    fingerprints are: most that do differ in more than a few bits.
+    Shingle length and greatest bit distance are those of the operator.
     """
-    return alike.one_of_each(docs)
+    return simhash.one_of_each(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
