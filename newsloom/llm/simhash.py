@@ -30,8 +30,6 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import ids_back, importable, keyed_texts, saved, with_row
 
 WORDS, RADIUS, PARTS, SEED = 3, 2, 4, 42
-#: Radius and parts of a wider search, which finds near copies of more changes.
-WIDE = (4, 6)
 #: Points of a bucket of trees, and (query, node) pairs that a search holds at once.
 BUCKET, FRONT = 60_000, 1 << 19
 #: Shingles whose bits are counted at once.
