@@ -1,11 +1,11 @@
 """Running values over one long ordered run, without sorting it in one task.
 
 A plain window partitioned by a hot key would hold all rows of that key in one
-task. Here every run is cut into buckets of its order column, the buckets are
-summed up, only the sums are scanned in order, and each row is completed with what
-came before its bucket. The buckets of a run are as wide as its order column is
-sparse, so that about ``width`` rows fall in each where the values are spread evenly:
-dense numbers, time stamps and hashes alike.
+task. Here the rows of all runs are dealt into buckets by rank: ranges of (run, order)
+that a sample of the rows makes about even, so a bucket's size does not depend on how
+the values are spread, and a run of any size fills as many buckets as it needs. The
+buckets are summed up, only the sums are scanned in order, and each row is completed
+with what came before its bucket.
 """
 
 from __future__ import annotations
@@ -16,38 +16,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-WIDTH = 65_536
-
+from newsloom.session import fresh_path
 
-# Into how many parts the rows of a run are spread to learn its range.
-_SPREAD = 32
+WIDTH = 65_536
 
 
 def bucketed(df: DataFrame, part: list[str], order: str, width: int = WIDTH) -> DataFrame:
     """Add the bucket, unless an earlier step did.
 
-    Steps that follow each other over the same run then share one shuffle.
+    A bucket has about ``width`` rows; those of a run follow each other in order. The
+    rows are written down with their buckets: ranges come from a sample, so all steps
+    must see the same ones, and steps over the same run share one shuffle by range.
+    Rows of a run that are equal in ``order`` share a bucket.
     """
     if "_bucket" in df.columns:
         return df
-    # As doubles: the differences of wide whole numbers have no overflow, and rounding
-    # keeps the order.
-    value = F.col(order).cast("double")
-    ranges = df.groupBy(*part).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.count(F.lit(1)).alias("_rows"))
-    # How far apart buckets begin: the range over the number of buckets.
-    step = (F.col("_high") - F.col("_low") + 1) / F.ceil(F.col("_rows") / F.lit(width))
-    ranges = ranges.select(
-        *[F.col(k).alias(f"_k_{k}") for k in part],
-        "_low",
-        F.greatest(step, F.lit(1.0)).alias("_step"),
-        F.explode(F.sequence(F.lit(0), F.lit(_SPREAD - 1))).alias("_s"),
-    )
-    rows = df.withColumn("_spread", F.pmod(F.xxhash64(order), F.lit(_SPREAD)).cast("int"))
-    same = F.col("_spread") == F.col("_s")
-    for k in part:
-        same = same & rows[k].eqNullSafe(F.col(f"_k_{k}"))
-    bucket = F.floor((value - F.col("_low")) / F.col("_step")).cast("bigint")
-    return rows.join(ranges, same, "left").select(*df.columns, bucket.alias("_bucket"))
+    spark = df.sparkSession
+    buckets = max(1, -(-df.count() // width))
+    ranged = df.repartitionByRange(buckets, *[F.col(c) for c in [*part, order]])
+    path = fresh_path(spark, "ordered")
+    ranged.withColumn("_bucket", F.spark_partition_id()).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def with_carry(

@@ -7,10 +7,9 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from newsloom.operators.ordered import WIDTH, bucketed, numbered, previous
+from newsloom.operators.ordered import WIDTH, bucketed, numbered, previous, running
 
 # Settings of the title regressor's schedule.
 PATIENCE = 3
@@ -53,76 +52,24 @@ def early_stop(
 ) -> DataFrame:
     """First epoch of each run with ``patience`` epochs since the last better one.
 
-    Only a loss below all before it is better. Runs that never stop give no row.
+    Only a loss below all before it is better. Runs that never stop give no row. Best
+    loss, place and place of the last better row are running values that buckets hand
+    on, so no window holds more than a bucket, or the buckets' sums of a run, however
+    many of its rows are better ones.
     """
-    local = W.partitionBy(*part, "_bucket").orderBy(epoch)
-    rows = (
-        bucketed(log.select(*part, epoch, loss), part, epoch, width)
-        .filter(F.col(loss).isNotNull())
-        .select(
-            *part,
-            "_bucket",
-            F.col(epoch).alias("_epoch"),
-            F.col(loss).alias("_loss"),
-            F.row_number().over(local).alias("_pos"),
-            F.min(loss).over(local.rowsBetween(W.unboundedPreceding, -1)).alias("_best"),
-            F.count(F.lit(1)).over(W.partitionBy(*part, "_bucket")).alias("_n"),
-        )
-    )
-    # Only the best losses so far of each bucket can be better ones of the run, and
-    # its first row is always among them; the rest is left behind here.
-    new_best = F.col("_best").isNull() | (F.col("_loss") < F.col("_best"))
-    bests = rows.filter(new_best).select(*part, "_bucket", "_loss", "_pos", "_n")
-    run = W.partitionBy(*part).orderBy("_bucket", "_pos")
-    # The size of a bucket counts once, on its first row.
-    size = F.when(F.col("_pos") == 1, F.col("_n")).otherwise(0)
-    bests = bests.select(
-        *part,
-        "_bucket",
-        "_loss",
-        "_pos",
-        (F.sum(size).over(run.rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias(
-            "_start"
-        ),
-        F.min("_loss").over(run.rowsBetween(W.unboundedPreceding, -1)).alias("_before"),
-        F.sum(size).over(W.partitionBy(*part)).alias("_total"),
-    )
-    better = bests.filter(
-        F.col("_before").isNull() | (F.col("_loss") < F.col("_before"))
-    ).withColumn("_at", F.col("_start") + F.col("_pos"))
-    following = F.coalesce(
-        F.lead("_at").over(W.partitionBy(*part).orderBy("_at")), F.col("_total") + 1
-    )
-    stops = (
-        better.withColumn("_gap", following - F.col("_at"))
-        .filter(F.col("_gap") > patience)
+    rows = log.select(*part, F.col(epoch).alias("_epoch"), F.col(loss).alias("_loss"))
+    rows = bucketed(rows.filter(F.col("_loss").isNotNull()), part, "_epoch", width)
+    rows = numbered(rows, part, "_epoch", "_at", width=width)
+    rows = running(rows, part, "_epoch", "_loss", "_best", "min", False, width)
+    better = F.col("_best").isNull() | (F.col("_loss") < F.col("_best"))
+    rows = rows.withColumn("_better", F.when(better, F.col("_at")))
+    rows = running(rows, part, "_epoch", "_better", "_last", "max", True, width)
+    return (
+        rows.filter(F.col("_at") - F.col("_last") >= patience)
         .groupBy(*part)
-        .agg((F.min("_at") + patience).alias("_stop"))
-    )
-    # Which bucket the stop lies in, and where in it.
-    starts = bests.filter(F.col("_pos") == 1).select(*part, "_bucket", "_start")
-    found = (
-        _join(starts, stops, part)
-        .filter(F.col("_start") < F.col("_stop"))
-        .groupBy(*part, "_stop")
-        .agg(F.max("_bucket").alias("_bucket"), F.max("_start").alias("_start"))
-        .withColumn("_pos", (F.col("_stop") - F.col("_start")).cast("int"))
-        .drop("_stop", "_start")
-    )
-    hits = _join(rows.select(*part, "_bucket", "_pos", "_epoch"), found, [*part, "_bucket", "_pos"])
-    return hits.select(*part, F.col("_epoch").alias("stop_epoch"))
-
-
-def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join on keys that may be null; the keys of ``left`` are kept."""
-    named = right.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        *[c for c in right.columns if c not in keys],
+        .agg(F.min(F.struct("_at", "_epoch")).alias("_stop"))
+        .select(*part, F.col("_stop._epoch").alias("stop_epoch"))
     )
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return left.join(named, same).drop(*[f"_k_{k}" for k in keys])
 
 
 def best_epoch(

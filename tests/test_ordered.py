@@ -123,3 +123,48 @@ def test_sparse_order_of_a_hot_run_has_few_rows_in_a_bucket(spark):
     got = O.numbered(df, ["run"], "at", "idx", "total", 500)
     wrong = got.selectExpr("idx", "total", "row_number() OVER (PARTITION BY run ORDER BY at) AS want").filter("idx <> want")
     assert wrong.count() == 0 and got.count() == 20_000
+
+
+def bucket_sizes(df, width, order="at"):
+    return [r["count"] for r in O.bucketed(df, ["run"], order, width).groupBy("run", "_bucket").count().collect()]
+
+
+def test_an_outlier_does_not_widen_buckets(spark):
+    """Dense values and one far out: buckets go by rank, not by value."""
+    df = spark.range(200_000).selectExpr("'a' AS run", "IF(id = 7, 1000000000000000, id) AS at", "1.0D AS v")
+    sizes = bucket_sizes(df, 1000)
+    assert sum(sizes) == 200_000 and max(sizes) < 2000
+    got = O.numbered(df, ["run"], "at", "idx", "total", 1000)
+    assert got.filter("idx <> CASE WHEN at > 200000 THEN 200000 WHEN at < 7 THEN at + 1 ELSE at END OR total <> 200000").count() == 0
+
+
+def test_small_runs_and_a_hot_one_share_buckets(spark):
+    df = spark.range(60_000).selectExpr("IF(id % 3 = 0, id % 3000, -1) AS run", "exp(id % 600) * (id + 1) AS at", "id AS v")
+    assert max(bucket_sizes(df, 500)) < 1000
+    got = O.running(df, ["run"], "at", "v", "so_far", "sum", width=500)
+    wrong = got.selectExpr("so_far", "sum(v) OVER (PARTITION BY run ORDER BY at) AS want").filter("so_far <> want")
+    assert wrong.count() == 0 and got.count() == 60_000
+
+
+def test_early_stop_of_a_falling_loss(spark):
+    """Every row is a better one, so nothing can be left behind on the way."""
+    df = spark.range(1_000_000).selectExpr("'a' AS run", "id AS epoch", "IF(id < 900000, -CAST(id AS double), 0D) AS eval_loss")
+    sizes = bucket_sizes(df, 20_000, "epoch")
+    assert len(sizes) >= 50 and max(sizes) < 40_000
+    assert [tuple(r) for r in L.early_stop(df, ["run"], width=20_000).collect()] == [("a", 900_002)]
+    assert L.early_stop(df.filter("epoch < 900000"), ["run"], width=20_000).count() == 0
+
+
+def test_no_window_over_a_whole_run(spark):
+    """Windows are by run and bucket, or over the buckets' sums."""
+    df = spark.range(1000).selectExpr("'a' AS run", "id AS epoch", "rand(1) AS eval_loss")
+    plan = L.early_stop(df, ["run"], width=100)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows
+    for line in windows:
+        assert "_bucket" in line.split("], [")[1] or "_n" in line or "_agg" in line, line
+
+
+def test_empty_run(spark):
+    df = spark.createDataFrame([], "run string, epoch int, eval_loss double")
+    assert L.early_stop(df, ["run"]).count() == 0 and O.numbered(df, ["run"], "epoch").count() == 0
