@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.operators import vectors as V
+
 # Words with inner apostrophes or hyphens, single symbols, and runs of line breaks.
 # Punctuation never becomes a token; line breaks do. The group is possessive, as a
 # group that may step back is matched by recursion and a long enough chain of
@@ -189,36 +190,25 @@ def train_vectors(
     min_count: int = MIN_COUNT,
     epochs: int = EPOCHS,
     seed: int = 42,
-    partitions: int | None = None,
+    window: int = V.WINDOW,
     tokens: str = "tokens",
-) -> Word2VecModel:
-    """Word vectors of the corpus, trained by Spark's own trainer.
+    block: int = V.BLOCK,
+) -> DataFrame:
+    """``(word, vector)`` of each word seen ``min_count`` times, trained on the corpus.
 
-    The corpus is spread over ``partitions`` tasks, one per core if not given. One
-    alone gives the same vectors each time, but passes all text through one task.
-    The trainer keeps the vocabulary, not the corpus, on the driver.
+    Vectors are the leading factors of the words' mutual information, found in at most
+    ``epochs`` passes over it; the passes end when one finds nothing more. The same corpus
+    and seed give the same vectors, however the corpus is spread. Where the corpus has
+    fewer directions than ``size`` the last numbers are zero. ``docs`` is read twice.
     """
-    if partitions is None:
-        partitions = docs.sparkSession.sparkContext.defaultParallelism
-    trainer = Word2Vec(
-        vectorSize=size,
-        minCount=min_count,
-        maxIter=epochs,
-        seed=seed,
-        numPartitions=partitions,
-        inputCol=tokens,
-        outputCol="vector",
-    )
-    return trainer.fit(docs.select(tokens))
-
-
-def word_vectors(model: Word2VecModel) -> DataFrame:
-    """``(word, vector)`` of a trained model."""
-    from pyspark.ml.functions import vector_to_array
-
-    return model.getVectors().select(
-        "word", vector_to_array("vector", "float32").alias("vector")
-    )
+    words = V.number_words(vocabulary(docs, min_count, tokens))
+    words = V._written(words, "vector-words")
+    n = words.count()
+    pairs = V._written(V.cooccurrences(docs, words, window, tokens), "vector-pairs")
+    cells = V._written(V.information(pairs, words), "vector-cells")
+    matrix = V._written(V.tiles(cells, n, block), "vector-tiles")
+    factors = V.factor(matrix, n, size, epochs, seed, block)
+    return V._written(V.word_table(factors, words, size, block), "vectors")
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -161,13 +161,13 @@ def m3(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "m2_train_vectors",
-    f"SELECT token AS word, 16 AS dim, true AS finite FROM ({SQL_VOCAB})",
+    f"SELECT token AS word, {K.VECTOR_SIZE} AS dim, true AS finite FROM ({SQL_VOCAB})",
 )
 def m2(spark: SparkSession, d: str) -> DataFrame:
     """Values of a trainer cannot be told in SQL; vocabulary and shape can."""
-    model = K.train_vectors(stored_corpus(spark, d), size=16)
+    vectors = K.train_vectors(stored_corpus(spark, d))
     finite = F.forall("vector", lambda x: ~F.isnan(x) & (F.abs(x) < 1e6))
-    return K.word_vectors(model).select(
+    return vectors.select(
         "word", F.size("vector").alias("dim"), finite.alias("finite")
     )
 

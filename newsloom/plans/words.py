@@ -32,8 +32,7 @@ def build_corpus(
 def nearest_words(
     spark: SparkSession, tokens: DataFrame, word: str, k: int = K.NEAREST, **settings
 ) -> DataFrame:
-    """Train vectors, keep the model, and list the words nearest to ``word``."""
-    model = K.train_vectors(tokens, **settings)
+    """Train vectors, keep them, and list the words nearest to ``word``."""
     path = fresh_path(spark, "vectors")
-    I.save_model(model, path)
-    return K.most_similar(K.word_vectors(I.load_vectors(path)), word, k)
+    I.save_vectors(K.train_vectors(tokens, **settings), path)
+    return K.most_similar(I.load_vectors(spark, path), word, k)

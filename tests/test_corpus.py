@@ -3,10 +3,12 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 
 from newsloom.operators import corpus as K
 from newsloom.operators import trainlog as L
+from newsloom.operators import vectors as V
 from newsloom.sources import files as I
 
 
@@ -81,16 +83,80 @@ def test_nearest(spark):
 def test_vectors_are_repeatable_and_saved(spark, tmp_path):
     docs = spark.createDataFrame(
         [([f"t{(i * j) % 9}" for j in range(12)],) for i in range(40)], "tokens array<string>"
-    ).coalesce(1)
-    first = K.train_vectors(docs, size=4, min_count=5, epochs=2, partitions=1)
-    again = K.train_vectors(docs, size=4, min_count=5, epochs=2, partitions=1)
-    one = {r.word: r.vector for r in K.word_vectors(first).collect()}
-    assert one == {r.word: r.vector for r in K.word_vectors(again).collect()}
+    )
+    first = K.train_vectors(docs.coalesce(1), size=4, min_count=5, epochs=2, block=4)
+    again = K.train_vectors(docs.repartition(5), size=4, min_count=5, epochs=2, block=4)
+    one = {r.word: r.vector for r in first.collect()}
+    assert one == {r.word: r.vector for r in again.collect()}
     assert set(one) == {r.token for r in K.vocabulary(docs).collect()}
-    path = str(tmp_path / "model")
-    I.save_model(first, path)
-    I.save_model(first, path)
-    assert one == {r.word: r.vector for r in K.word_vectors(I.load_vectors(path)).collect()}
+    path = str(tmp_path / "vectors")
+    I.save_vectors(first, path)
+    I.save_vectors(first, path)
+    assert one == {r.word: r.vector for r in I.load_vectors(spark, path).collect()}
+
+
+def test_synonyms_are_nearest(spark):
+    """Two words that stand among the same others, never together."""
+    rng = random.Random(4)
+    topics = [[f"{t}{i}" for i in range(12)] for t in "abcdefgh"]
+    docs = []
+    for i in range(600):
+        words = rng.choices(topics[i % 8], k=20)
+        if i % 8 == 2:
+            words[rng.randrange(20)] = "sofa" if i % 16 == 2 else "couch"
+        docs.append((words,))
+    docs.append((["lonely"] * 1,))
+    df = spark.createDataFrame(docs, "tokens array<string>").repartition(4)
+    vectors = K.train_vectors(df, size=16, min_count=1, block=32)
+    assert vectors.count() == 8 * 12 + 3
+    top = [r.word for r in K.most_similar(vectors, "sofa", 3).collect()]
+    assert "couch" in top and all(w == "couch" or w.startswith("c") for w in top)
+    assert {r.word: set(r.vector) for r in vectors.filter("word = 'lonely'").collect()} == {"lonely": {0.0}}
+
+
+def test_factors_are_those_of_the_matrix(spark):
+    """Mutual information by hand and its factors by a full decomposition."""
+    rng = random.Random(6)
+    # Texts of a few topics, so that the singular values differ.
+    docs = [rng.choices([f"w{i}" for i in range(t, t + 6)], k=rng.randint(0, 15)) for t in rng.choices(range(12), weights=range(1, 13), k=150)]
+    df = spark.createDataFrame([(d,) for d in docs], "tokens array<string>").repartition(3)
+    words = V._written(V.number_words(K.vocabulary(df, 5)), "words")
+    ids = {r.token: r.word_id for r in words.collect()}
+    assert sorted(ids.values()) == list(range(len(ids)))
+    count = np.zeros((len(ids), len(ids)))
+    for d in docs:
+        for i, a in enumerate(d):
+            for b in d[i + 1 : i + 4]:
+                if a in ids and b in ids:
+                    count[ids[a], ids[b]] += 1
+                    count[ids[b], ids[a]] += 1
+    n = np.array([sum(d.count(w) for d in docs) for w in sorted(ids, key=ids.get)]) ** 0.75
+    with np.errstate(divide="ignore"):
+        want = np.maximum(np.log(count / count.sum() / np.outer(n, n) * n.sum() ** 2), 0)
+    pairs = V._written(V.cooccurrences(df, words, 3), "pairs")
+    assert {(r.i, r.j): r.n for r in pairs.collect()} == {
+        (i, j): (count[i, j] if i < j else count[i, i] / 2) for i in range(len(ids)) for j in range(i, len(ids)) if count[i, j]
+    }
+    got = np.zeros_like(want)
+    for r in V.information(pairs, words).collect():
+        got[r.i, r.j] = got[r.j, r.i] = r.w
+    assert np.abs(got - want).max() < 1e-5
+    matrix = V._written(V.tiles(V.information(pairs, words), len(ids), 4), "tiles")
+    size = 6
+    blocks = V.factor(matrix, len(ids), size, 60, 1, 4, tolerance=0.0)
+    x = np.zeros((len(ids), size))
+    for r in blocks.collect():
+        part = np.frombuffer(r.data, "<f4").reshape(-1, size)
+        x[4 * r.block : 4 * r.block + len(part)] = part
+    u, s, _ = np.linalg.svd(want)
+    assert np.allclose(np.linalg.norm(x, axis=0) ** 2, s[:size], rtol=1e-2)
+    assert np.abs(x @ x.T - u[:, :size] @ np.diag(s[:size]) @ u[:, :size].T).max() < 0.1 * s[0]
+
+
+@pytest.mark.parametrize("rows", [[], [([],)], [(["one"],)]])
+def test_vectors_of_next_to_nothing(spark, rows):
+    df = spark.createDataFrame(rows, "tokens array<string>")
+    assert K.train_vectors(df, size=3, min_count=1, epochs=2).count() == sum(len(r[0]) for r in rows)
 
 
 def test_regressor_learns_and_is_saved(spark, tmp_path):

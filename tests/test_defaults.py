@@ -19,7 +19,9 @@ class Asked(Exception):
     "name, module, operator, argument",
     [
         ("m2_train_vectors", K, "train_vectors", "epochs"),
+        ("m2_train_vectors", K, "train_vectors", "size"),
         ("s12_save_model", K, "train_vectors", "epochs"),
+        ("s12_save_model", K, "train_vectors", "size"),
         ("m4_title_regressor", L, "train_title_regressor", "max_iter"),
     ],
 )
