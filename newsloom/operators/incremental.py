@@ -36,6 +36,22 @@ def _place(df: DataFrame, order: list[str]) -> Column:
     return F.struct(*order)
 
 
+def matched(rows: DataFrame, other: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """``rows`` joined with ``other`` on keys, of which null ones are equal too.
+
+    A cursor without a topic is a cursor like others, so a null key must match. The keys
+    are those of ``rows``; for a left join ``other`` adds its further columns.
+    """
+    named = other.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        *[c for c in other.columns if c not in keys and how not in ("left_semi", "left_anti")],
+    )
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return rows.join(named, same, how).drop(*[f"_k_{k}" for k in keys])
+
+
 def known_keys(listing: DataFrame, store: DataFrame, keys: list[str]) -> DataFrame:
     """Keys of the listing that the store holds.
 
@@ -43,7 +59,7 @@ def known_keys(listing: DataFrame, store: DataFrame, keys: list[str]) -> DataFra
     store is read once, keys only, and not shuffled.
     """
     wanted = listing.select(*keys).distinct()
-    return store.select(*keys).join(wanted, keys, "left_semi").distinct()
+    return matched(store.select(*keys), wanted, keys, "left_semi").distinct()
 
 
 def new_only(listing: DataFrame, store: DataFrame, keys: list[str]) -> DataFrame:
@@ -51,7 +67,7 @@ def new_only(listing: DataFrame, store: DataFrame, keys: list[str]) -> DataFrame
 
     The listing is read twice so that the store is not shuffled for a small one.
     """
-    return listing.join(known_keys(listing, store, keys), keys, "left_anti")
+    return matched(listing, known_keys(listing, store, keys), keys, "left_anti")
 
 
 def exclude_all(
@@ -67,18 +83,35 @@ def exclude_all(
     ``keys`` may name a category before the id, so that stores of several categories
     are told apart. Dead letters hold ids and whole URLs and match the last key. Only
     the ids match a key, so a URL is tried again, unless ``normalize_keys`` cuts it to
-    its id first. The stores are tested against the links' keys and not shuffled for a
-    small list of links.
+    its id first.
+
+    The keys of all stores and the dead letters are one union, tested once against the
+    links' keys: the links are read twice, however many stores there are, and the stores
+    are not shuffled for a small list of links.
     """
     keys = [keys] if isinstance(keys, str) else keys
-    for store in stores:
-        links = new_only(links, store, keys)
+    held = [store.select(*keys, F.lit(False).alias("_dead")) for store in stores]
     if dead is not None:
         gone = F.col(entry)
         if normalize_keys:
             gone = F.substring_index(gone, "/", -1)
-        links = new_only(links, dead.select(gone.alias(keys[-1])), keys[-1:])
-    return links
+        # A dead letter has no category: it stands for the id in all of them.
+        ids = dead.select(gone.alias(keys[-1]), F.lit(True).alias("_dead")).filter(F.col(keys[-1]).isNotNull())
+        held.append(ids)
+    if not held:
+        return links
+    if len(held) == 1 and stores:
+        return new_only(links, stores[0], keys)
+    known = held[0]
+    for more in held[1:]:
+        known = known.unionByName(more, allowMissingColumns=True)
+    # An inner join: a semi-join would be pushed into the union, once per store.
+    wanted = links.select(*[F.col(k).alias(f"_w_{k}") for k in keys]).distinct()
+    same = F.col(keys[-1]).eqNullSafe(F.col(f"_w_{keys[-1]}"))
+    for k in keys[:-1]:
+        same = same & (F.col("_dead") | F.col(k).eqNullSafe(F.col(f"_w_{k}")))
+    hits = known.join(wanted, same).select(*[F.col(f"_w_{k}").alias(k) for k in keys]).distinct()
+    return matched(links, hits, keys, "left_anti")
 
 
 def stop_places(
@@ -98,7 +131,7 @@ def stop_places(
     keys = [*part, key]
     rows = listing.select(*keys, _place(listing, order).alias("_place"), *_flag(registered))
     stored = (
-        rows.join(known_keys(rows, store, keys), keys, "left_semi")
+        matched(rows, known_keys(rows, store, keys), keys, "left_semi")
         .groupBy(*part)
         .agg(F.min("_place").alias("_stop"))
     )
@@ -119,7 +152,7 @@ def stop_places(
             .agg(F.min("_place").alias("_first"))
         )
         again = (
-            rows.join(first, keys)
+            matched(rows, first, keys, "inner")
             .filter(F.col("_place") > F.col("_first"))
             .groupBy(*part)
             .agg(F.min("_place").alias("_stop"))
@@ -175,7 +208,7 @@ def with_cursor(rows: DataFrame, facts: DataFrame, part: list[str]) -> DataFrame
     spread = F.pmod(F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("map")]), F.lit(SPREAD))
     copies = facts.withColumn("_spread", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     keyed = rows.withColumn("_spread", spread.cast("int"))
-    return keyed.join(copies, [*part, "_spread"], "left").drop("_spread")
+    return matched(keyed, copies, [*part, "_spread"], "left").drop("_spread")
 
 
 def last_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -213,7 +246,7 @@ def upsert(
     if not order:
         raise ValueError("the last write of a key needs an order")
     newest = last_per_key(batch, keys, order)
-    kept = store.join(newest.select(*keys), keys, "left_anti")
+    kept = matched(store, newest, keys, "left_anti")
     return kept.unionByName(newest, allowMissingColumns=True)
 
 
@@ -233,7 +266,7 @@ def upsert_fields(
     )
     same = F.lit(True)
     for k in keys:
-        same = same & (store[k] == new[f"_k_{k}"])
+        same = same & store[k].eqNullSafe(new[f"_k_{k}"])
     rows = store.join(new, same, "full_outer")
     out = []
     for c in store.columns:
@@ -255,11 +288,13 @@ def backfill(
     key: str,
     fields: tuple[str, ...],
     order: list[str] | None = None,
+    asked: Column | None = None,
 ) -> DataFrame:
     """Write fetched fields into the store rows; a fetched null overwrites too.
 
     Of several bodies of a key the last in ``order`` counts, without one the greatest
-    in ``fields``; the store keeps its number of rows.
+    in ``fields``; the store keeps its number of rows. Where ``asked`` is given, only
+    store rows for which it holds are written, whatever other rows share their key.
     """
     new = last_per_key(bodies, [key], order or list(fields)).select(
         F.col(key).alias("_key"),
@@ -268,9 +303,10 @@ def backfill(
     )
     rows = store.join(new, store[key] == new["_key"], "left")
     out = [F.col(c) for c in store.columns if c not in fields]
+    hit = F.col("_hit") if asked is None else F.col("_hit") & asked
     for f in fields:
         old = F.col(f) if f in store.columns else F.lit(None)
-        out.append(F.when(F.col("_hit"), F.col(f"_new_{f}")).otherwise(old).alias(f))
+        out.append(F.when(hit, F.col(f"_new_{f}")).otherwise(old).alias(f))
     return rows.select(*out)
 
 
@@ -289,7 +325,7 @@ def pending(
     if value is not None:
         flag = dict(scores.dtypes)[value] == "boolean"
         done = scores.filter(F.col(value) if flag else F.col(value).isNotNull())
-    return articles.join(done.select(*keys), keys, "left_anti")
+    return matched(articles, done, keys, "left_anti")
 
 
 def drop_failed(df: DataFrame, required: list[str]) -> DataFrame:

@@ -105,7 +105,8 @@ def fill_bodies(
     bodies = E.article_bodies(once.join(asked, "url"), source)
     out = fresh_path(spark, f"{source}-store")
     fields = ("body", "key_words")
-    whole = I.backfill(old, bodies.select("article_id", *fields), "article_id", fields)
+    empty = F.col("body").isNull() if "body" in old.columns else F.lit(True)
+    whole = I.backfill(old, bodies.select("article_id", *fields), "article_id", fields, asked=empty)
     if "run" in old.columns:
         whole.write.partitionBy("run").parquet(out)
     else:

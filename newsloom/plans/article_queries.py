@@ -11,9 +11,11 @@ from newsloom.operators import extract as E
 from newsloom.operators import incremental as I
 from newsloom.operators import newsletter as N
 from newsloom.plans import articles as A
+from newsloom.plans import newsletters as NL
 from newsloom.plans.extract_queries import _ANCHORS
 from newsloom.plans.functions_queries import ordinal_text, raw_keywords
 from newsloom.plans.registry import query, sql_squeeze, sql_uuid5, table
+from newsloom.session import fresh_path
 
 # Which given source stands for which shape.
 SHAPES = {
@@ -455,6 +457,39 @@ def j4_twice(spark: SparkSession, d: str) -> DataFrame:
     return I.backfill(store, bodies, "doc_id", ("body",), ["landed"])
 
 
+@query(
+    "j4_backfill_topics",
+    """WITH s AS (SELECT doc_id, source AS topic, doc_id % 97 AS article_id, CASE WHEN lang = 'en' THEN n_chars END AS body FROM documents),
+        b AS (SELECT doc_id % 97 AS article_id, arg_max(quality, doc_id) AS body FROM labels GROUP BY 1)
+       SELECT doc_id, topic, s.article_id, coalesce(s.body, b.body) AS body FROM s LEFT JOIN b USING (article_id)""",
+)
+def j4_topics(spark: SparkSession, d: str) -> DataFrame:
+    """An article stands under many topics; only rows without a body are filled."""
+    article_id = (F.col("doc_id") % 97).alias("article_id")
+    body = F.when(F.col("lang") == "en", F.col("n_chars")).alias("body")
+    store = table(spark, d, "documents").select("doc_id", F.col("source").alias("topic"), article_id, body)
+    bodies = table(spark, d, "labels").select(article_id, "doc_id", F.col("quality").cast("long").alias("body"))
+    return I.backfill(store, bodies, "article_id", ("body",), ["doc_id"], asked=F.col("body").isNull())
+
+
+@query(
+    "j3_days_to_ask",
+    """WITH i AS (SELECT CAST(o_orderdate AS DATE) AS day, o_orderdate < DATE '2001-03-01' AND o_orderstatus <> 'P' AS good FROM orders)
+       SELECT CAST(CAST(day AS DATE) AS VARCHAR) AS nl_date FROM (
+         SELECT unnest(generate_series(DATE '1994-12-01', DATE '2002-01-31', INTERVAL 1 DAY)) AS day)
+       WHERE CAST(day AS DATE) NOT IN (SELECT day FROM i WHERE day <= (SELECT max(day) FROM i WHERE good))""",
+)
+def j3_ask(spark: SparkSession, d: str) -> DataFrame:
+    """Days without links after the last good one are asked for again."""
+    good = (F.col("o_orderdate") < F.lit("2001-03-01").cast("timestamp_ntz")) & (F.col("o_orderstatus") != "P")
+    index = fresh_path(spark, "index")
+    table(spark, d, "orders").select(
+        F.to_date("o_orderdate").alias("nl_date"), F.when(good, F.col("o_orderkey").cast("string")).alias("url")
+    ).write.parquet(index)
+    days = NL.days_to_ask(spark, index, "1994-12-01", "2002-01-31")
+    return days.select(F.col("nl_date").cast("string").alias("nl_date"))
+
+
 def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, d, "documents").select(
         F.md5("text").alias("article_id"), "doc_id", "lang", "source"

@@ -29,20 +29,28 @@ def _grow(rows: DataFrame, path: str | None, name: str) -> str:
 
 
 def days_to_ask(spark: SparkSession, index: str | None, start: str, end: str) -> DataFrame:
-    """Days from ``start`` to ``end`` that the index doesn't hold."""
-    have = spark.createDataFrame([], "nl_date date") if index is None else spark.read.parquet(index)
+    """Days from ``start`` to ``end`` that are not done.
+
+    A day without links, or whose page failed, is asked for again until a later day
+    has links.
+    """
+    have = spark.createDataFrame([], "nl_date date") if index is None else _done(spark, index)
     return N.missing_dates(have, start, end)
 
 
+def _done(spark: SparkSession, index: str) -> DataFrame:
+    return N.done_days(N.days_with_links(spark.read.parquet(index)))
+
+
 def add_days(spark: SparkSession, pages: DataFrame, index: str | None) -> str:
     """Add the links of landed newsletter pages ``(nl_date, html)`` and give the index's path.
 
     A day without links has one row without a category, so that it counts as asked for.
-    Days that the index holds are left as they are.
+    Days that are done are left as they are; a day that was asked for again gets the
+    links it has by now.
     """
-    known = None if index is None else spark.read.parquet(index)
-    if known is not None:
-        pages = I.new_only(pages, known, ["nl_date"])
+    if index is not None:
+        pages = I.new_only(pages, _done(spark, index), ["nl_date"])
     links = N.newsletter_links(pages)
     days = pages.select("nl_date").distinct()
     empty = days.join(links.select("nl_date").distinct(), "nl_date", "left_anti")

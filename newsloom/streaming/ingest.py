@@ -58,13 +58,15 @@ def append_new(
     write_batch(fresh, path, run, batch_id)
 
 
-def compact(spark: SparkSession, path: str, out: str, files: int) -> None:
+def compact(spark: SparkSession, path: str, out: str, files: int, keys: list[str]) -> None:
     """The rows of a store in ``files`` files a run, as a new store at ``out``.
 
-    All batches of a run become its batch 0, so a run that goes on finds them all.
+    Rows are dealt by their keys, so a run of any size is written by ``files`` tasks and
+    a task that is repeated writes the same rows. All batches of a run become its batch
+    0, so a run that goes on finds them all.
     """
     rows = spark.read.parquet(path).withColumn("batch_id", F.lit(0).cast("long"))
-    rows.repartition(files, "run").write.partitionBy("run", "batch_id").parquet(out)
+    rows.repartition(files, *keys).write.partitionBy("run", "batch_id").parquet(out)
 
 
 def ingest_stream(

@@ -223,6 +223,19 @@ def test_a_page_landed_twice_fills_once(spark):
     assert {r.title: r.body for r in got.collect()} == {"T1": "New", "T2": None} and got.count() == 2
 
 
+def test_a_backfill_keeps_stored_bodies(spark, tmp_path):
+    """An article may stand under several topics, filled in one and not in the other."""
+    store = str(tmp_path / "store")
+    rows = [("a", "1", "h/1", "OLD BODY"), ("b", "1", "h/1", None), ("a", "2", "h/2", None), ("b", "2", "h/2", "KEPT")]
+    spark.createDataFrame(rows, "topic string, article_id string, url string, body string").write.parquet(store)
+    html = '<div class="entry-content"><p>New</p><p>ad</p></div>'
+    pages = spark.createDataFrame([("h/1", None), ("h/2", html)], "url string, html string")
+    got = spark.read.parquet(A.fill_bodies(spark, store, pages, "pvmag_us"))
+    assert {(r.topic, r.article_id): r.body for r in got.collect()} == {
+        ("a", "1"): "OLD BODY", ("b", "1"): None, ("a", "2"): "New", ("b", "2"): "KEPT",
+    }
+
+
 def test_rows_without_details_may_come_again(spark):
     def li(n):
         return f'<li><a class="anc" title="T{n}" href="/s/{n}.cms">x</a></li>'
@@ -246,11 +259,20 @@ def test_newsletter_from_days_to_articles(spark):
     asked = [str(r.nl_date) for r in NL.days_to_ask(spark, None, "2024-01-01", "2024-01-03").collect()]
     assert sorted(asked) == ["2024-01-01", "2024-01-02", "2024-01-03"]
     index = NL.add_days(spark, pages(d01=link("oil", 1) + link("coal", 2), d02="<p>none</p>"), None)
-    left = NL.days_to_ask(spark, index, "2024-01-01", "2024-01-03").collect()
-    assert [str(r.nl_date) for r in left] == ["2024-01-03"]
-    # A day that is known is left as it is; a new one is added.
-    again = NL.add_days(spark, pages(d01=link("oil", 9), d03=link("oil", 3) + link("oil", 1)), index)
+    def left():
+        return sorted(str(r.nl_date) for r in NL.days_to_ask(spark, index, "2024-01-01", "2024-01-05").collect())
+
+    # No later day has links yet, so the day without any is asked for again.
+    assert left() == ["2024-01-02", "2024-01-03", "2024-01-04", "2024-01-05"]
+    # A day that is done is left as it is; a new one is added, and one without a page counts as empty.
+    again = NL.add_days(spark, pages(d01=link("oil", 9), d03=link("oil", 3) + link("oil", 1), d04=None), index)
     assert again == index
+    assert left() == ["2024-01-04", "2024-01-05"]
+    # What was empty has links by now.
+    NL.add_days(spark, pages(d04=link("oil", 1)), index)
+    assert left() == ["2024-01-05"]
+    days = spark.read.parquet(index).filter("url IS NOT NULL").groupBy("nl_date").count().collect()
+    assert {str(r.nl_date): r["count"] for r in days} == {"2024-01-01": 2, "2024-01-03": 2, "2024-01-04": 1}
 
     sibling = spark.createDataFrame([("3",)], "article_id string")
     links = NL.links_to_fetch(spark, index, None, [sibling])

@@ -209,3 +209,21 @@ def test_backfill_twice_is_once(spark):
     assert sorted(map(tuple, got.collect())) == [("a", "x", "two"), ("b", "y", None)]
     again = I.backfill(got, bodies.filter("seq = 1"), "key", ("body",), ["seq"])
     assert again.count() == 2 and again.filter("key = 'a'").first().body == "one"
+
+
+def test_null_keys_are_keys(spark):
+    """Listings without topics: what the store holds does not come again."""
+    schema = "source string, topic string, article_id string, page int, pos int"
+    listing = spark.createDataFrame([("s", None, "1", 1, 1), ("s", None, "2", 1, 2), ("s", "t", "1", 1, 1)], schema)
+    store = listing.filter("article_id = '2'")
+    part = ["source", "topic"]
+    assert I.new_only(listing, store, [*part, "article_id"]).count() == 2
+    assert I.pending(listing, listing, [*part, "article_id"]).count() == 0
+    for mode in ("strict", "first-load"):
+        got = I.take_until_known(listing, listing, "article_id", ["page", "pos"], part, mode)
+        assert got.count() == 0
+        got = I.take_until_known(listing, store, "article_id", ["page", "pos"], part, mode)
+        assert sorted((str(r.topic), r.article_id) for r in got.collect()) == [("None", "1"), ("t", "1")]
+    batch = listing.selectExpr("source", "topic", "article_id", "page + 1 AS page", "pos")
+    for got in (I.upsert(listing, batch, [*part, "article_id"], ["page"]), I.upsert_fields(listing, batch, [*part, "article_id"], ["page"], ["page"])):
+        assert sorted(r.page for r in got.collect()) == [2, 2, 2]

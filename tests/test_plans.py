@@ -107,6 +107,23 @@ def test_exclusion_leaves_the_stores_where_they_are(spark, tmp_path):
     assert sorted(r.k for r in got.collect()) == [0, 200, 300]
 
 
+@pytest.mark.parametrize("dead", [False, True])
+def test_exclusion_reads_its_links_twice(spark, tmp_path, dead):
+    """However many stores there are."""
+    links = str(tmp_path / "links")
+    spark.range(500).selectExpr("CAST(id AS string) AS k").write.parquet(links)
+    stores = []
+    for n in range(4):
+        spark.range(n * 50, n * 50 + 40).selectExpr("CAST(id AS string) AS k").write.parquet(f"{tmp_path}/store{n}")
+        stores.append(spark.read.parquet(f"{tmp_path}/store{n}"))
+    gone = spark.createDataFrame([("300",), ("https://h/301",), (None,)], "entry string") if dead else None
+    for count in (1, 4):
+        got = I.exclude_all(spark.read.parquet(links), stores[:count], gone, keys="k")
+        text = plan(got)
+        assert text.count(f"{links}]") == 2
+        assert got.count() == 500 - 40 * count - dead
+
+
 def test_shuffle_partitions():
     assert shuffle_partitions(10**6) == 200
     assert shuffle_partitions(10**12) == 3726

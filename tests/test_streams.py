@@ -122,7 +122,20 @@ def test_compacted_store_is_the_same(spark, tmp_path):
     second = listing(spark.createDataFrame([(3, "h/b"), (4, "h/c")], PAGES))
     append_new(first, 0, path, ["article_id"], ["page"], "r")
     append_new(second, 1, path, ["article_id"], ["page"], "r")
-    compact(spark, path, out, 1)
+    compact(spark, path, out, 1, ["article_id"])
     assert keys(spark.read.parquet(out)) == keys(spark.read.parquet(path))
     append_new(second, 2, out, ["article_id"], ["page"], "r")
     assert keys(spark.read.parquet(out)) == keys(spark.read.parquet(path))
+
+
+def test_compaction_writes_as_many_files_as_asked(spark, tmp_path):
+    """Also of one run, which is all there is here."""
+    path, out = str(tmp_path / "store"), str(tmp_path / "out")
+    for batch in range(5):
+        rows = spark.range(batch * 200, batch * 200 + 200).selectExpr("CAST(id AS int) AS page", "concat('h/', id) AS url")
+        append_new(listing(rows), batch, path, ["article_id"], ["page"], "r")
+    compact(spark, path, out, 4, ["article_id"])
+    files = spark.read.parquet(out).inputFiles()
+    assert len(files) == 4
+    assert min(spark.read.parquet(f).count() for f in files) > 150
+    assert keys(spark.read.parquet(out)) == keys(spark.read.parquet(path))
