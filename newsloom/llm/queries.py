@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm import audit, bpe, exact, langid, packing, quality, secrets, sharding, simhash, tools, urls, warc, whiten
 from newsloom.llm.quality_sql import OP1_SQL
+from newsloom.session import fresh_path
 
 #: Tokenizer file of packing and encoding.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -39,35 +40,37 @@ def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = """
-WITH RECURSIVE r AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
-c AS (SELECT conv_id, turn, text FROM r WHERE role = 'assistant'),
-e AS (SELECT c.conv_id, c.turn, d.turn AS dep FROM c JOIN c d ON c.conv_id = d.conv_id AND d.turn IN (c.turn - 1, c.turn - 2)),
-w AS (
-  SELECT conv_id, turn, CAST(0 AS BIGINT) AS level FROM c
-  UNION SELECT e.conv_id, e.turn, w.level + 1 FROM w JOIN e ON e.conv_id = w.conv_id AND e.dep = w.turn
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations
 ),
-l AS (SELECT conv_id, turn, max(level) AS level FROM w GROUP BY 1, 2),
-a AS (SELECT conv_id, turn - 1 AS turn, text AS content FROM r WHERE role = 'user'),
-b AS (
-  SELECT coalesce(c.conv_id, a.conv_id) AS conv_id, coalesce(c.turn, a.turn) AS turn, c.text, c.turn IS NOT NULL AS called, a.content
-  FROM c FULL JOIN a ON c.conv_id = a.conv_id AND c.turn = a.turn
+c AS (
+  SELECT conv_id, 'call-' || turn AS call_id, turn, text, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS level
+  FROM r WHERE role = 'assistant'
+),
+a AS (
+  SELECT conv_id, coalesce('call-' || before, 'start') AS call_id, CAST(to_json({'role': role, 'text': text}) AS VARCHAR) AS content
+  FROM r WHERE role <> 'assistant'
 )
-SELECT b.conv_id, 'call-' || b.turn AS call_id, l.level,
-  CASE WHEN NOT called THEN 'orphan' WHEN length(b.text) > 1000 THEN 'invalid' WHEN content IS NULL THEN 'open' ELSE 'done' END AS status,
-  CASE WHEN called AND length(b.text) > 1000 THEN 'range of chars' ELSE '' END AS faults,
-  '{"arguments":' || CASE WHEN NOT called THEN 'null'
-    ELSE '{' || CASE WHEN contains(b.text, '?') THEN '"asks":true,' ELSE '' END || '"chars":' || length(b.text) || ',"turn":' || b.turn || '}' END
-  || ',"call_id":"call-' || b.turn || '","name":' || CASE WHEN called THEN '"reply"' ELSE 'null' END
+SELECT coalesce(c.conv_id, a.conv_id) AS conv_id, coalesce(c.call_id, a.call_id) AS call_id, level,
+  CASE WHEN turn IS NULL THEN 'orphan' WHEN length(text) > 1000 THEN 'invalid' WHEN content IS NULL THEN 'open' ELSE 'done' END AS status,
+  CASE WHEN length(text) > 1000 THEN 'range of chars' ELSE '' END AS faults,
+  '{"arguments":' || CASE WHEN turn IS NULL THEN 'null'
+    ELSE '{' || CASE WHEN contains(text, '?') THEN '"asks":true,' ELSE '' END || '"chars":' || length(text)
+      || ',"text":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || turn || '}' END
+  || ',"call_id":"' || coalesce(c.call_id, a.call_id) || '","name":' || CASE WHEN turn IS NOT NULL THEN '"reply"' ELSE 'null' END
   || ',"result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || '}' AS json
-FROM b LEFT JOIN l ON b.conv_id = l.conv_id AND b.turn = l.turn
+FROM c FULL JOIN a ON c.conv_id = a.conv_id AND c.call_id = a.call_id
 """
 
 
 def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = sharding.two_pass_shuffle(_table(spark, sf_dir, "documents"))
+    path = fresh_path(spark, "shards")
+    sharding.write_shards(sharding.two_pass_shuffle(_table(spark, sf_dir, "documents")), path)
+    got = sharding.read_shards(spark, path)
     text = F.coalesce(F.col("row.text"), F.lit(""))
     return got.select(
-        F.col("row.doc_id").alias("doc_id"), "size", F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.col("row.doc_id").alias("doc_id"), sharding.record_bytes(text).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"), "shard", "slot", "grown_shard",
     )
 
@@ -93,7 +96,10 @@ FROM p LEFT JOIN f USING (payload_digest)
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = exact.new_index(spark)
-    return exact.deduplicate(_table(spark, sf_dir, "documents"), index)
+    got = exact.deduplicate(_table(spark, sf_dir, "documents"), index)
+    # The verdicts are written; the index has done its work here.
+    index.forget()
+    return got
 
 
 OP6_SQL = r"""

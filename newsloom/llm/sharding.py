@@ -10,12 +10,12 @@ shuffles on disk; a task holds the numbers of one bucket, never its texts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import saved, with_row
 
-SHARDS, SEED, BUCKET_BYTES = 16, 20, 32 * 2**20
+SHARDS, SEED, BUCKET_BYTES = 16, 20, 64 * 2**20
 
 
 def record_bytes(text: Column) -> Column:
@@ -58,7 +58,8 @@ def two_pass_shuffle(
     total = docs.select(F.sum(record_bytes(text))).first()[0] or 0
     per_shard = max(1, -(-total // (shards * bucket_bytes)))
     spread = spread.withColumn("bucket", (F.col("shard") * per_shard + F.pmod("spread", F.lit(per_shard))).cast("long"))
-    tasks = min(shards * per_shard, max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    # As many tasks as there are buckets: what a task holds follows the bucket's bytes.
+    tasks = shards * per_shard
     # How many rows a bucket has and where it begins in its shard; one row per bucket.
     counts = saved(spread.groupBy("shard", "bucket").agg(F.count("*").alias("rows")), "buckets")
     begin = F.sum("rows").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("rows")
@@ -86,14 +87,14 @@ def two_pass_shuffle(
 
 
 def write_shards(shuffled: DataFrame, path: str) -> None:
-    """Each shard as a folder of files in order of their slots.
+    """Each shard as a folder of files, one for each of its buckets in order of the slots.
 
+    Buckets are written by the tasks that have shuffled them: no record moves once more.
     The rows' own columns are in the struct ``row``, so no name clashes.
     """
-    parts = int(shuffled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (
-        shuffled.repartitionByRange(parts, "shard", "slot")
-        .sortWithinPartitions("shard", "slot")
-        .write.partitionBy("shard")
-        .parquet(path)
-    )
+    shuffled.sortWithinPartitions("shard", "bucket", "slot").write.partitionBy("shard").parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of written shards: ``row, size, grown_shard, bucket, slot, shard``."""
+    return spark.read.parquet(path).withColumn("shard", F.col("shard").cast("int"))

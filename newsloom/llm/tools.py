@@ -13,13 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import saved
+from newsloom.operators.ordered import previous
 
 #: Tool -> parameter -> (JSON type, required, greatest value of a number).
 Schemas = dict[str, dict[str, tuple[str, bool, float | None]]]
 
+_NUMBER = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
 _KINDS = {
-    "integer": r"^BIGINT$",
-    "number": r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$",
+    "integer": _NUMBER,
+    "number": _NUMBER,
     "string": r"^STRING$",
     "boolean": r"^BOOLEAN$",
     "object": r"^OBJECT<.*",
@@ -68,6 +70,43 @@ def levels(edges: DataFrame) -> DataFrame:
     return chained.unionByName(many.join(placed, KEY, "left").select(*KEY, "level"))
 
 
+#: A JSON text as strings, numbers and what is between them.
+_TOKENS = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|-?[0-9][0-9.eE+-]*+|[^"0-9-]++'
+
+
+def _shortest(number: Column) -> Column:
+    """A double as ECMAScript writes it, which is what canonical JSON asks for.
+
+    The digits are the JVM's; before Java 19 it shows one too many for a few numbers.
+    """
+    shown = F.abs(number).cast("string")
+    mantissa = F.regexp_extract(shown, "^[0-9.]+", 0)
+    power = F.coalesce(F.regexp_extract(shown, "E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+    every = F.replace(mantissa, F.lit("."), F.lit(""))
+    tail = F.regexp_replace(every, "^0+", "")
+    digits = F.regexp_replace(tail, "0+$", "")
+    k = F.length(digits)
+    # The number is 0.digits times ten to the n.
+    n = F.instr(mantissa, ".") - 1 + power - (F.length(every) - F.length(tail))
+    plain = F.when((k <= n) & (n <= 21), F.concat(digits, F.repeat(F.lit("0"), n - k)))
+    plain = plain.when((n > 0) & (n <= 21), F.concat(F.substring(digits, F.lit(1), n), F.lit("."), F.substring(digits, n + 1, k)))
+    plain = plain.when((n > -6) & (n <= 0), F.concat(F.lit("0."), F.repeat(F.lit("0"), -n), digits))
+    fraction = F.when(k > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), k))).otherwise(F.lit(""))
+    power_shown = F.concat(F.when(n > 0, "e+").otherwise("e-"), F.abs(n - 1).cast("string"))
+    whole = plain.otherwise(F.concat(F.substring(digits, F.lit(1), F.lit(1)), fraction, power_shown))
+    return F.when(number == 0, "0").otherwise(F.concat(F.when(number < 0, "-").otherwise(""), whole))
+
+
+def canonical(text: Column) -> Column:
+    """A JSON text with its fractions and powers in canonical form: ``1e2`` is ``100``.
+
+    Whole numbers keep all their digits. What is inside strings stays as it is.
+    """
+    one = lambda t: F.when(t.rlike("^-?[0-9]") & t.rlike("[.eE]"), _shortest(t.try_cast("double"))).otherwise(t)
+    tokens = F.transform(F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)), one)
+    return F.when(text.rlike("[0-9][.eE]"), F.array_join(tokens, "")).otherwise(text)
+
+
 def faults(name: Column, arguments: Column, schemas: Schemas) -> Column:
     """What is wrong with parsed arguments (a variant), as an array; empty if nothing."""
     out = F.array(F.lit("unknown tool"))
@@ -78,11 +117,15 @@ def faults(name: Column, arguments: Column, schemas: Schemas) -> Column:
             value = F.try_variant_get(arguments, path, "variant")
             type_ = F.schema_of_variant(value)
             missing = value.isNull()
-            wrong = ~missing & ~type_.rlike(_KINDS[kind])
+            number = F.try_variant_get(arguments, path, "double")
+            fits = type_.rlike(_KINDS[kind])
+            if kind == "integer":
+                # Any number without a fraction, however it is written.
+                fits = fits & F.coalesce(number % F.lit(1.0) == 0, F.lit(False))
+            wrong = ~missing & ~fits
             found.append(F.when(missing & F.lit(required), F.lit(f"missing {p}")))
             found.append(F.when(wrong, F.lit(f"type of {p}")))
             if most is not None:
-                number = F.try_variant_get(arguments, path, "double")
                 found.append(F.when(~missing & ~wrong & (number > most), F.lit(f"range of {p}")))
         keys = F.map_keys(F.from_json(F.to_json(arguments), "map<string,string>"))
         extra = F.array_except(keys, F.array(*map(F.lit, parameters)) if parameters else F.array().cast("array<string>"))
@@ -102,8 +145,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     or a result id the least one counts. Rows without conversation or id are left out.
     ``status``: ``orphan`` (a result without call), ``cyclic``, ``invalid`` (see
     ``faults``), ``open`` (no result) or ``done``, the first that holds. ``json`` has
-    sorted keys and no blanks; arguments that are no JSON are null in it. Ids in
-    ``after`` that name no call are not waited for.
+    sorted keys, no blanks and canonical numbers; arguments that are no JSON, repeat a
+    key or are longer than a variant may be (16 MB at least) stand in it as a string, as
+    they came. Ids in ``after`` that name no call are not waited for.
     """
     there = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
     one = calls.where(there).groupBy(*KEY).agg(
@@ -129,33 +173,48 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
         .when(F.col("answered").isNull(), "open").otherwise("done")
     )
     # Fields in order of their names; a variant's keys are sorted already.
-    shown = F.struct(F.col("args").alias("arguments"), "call_id", F.col("call.name").alias("name"), F.col("content").alias("result"))
-    return (
-        parsed.withColumn("faults", wrong)
-        .select(*KEY, level.alias("level"), status.alias("status"), "faults", F.to_json(shown, {"ignoreNullFields": "false"}).alias("json"))
-    )
+    raw = F.regexp_extract(F.to_json(F.array("call.arguments")), r"(?s)^\[(.*)\]$", 1)
+    shown = F.coalesce(canonical(F.to_json("args")), F.when(F.col("call.arguments").isNotNull(), raw), F.lit("null"))
+    rest = F.to_json(F.struct("call_id", F.col("call.name").alias("name"), F.col("content").alias("result")), {"ignoreNullFields": "false"})
+    whole = F.concat(F.lit('{"arguments":'), shown, F.lit(","), F.substring(rest, F.lit(2), F.length(rest)))
+    return parsed.withColumn("faults", wrong).select(*KEY, level.alias("level"), status.alias("status"), "faults", whole.alias("json"))
 
 
 def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results that stand for the turns of conversations.
+    """Calls and results that stand for the turns of conversations, all of them.
+
+    Each assistant turn is a call of ``reply``, its text among the arguments, that waits
+    for the assistant turn before it, however far back. Every other turn, whatever its
+    role, is the result of the turn before it, as JSON with its role; where that is no
+    assistant turn, no call has asked for it. The first turn's id is ``start``. Rows
+    without conversation or turn are left out; of rows that repeat a turn the least one
+    counts. A null role or text is empty.
 
-    Each assistant turn is a call of ``reply`` that waits for the assistant turn before
-    it; a turn that follows an assistant turn is its result. Rows without conversation
-    or turn are left out; of rows that repeat a turn the least one counts.
+    The turn before is found by bucketed runs, so that a conversation of any length is
+    never sorted by one task.
     """
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.struct("role", "text").alias("said"))
     rows = rows.where("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("said").alias("said"))
-    rows = saved(rows.select("conv_id", "turn", F.col("said.role").alias("role"), F.coalesce("said.text", F.lit("")).alias("text")), "turns")
+    shown = lambda c: F.coalesce(F.col(f"said.{c}").cast("string"), F.lit("")).alias(c)
+    rows = saved(rows.select("conv_id", "turn", shown("role"), shown("text")), "turns")
     call_id = lambda turn: F.concat(F.lit("call-"), turn.cast("string"))
+    replies = previous(rows.where("role = 'assistant'"), ["conv_id"], "turn", "turn", "prior")
     asks = F.col("text").contains("?")
-    arguments = F.struct(F.col("turn").alias("turn"), F.length("text").alias("chars"), F.when(asks, asks).alias("asks"))
-    calls = rows.where("role = 'assistant'").select(
+    arguments = F.struct(F.when(asks, asks).alias("asks"), F.length("text").alias("chars"), "text", "turn")
+    calls = replies.select(
         "conv_id", call_id(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"), F.to_json(arguments).alias("arguments"),
-        F.array(call_id(F.col("turn") - 2), call_id(F.col("turn") - 1)).alias("after"),
+        F.array(call_id(F.col("prior"))).alias("after"),
+    )
+    # Only where a turn stands is needed of the whole run, not what it says.
+    places = previous(rows.select("conv_id", "turn"), ["conv_id"], "turn", "turn", "before")
+    others = rows.where("role <> 'assistant'").join(places, ["conv_id", "turn"])
+    results = others.select(
+        "conv_id", F.coalesce(call_id(F.col("before")), F.lit("start")).alias("call_id"), F.to_json(F.struct("role", "text")).alias("content")
     )
-    results = rows.where("role = 'user'").select("conv_id", call_id(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     return calls, results
 
 
 #: The tool of ``turns_as_calls``; replies of more characters are out of range.
-REPLY: Schemas = {"reply": {"turn": ("integer", True, None), "chars": ("integer", True, 1000), "asks": ("boolean", False, None)}}
+REPLY: Schemas = {
+    "reply": {"asks": ("boolean", False, None), "chars": ("integer", True, 1000), "text": ("string", True, None), "turn": ("integer", True, None)}
+}

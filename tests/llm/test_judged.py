@@ -287,6 +287,57 @@ def test_calls_are_linked_and_validated(spark):
     assert got[2, "a"].json == json.dumps(whole, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def test_numbers_are_canonical_and_whole_ones_are_integers(spark):
+    """As ECMAScript writes numbers; strings that look like numbers stay."""
+    shown = {"1e2": "100", "5.0": "5", "0.1e-7": "1e-8", "-1.50": "-1.5", "1E21": "1e+21", "1e20": "100000000000000000000", "0.000001": "0.000001"}
+    shown |= {"1e-7": "1e-7", "123456789.125": "123456789.125", "-0.0": "0", "12e-1": "1.2", "1.5e300": "1.5e+300", "10.0": "10", "3": "3"}
+    calls = [(1, f"c{i}", "add", f'{{"a":1,"b":{n},"s":"1e2 5.0 \\"{n}"}}', None) for i, n in enumerate(shown)]
+    calls += [(2, n, "add", f'{{"a":{n}}}', None) for n in ("5.0", "1e0", "-3", "1.5", "1" * 30, "1e400")]
+    calls += [(3, "twice", "add", '{"a":1,"a":2}', None), (3, "text", "add", 'not "json"', None)]
+    got = link(spark, calls, [])
+    for i, (raw, want) in enumerate(shown.items()):
+        assert got[1, f"c{i}"].json.startswith(f'{{"arguments":{{"a":1,"b":{want},"s":"1e2 5.0 \\"{raw}"}},')
+        assert not got[1, f"c{i}"].faults
+    wrong = {k[1]: r.faults for k, r in got.items() if k[0] == 2}
+    assert wrong["5.0"] == wrong["1e0"] == wrong["-3"] == [] and wrong["1.5"] == ["type of a"]
+    assert wrong["1" * 30] == ["range of a"]
+    # What cannot be read stands there as it came.
+    assert json.loads(got[3, "twice"].json)["arguments"] == '{"a":1,"a":2}'
+    assert json.loads(got[3, "text"].json)["arguments"] == 'not "json"' and got[3, "text"].status == "invalid"
+
+
+def test_every_turn_is_in_the_rows(spark):
+    """Gaps, several users in a row, other roles and long texts."""
+    rng = random.Random(9)
+    turns = []
+    for conv in range(30):
+        at = sorted(rng.sample(range(60), rng.randint(0, 12)))
+        turns += [(conv, t, rng.choice(["assistant", "assistant", "user", "system", "tool", None]), rng.choice(["hi?", 'say "x"\n', None, "é" * 1200])) for t in at]
+    turns += [(99, t, "assistant" if t % 2 else "user", f"text {t}") for t in range(400)] + [(100, 1, "assistant", "long " * 100_000)]
+    frame = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").repartition(4)
+    calls, results = tools.turns_as_calls(frame)
+    got = {(r.conv_id, r.call_id): r for r in tools.link(calls, results, tools.REPLY).collect()}
+    seen = Counter()
+    for (conv, _), r in got.items():
+        one = json.loads(r.json)
+        if one["arguments"] is not None:
+            seen[conv, "assistant", one["arguments"]["text"]] += 1
+        if one["result"] is not None:
+            said = json.loads(one["result"])
+            seen[conv, said["role"], said["text"]] += 1
+    assert seen == Counter((c, role or "", text or "") for c, _, role, text in turns)
+    for conv in {c for c, *_ in turns}:
+        mine = [t for t in turns if t[0] == conv]
+        level = 0
+        for i, (_, turn, role, text) in enumerate(mine):
+            if role == "assistant":
+                r = got[conv, f"call-{turn}"]
+                follows = mine[i + 1][2] if i + 1 < len(mine) else "assistant"
+                assert r.level == level
+                assert r.status == ("invalid" if len(text or "") > 1000 else "open" if follows == "assistant" else "done")
+                level += 1
+
+
 def naive_levels(edges, nodes):
     deps = defaultdict(set)
     for a, b in edges:

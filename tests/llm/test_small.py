@@ -14,7 +14,10 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from newsloom.llm import bpe, exact, packing, sharding, simhash, urls, warc
+from newsloom.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, fp long, hash string, digest int"
@@ -181,9 +184,30 @@ def test_shards_mix_and_repeat(spark, tmp_path):
     assert 0.4 < up < 0.6
     grown = [r for r in sharding.two_pass_shuffle(docs, 4).collect() if r.grown_shard != r.shard]
     assert 0.15 < len(grown) / 4000 < 0.25
+
+
+def test_written_shards_are_the_documents(spark, docs, rows, tmp_path):
+    """What is read back: every row once, places gapless, files in order of the places."""
     out = str(tmp_path / "shards")
-    sharding.write_shards(sharding.two_pass_shuffle(docs, 4), out)
-    assert spark.read.parquet(out).count() == 4000
+    planned = {(r.shard, r.slot): r.row for r in sharding.two_pass_shuffle(docs, 4, bucket_bytes=20_000).collect()}
+    sharding.write_shards(sharding.two_pass_shuffle(docs, 4, bucket_bytes=20_000), out)
+    got = sharding.read_shards(spark, out)
+    assert {(r.shard, r.slot): r.row for r in got.collect()} == planned
+    assert Counter((r.doc_id, r.text) for r in planned.values()) == Counter(pairs(rows))
+    files = defaultdict(list)
+    for r in got.select("slot", "bucket", "shard", F.input_file_name().alias("file"), F.col("_metadata.row_index").alias("at")).collect():
+        files[r.file].append((r.at, r.bucket, r.slot))
+    for places in files.values():
+        order = [x[1:] for x in sorted(places)]
+        assert order == sorted(order)
+
+
+def test_sharding_query_reads_what_was_written(spark, docs, rows, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op4_shard"](spark, str(tmp_path))
+    want = Counter((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in pairs(rows))
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got.collect()) == want
+    assert any("/shards-" in f for f in got.inputFiles())
 
 
 # WARC
@@ -266,12 +290,27 @@ def test_exact_index_lasts(spark, docs, tmp_path):
     got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact.deduplicate(second, index).collect()}
     assert got == {4: (1, 1, False), 5: (6, 2, False), 6: (6, 2, True)}
     assert index.read().count() == 3
-    # Again the same batch: nothing is new.
+    # The same rows as another batch: nothing is new.
     assert not any(r.kept for r in exact.deduplicate(second, index).collect())
     assert exact.keep_new(second, index).count() == 0
     assert index.read().count() == 3
 
 
+def test_exact_batch_may_be_run_again(spark, tmp_path):
+    """The driver is lost after the append: the batch under its own name keeps its rows."""
+    index = exact.DigestIndex(spark, str(tmp_path / "index"), 4)
+    first = spark.createDataFrame([(1, "a b"), (3, "c")], "doc_id long, text string")
+    second = spark.createDataFrame([(4, "a  b"), (5, "d"), (6, " d"), (6, " d")], "doc_id long, text string")
+    exact.deduplicate(first, index, "one")
+    want = sorted(map(tuple, exact.deduplicate(second, index, "two").collect()))
+    assert [r[:4] for r in want if r[3]] == [(6, 6, 3, True)]
+    assert sorted(map(tuple, exact.deduplicate(second.repartition(3), index, "two").collect())) == want
+    assert index.read().count() == 3
+    assert [r.doc_id for r in exact.keep_new(second, index, "two").collect()] == [6]
+    assert exact.keep_new(second, index, "three").count() == 0
+    index.forget()
+
+
 def test_exact_keeps_whole_rows(spark, docs, rows):
     got = exact.keep_new(docs, exact.new_index(spark))
     assert got.columns == docs.columns
@@ -281,7 +320,7 @@ def test_exact_keeps_whole_rows(spark, docs, rows):
 def test_exact_anti_join_leaves_the_index_unshuffled(spark, tmp_path):
     index = exact.DigestIndex(spark, str(tmp_path / "i"), 4)
     new = spark.createDataFrame([("x", 1, 2)], "digest string, keep_id long, n_points long")
-    index.append(new)
+    index.append(new, "b")
     plan = index.missing(new.repartition(3))._jdf.queryExecution().explainString(
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")
     )
