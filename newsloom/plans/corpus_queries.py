@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.text import truncate_tokens
 from newsloom.operators import corpus as K
+from newsloom.operators import nearest as NN
 from newsloom.plans.registry import query, quote, sql_list, table
 from newsloom.session import fresh_path
 from newsloom.sources import files as I
@@ -159,6 +160,42 @@ def m3(spark: SparkSession, d: str) -> DataFrame:
     return _nearest(spark, d, 7, 10)
 
 
+def _words(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and those asked for: every fiftieth."""
+    vectors = table(spark, d, "embeddings")
+    return (NN.unit(v, "vec_id", "embedding") for v in (vectors, vectors.filter("vec_id % 50 = 0")))
+
+
+_SQL_PAIRS = """SELECT q.vec_id AS asked, e.vec_id AS neighbour,
+    list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS similarity
+    FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0"""
+
+
+@query(
+    "o3_nearest_of_many",
+    f"""SELECT asked, CAST(place AS INT) AS place, neighbour, round(similarity, 6) AS similarity FROM (
+        SELECT *, row_number() OVER (PARTITION BY asked ORDER BY similarity DESC, neighbour) AS place
+        FROM ({_SQL_PAIRS})) WHERE place <= 20""",
+)
+def o3_many(spark: SparkSession, d: str) -> DataFrame:
+    near = NN.nearest_exact(*_words(spark, d), K.NEAREST)
+    return near.withColumn("similarity", F.round("similarity", 6))
+
+
+@query(
+    "m3_index_recall",
+    "SELECT count(*) AS asked, 20 * count(*) AS neighbours, true AS found_most FROM embeddings WHERE vec_id % 50 = 0",
+)
+def m3_recall(spark: SparkSession, d: str) -> DataFrame:
+    """The index beside the exact way: nine in ten of all neighbours, or more."""
+    vectors, asked = _words(spark, d)
+    exact = NN.nearest_exact(vectors, asked, K.NEAREST)
+    found = NN.HashIndex(vectors, K.NEAREST + 1).nearest(asked, K.NEAREST)
+    return NN.recall(exact, found).agg(
+        F.count("*").alias("asked"), F.sum("n").alias("neighbours"), (F.sum("hits") >= 0.9 * F.sum("n")).alias("found_most")
+    )
+
+
 @query(
     "m2_train_vectors",
     f"SELECT token AS word, {K.VECTOR_SIZE} AS dim, true AS finite FROM ({SQL_VOCAB})",

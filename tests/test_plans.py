@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 # The scorer interface is Python by nature; everything else is native.
 PYTHON = {"d1_mapped_scorer", "d2_nested_prompts"}
 # These run jobs of their own before they give a plan.
-EAGER = ("j9_", "m2_", "m4_", "s12_", "st1_", "st2_", "s1_", "s2_", "s3_", "s4_", "s6_", "s7_", "s8_", "s9_", "op", "pipeline")
+EAGER = ("j9_", "m2_", "m3_index", "m4_", "o3_nearest_of", "s12_", "st1_", "st2_", "s1_", "s2_", "s3_", "s4_", "s6_", "s7_", "s8_", "s9_", "op", "pipeline")
 
 
 def plan(df):
