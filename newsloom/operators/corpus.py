@@ -76,45 +76,37 @@ def preprocess(
     return rows.withColumn("tokens", F.transform("tokens", F.lower))
 
 
-_SLOT_SIZE = 32
-
-
 def lemmatize(docs: DataFrame, lemmas: DataFrame, key: str = "doc_id") -> DataFrame:
     """Replace each token by its lemma from ``(token, lemma)``; unknown ones stay.
 
-    Each document looks up its distinct tokens only. The pairs found are gathered
-    per document and put back in place, so the text itself is not torn apart. They
-    are kept in small slots, as a map is searched from end to end. The lemma table
+    Only tokens that change their form leave a document: they are looked up with their
+    places, gathered per document, sorted in among its tokens and take the place of the
+    one before them, in one pass. Documents that share a key do no harm. The lemma table
     has one row per token.
     """
-    asked = docs.select(key, F.explode(F.array_distinct("tokens")).alias("token"))
-    pairs = (
-        asked.join(lemmas.select("token", "lemma"), "token")
-        .groupBy(key)
-        .agg(
-            # A set, so that documents which share a key do no harm.
-            F.collect_set(
-                F.struct(F.hash("token").alias("h"), F.struct("token", "lemma").alias("p"))
-            ).alias("_pairs")
-        )
-        .withColumn("_n", F.ceil(F.size("_pairs") / F.lit(_SLOT_SIZE)).cast("int"))
+    forms = lemmas.select("token", "lemma").filter("lemma IS NOT NULL AND token <> lemma")
+    asked = docs.select(key, F.posexplode("tokens").alias("i", "token"))
+    found = (
+        asked.join(forms, "token")
+        .groupBy(F.col(key).alias("_key"))
+        .agg(F.collect_set(F.struct("i", F.col("token").alias("w"), F.lit(1).alias("f"), F.col("lemma").alias("l"))).alias("_new"))
     )
-
-    def slot(i: Column) -> Column:
-        mine = F.filter("_pairs", lambda x: F.pmod(x["h"], "_n") == i)
-        return F.map_from_entries(F.transform(mine, lambda x: x["p"]))
-
-    slots = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), slot)
-    found = pairs.select(F.col(key).alias("_key"), slots.alias("_slots"))
-
-    def lemma(t: Column) -> Column:
-        mine = F.get("_slots", F.pmod(F.hash(t), F.size("_slots")))
-        return F.coalesce(F.element_at(mine, t), t)
-
-    return docs.join(found, docs[key] == found["_key"], "left").select(
-        *[c for c in docs.columns if c != "tokens"],
-        F.when(F.col("_slots").isNull(), F.col("tokens"))
-        .otherwise(F.transform("tokens", lemma))
+    none = F.lit(None).cast("string").alias("l")
+    plain = F.transform("tokens", lambda t, i: F.struct(i.alias("i"), t.alias("w"), F.lit(0).alias("f"), none))
+    both = F.array_sort(F.concat(plain, "_new")).alias("_both")
+
+    def form(x: Column, j: Column) -> Column:
+        after = F.get("_both", j + 1)
+        changed = (after["f"] == 1) & (after["i"] == x["i"]) & (after["w"] == x["w"])
+        return F.when(x["f"] == 0, F.when(changed, after["l"]).otherwise(x["w"]))
+
+    rest = [c for c in docs.columns if c != "tokens"]
+    rows = docs.join(found, docs[key] == found["_key"], "left").select(*rest, "tokens", "_new", both)
+    return rows.select(
+        *rest,
+        # A new form itself leaves a null; tokens are never null.
+        F.when(F.col("_new").isNull(), F.col("tokens"))
+        .otherwise(F.array_compact(F.transform("_both", form)))
         .alias("tokens"),
     )
 

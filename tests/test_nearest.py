@@ -74,7 +74,8 @@ def test_index_finds_most(spark, rows):
     assert all(a != w for a, near in got.items() for w, _ in near)
     # Every distinct vector is indexed, in every table.
     assert index.keys.count() == N.TABLES * index.points.count()
-    assert {w for r in index.points.collect() for w in r.names} >= {w for w, _ in rows if w and w.startswith("w")} | {"long"}
+    # Of copies the least names stand for all; every other word is there.
+    assert {w for r in index.points.collect() for w in r.names} >= {w for w, _ in rows if w and w.startswith("w")} - {"w0-03"}
 
 
 def test_copies_make_no_pairs(spark):

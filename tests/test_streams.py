@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from newsloom.functions import scores as S
 from newsloom.functions.text import article_id
 from newsloom.operators import scoring as R
 from newsloom.operators.incremental import first_per_key
 from newsloom.streaming.ingest import append_new, compact, ingest_stream
-from newsloom.streaming.scoring import score_stream
+from newsloom.streaming.scoring import ledger_path, retry_failed, score_batch, score_stream
 
 PAGES = "page int, url string"
 
@@ -99,6 +100,86 @@ def test_scoring_goes_on_after_a_kill(spark, tmp_path):
     assert len(calls) == 5
 
 
+def ledger_run(spark, tmp_path, tries=3):
+    """A stream over landed titles whose scorer fails for the titles in ``bad``."""
+    bad, asked = set(), []
+    scorer = R.lexicon_scorer({"solar": ["sun"], "notSolar": []})
+
+    def answer(rows):
+        asked.append(sorted(r.article_id for r in rows.select("article_id").collect()))
+        failed = F.col("article_id").isin(*bad) if bad else F.lit(False)
+        return scorer(rows).withColumn("answer", F.when(failed, "no idea").otherwise(F.col("answer")))
+
+    def land_titles(*ids):
+        rows = spark.createDataFrame([(i, "sun " * i) for i in ids], TITLES)
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "landed"))
+
+    def go():
+        source = spark.readStream.schema(TITLES).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "landed"))
+        score_stream(source, S.SOLAR_KEYS, answer, str(tmp_path / "store"), str(tmp_path / "ck"), "m", tries=tries).awaitTermination()
+
+    def retry():
+        schema = spark.createDataFrame([], TITLES).schema
+        retry_failed(spark, schema, S.SOLAR_KEYS, answer, str(tmp_path / "store"), "m", tries=tries)
+
+    def good():
+        return sorted(r.article_id for r in spark.read.parquet(str(tmp_path / "store")).filter("valid").collect())
+
+    return bad, asked, land_titles, go, retry, good
+
+
+def test_a_failed_answer_is_asked_again_under_the_same_checkpoint(spark, tmp_path):
+    bad, asked, land_titles, go, retry, good = ledger_run(spark, tmp_path)
+    bad |= {2, 3}
+    land_titles(1, 2, 3)
+    go()
+    assert asked == [[1, 2, 3]] and good() == [1]
+    # Nothing lands: nothing is asked. Then a new title brings the old ones along.
+    go()
+    bad.discard(2)
+    land_titles(4)
+    go()
+    assert asked == [[1, 2, 3], [2, 3, 4]] and good() == [1, 2, 4]
+    # Never after a success; without new titles by a batch of its own.
+    bad.clear()
+    retry()
+    retry()
+    land_titles(1, 3, 5)
+    go()
+    assert asked[2:] == [[3], [], [5]] and good() == [1, 2, 3, 4, 5]
+
+
+def test_tries_are_limited(spark, tmp_path):
+    bad, asked, land_titles, go, retry, good = ledger_run(spark, tmp_path, tries=2)
+    bad |= {1}
+    land_titles(1)
+    go()
+    retry()
+    retry()
+    # The same title landing once more is the same title.
+    land_titles(1, 2)
+    go()
+    assert asked == [[1], [1], [], [2]] and good() == [2]
+
+
+def test_a_scoring_batch_run_again_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "store")
+    titles = spark.createDataFrame([(i, "sun") for i in range(4)], TITLES)
+    scorer = R.lexicon_scorer({"solar": ["sun"], "notSolar": []})
+    failing = lambda rows: scorer(rows).withColumn("answer", F.when(F.col("article_id") > 1, "?").otherwise(F.col("answer")))
+
+    def state():
+        both = spark.read.parquet(path), spark.read.parquet(ledger_path(path))
+        return [sorted(map(tuple, df.collect())) for df in both]
+
+    seen = []
+    for batch_id, answer in ((0, failing), (1, failing), (1, failing), (0, failing)):
+        score_batch(titles, batch_id, S.SOLAR_KEYS, answer, path, "m", "article_id", "r")
+        seen.append(state())
+    assert seen[1] == seen[2] == seen[3]
+    assert sorted((r.article_id, r.tries) for r in spark.read.parquet(ledger_path(path)).collect()) == [(2, 1), (2, 2), (3, 1), (3, 2)]
+
+
 def test_streams_read_a_table_of_several_files(spark, tmp_path):
     """The registered streams give the same rows on one file and on a folder of files."""
     import shutil
