@@ -22,7 +22,8 @@ from newsloom.llm.common import ids_back, importable, keyed_texts, saved, with_r
 
 #: Longest n-grams; bits of an n-gram's hash.
 SPECTRUM, BITS = 3, 20
-#: Bounds of training: texts and landmarks of each language, languages.
+#: Bounds of training: texts and landmarks of each language. More languages than the last
+#: number stop the job: a language that is not learned could never be predicted.
 SAMPLE, LANDMARKS, LANGUAGES = 300, 24, 64
 RIDGE = 1e-2
 #: A prediction with less is rejected.
@@ -121,12 +122,13 @@ def sample(docs: DataFrame, most: int = SAMPLE, languages: int = LANGUAGES) -> D
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
     ).where(is_training(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    largest = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    there = rows.select("lang").distinct().limit(languages + 1).count()
+    if there > languages:
+        raise ValueError(f"more than {languages} languages to learn; raise the bound (and the driver's memory)")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "hash")
     keys = rows.select("lang", "doc_id", F.xxhash64("text").alias("hash"))
     ranked = keys.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
     # At most ``most`` keys of each of ``languages`` languages.
-    ranked = ranked.join(F.broadcast(largest.select("lang")), "lang")
     found = rows.withColumn("hash", F.xxhash64("text")).join(F.broadcast(ranked), ["lang", "doc_id", "hash"])
     return found.dropDuplicates(["lang", "rank"]).select("text", "lang", "rank")
 

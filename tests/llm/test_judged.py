@@ -242,6 +242,49 @@ def test_keep_known_keeps_whole_rows(docs, rows, none):
     assert langid.keep_known(none).count() == 0
 
 
+def test_scores_equal_the_kernel_by_hand(spark, rows):
+    """Scores out of pairwise kernel values and a plain ridge solution, without hashing."""
+
+    def grams(text):
+        low = text.lower()
+        return {low[i : i + n] for n in range(1, langid.SPECTRUM + 1) for i in range(len(low) - n + 1)}
+
+    docs = spark.createDataFrame([(r[0], r[1], r[2]) for r in rows if r[0] is not None and r[0] < 240], "doc_id long, text string, lang string")
+    model = langid.train(docs, most=30, landmarks=5)
+    chosen = sorted(langid.sample(docs, 30).collect(), key=lambda r: (r.lang, r["rank"]))
+    sets = [grams(r.text) for r in chosen]
+    marks = [s for s, r in zip(sets, chosen) if r["rank"] <= 5]
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    k = np.array([[kernel(a, m) for m in marks] for a in sets])
+    languages = sorted({r.lang for r in chosen})
+    y = np.array([[1.0 if r.lang == lang else -1.0 for lang in languages] for r in chosen])
+    weight = np.array([1 / sum(q.lang == r.lang for q in chosen) for r in chosen])
+    weight = (weight / weight.sum())[:, None]
+    inner = np.array([[kernel(a, b) for b in marks] for a in marks])
+    found = np.linalg.solve(k.T @ (weight * k) + langid.RIDGE * inner / len(marks) + 1e-9 * np.eye(len(marks)), k.T @ (weight * y))
+    texts = [r[1] for r in rows if r[0] is not None and 240 <= r[0] < 300]
+    want = np.clip(np.array([[kernel(grams(t), m) for m in marks] for t in texts]) @ found / 2 + 0.5, 0, 1)
+    assert model.languages == languages
+    assert np.abs(model.scores(texts) - want).max() < 1e-3
+
+
+def test_a_language_without_reference_is_not_compared(spark, docs, rows, monkeypatch):
+    """With one reference, texts of other languages are judged by the base rules alone."""
+    monkeypatch.setattr(quality.common_words, "__defaults__", (quality.COMMON, 1))
+    got = [r for r in quality.assess(docs.where("lang IS NOT NULL")).collect() if r.doc_id is not None and r.doc_id < 360]
+    compared = {r.lang for r in got if r.class_distance is not None and not math.isnan(r.class_distance)}
+    assert len(compared) == 1
+    other = [r for r in got if r.lang not in compared]
+    assert len({r.lang for r in other}) == 2 and all(r.kept == (not r.base_failed) for r in other)
+
+
+def test_more_languages_than_can_be_learned_stop_the_job(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", f"l{i % 5}") for i in range(60)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 4 languages"):
+        langid.sample(docs, languages=4)
+    assert {r.lang for r in langid.sample(docs, languages=5).collect()} == {f"l{i}" for i in range(5)}
+
+
 # Tool calls
 
 CALLS = "conv_id long, call_id string, name string, arguments string, after array<string>, level int"
