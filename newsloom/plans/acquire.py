@@ -13,6 +13,7 @@ from newsloom.operators import extract as E
 from newsloom.operators import incremental as I
 from newsloom.session import fresh_path
 from newsloom.sources.payloads import explode_posts, post_articles
+from newsloom.sources.versioned import VersionedStore
 
 # How each site's listing is read to its end: "strict" sites stop at any known row,
 # the others not before their store exists.
@@ -84,6 +85,38 @@ def take_new(
     return out
 
 
+def add_listing(
+    landed: DataFrame, source: str, store: VersionedStore, details: DataFrame | None = None
+) -> int | None:
+    """As ``take_new``, into a versioned store; two runs at once add an article once.
+
+    The store's keys are the cursor and ``article_id``. Gives the version, or None if
+    nothing was new.
+    """
+    cursor = cursor_of(landed)
+    listing = fresh_path(store.spark, f"{source}-listing")
+    listing_rows(landed, source, details).write.parquet(listing)
+    fresh = I.take_until_known(
+        store.spark.read.parquet(listing), store.read(), "article_id", _PLACE, cursor, MODES[source], "registered"
+    ).filter("registered")
+    if source == "mercom":
+        fresh = post_articles(fresh)
+    return store.add(fresh.drop("registered"), _PLACE)
+
+
+def fill_store(store: VersionedStore, pages: DataFrame, source: str) -> int | None:
+    """Bodies of fetched pages ``(url, html)`` for the rows without one, as a change.
+
+    Only the rows that were asked for are named by it, so nothing else is written.
+    """
+    order = ["fetched"] if "fetched" in pages.columns else ["html"]
+    once = I.last_per_key(pages, ["url"], order)
+    asked = I.needs_body(store.read()).select(*store.keys, "url")
+    bodies = E.article_bodies(once.join(asked.select("url").distinct(), "url"), source)
+    fields = ["body", "key_words"]
+    return store.change(asked.join(bodies.select("url", *fields), "url"), fields, ["url"])
+
+
 def urls_to_fetch(spark: SparkSession, store: str) -> DataFrame:
     """Addresses of rows that have no body yet."""
     return I.needs_body(spark.read.parquet(store)).select("article_id", "url")

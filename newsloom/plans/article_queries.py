@@ -16,6 +16,7 @@ from newsloom.plans.extract_queries import _ANCHORS
 from newsloom.plans.functions_queries import ordinal_text, raw_keywords
 from newsloom.plans.registry import query, sql_squeeze, sql_uuid5, table
 from newsloom.session import fresh_path
+from newsloom.sources.versioned import VersionedStore
 
 # Which given source stands for which shape.
 SHAPES = {
@@ -472,6 +473,28 @@ def j4_topics(spark: SparkSession, d: str) -> DataFrame:
     return I.backfill(store, bodies, "article_id", ("body",), ["doc_id"], asked=F.col("body").isNull())
 
 
+@query(
+    "j5_merge_on_read",
+    """SELECT d.doc_id, d.source AS topic, CASE WHEN toxic = 1 THEN NULL WHEN l.doc_id IS NOT NULL THEN 'q' || quality
+         WHEN lang = 'en' THEN 'first' ELSE lang END AS body, CASE WHEN quality = 1 THEN 'good' END AS key_words
+       FROM documents d LEFT JOIN labels l USING (doc_id)""",
+)
+def j5_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Rows in two runs, a change before and one after a compaction; a null overwrites."""
+    store = VersionedStore(spark, fresh_path(spark, "versions"), ["topic", "doc_id"])
+    rows = table(spark, d, "documents").select("doc_id", F.col("source").alias("topic"), F.col("lang").alias("body"))
+    store.add(rows.filter("body <> 'de'"), ["doc_id"])
+    store.add(rows, ["doc_id"])
+    english = rows.filter("body = 'en'").withColumn("body", F.lit("first"))
+    store.change(english, ["body"], ["doc_id"])
+    store.compact()
+    labels = table(spark, d, "labels").join(rows.select("doc_id", "topic"), "doc_id")
+    body = F.when(F.col("toxic") == 0, F.concat(F.lit("q"), F.col("quality"))).alias("body")
+    words = F.when(F.col("quality") == 1, "good").alias("key_words")
+    store.change(labels.select("topic", "doc_id", body, words), ["body", "key_words"], ["doc_id"])
+    return store.read().select("doc_id", "topic", "body", "key_words")
+
+
 @query(
     "j3_days_to_ask",
     """WITH i AS (SELECT CAST(o_orderdate AS DATE) AS day, o_orderdate < DATE '2001-03-01' AND o_orderstatus <> 'P' AS good FROM orders)
