@@ -32,7 +32,7 @@ STORE_SCHEMAS = {
 
 
 def read_source(
-    spark: SparkSession, path: str | list[str], source: str, indented: bool = True
+    spark: SparkSession, path: str | list[str], source: str, indented: bool | None = None
 ) -> DataFrame:
     """One source's keyed-JSON store under the common column names."""
     schema = STORE_SCHEMAS[source].replace(":", " ")
@@ -41,7 +41,7 @@ def read_source(
 
 
 def article_table(
-    spark: SparkSession, paths: dict[str, str | list[str]], indented: bool = True
+    spark: SparkSession, paths: dict[str, str | list[str]], indented: bool | None = None
 ) -> DataFrame:
     """All sources in one table; ``paths`` names the store file or files of each."""
     return C.union_sources(
@@ -53,7 +53,7 @@ def build_articles(
     spark: SparkSession,
     paths: dict[str, str | list[str]],
     out: str,
-    indented: bool = True,
+    indented: bool | None = None,
 ) -> DataFrame:
     """Write the article table as Parquet and give the rows per source."""
     write_table(article_table(spark, paths, indented), out)

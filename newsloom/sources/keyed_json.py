@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
+from newsloom.sources.structure import members
+
 KEY = "article_id"
 
 # Fixed value: what ends an entry in a store written with four blanks of indent.
@@ -26,7 +28,7 @@ def read_keyed_json(
     path: str | list[str],
     schema: T.StructType | str,
     key: str = KEY,
-    indented: bool = True,
+    indented: bool | None = None,
     missing_ok: bool = True,
     wrap: bool = True,
 ) -> DataFrame:
@@ -36,16 +38,19 @@ def read_keyed_json(
     schema names.
 
     A field of type string holding a list or an object arrives as its JSON text. A
-    missing or empty file is an empty store. Files written with an indent of four blanks
-    are split at the end of an entry, so one big file is read by many tasks. A file on
-    one line is one piece. A file with another indent may stop the job: it is read with
-    ``indented=False``, as one task.
+    missing or empty file is an empty store. A file of any layout is split by its
+    structure and read by many tasks. Two ways are cheaper: ``indented=True`` splits files
+    written with an indent of four blanks at the end of an entry, without a shuffle, and
+    may stop the job on other ones; ``indented=False`` reads small files whole, each as one
+    task.
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     inner = schema.simpleString() if wrap else schema[0].dataType.simpleString()
     try:
-        if indented:
+        if indented is None:
+            text, value = members(spark, path), F.col("value")
+        elif indented:
             text = spark.read.option("lineSep", _ENTRY_END).text(path)
             value = _whole_entry("value")
         else:
@@ -88,7 +93,7 @@ def read_keyed_table(
 
 
 def read_link_index(
-    spark: SparkSession, path: str | list[str], indented: bool = True
+    spark: SparkSession, path: str | list[str], indented: bool | None = None
 ) -> DataFrame:
     """A newsletter index ``{day: {category: [link]}}`` as one row per link.
 

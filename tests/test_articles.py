@@ -12,7 +12,7 @@ from newsloom.plans import articles as A
 from newsloom.sources import keyed_json as J
 
 
-@pytest.mark.parametrize("indented", [False, True])
+@pytest.mark.parametrize("indented", [None, False, True])
 def test_keyed_json(spark, fixture_path, indented):
     df = J.read_keyed_json(
         spark, fixture_path("keyed_core.json"), "headline string, articleBody string, keywords string",
@@ -32,7 +32,7 @@ def test_indented_files_of_any_length(spark, tmp_path, n):
         store["1"] = {}
         store[str(n - 1)] = {}
     (tmp_path / "s.json").write_text(json.dumps(store, indent=4))
-    for indented in (True, False):
+    for indented in (None, True, False):
         got = J.read_keyed_json(spark, str(tmp_path / "s.json"), "v string, d string", indented=indented)
         assert {r.article_id: r.v for r in got.collect()} == {
             k: v.get("v") for k, v in store.items()

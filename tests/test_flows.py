@@ -102,7 +102,7 @@ def test_link_index_and_dead_letters(spark, tmp_path):
         ("2024-01-01", "oil", "b"),
         ("2024-01-02", "oil", None),
     ]
-    for indented in (False, True):
+    for indented in (None, False, True):
         got = J.read_link_index(spark, str(tmp_path / "nl.json"), indented)
         assert sorted(((str(r.nl_date), r.category, r.url) for r in got.collect()), key=str) == want
     (tmp_path / "errors.json").write_text('["1", "https://h/2"]')
