@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.operators.ordered import WIDTH, bucketed, numbered, previous, running
+from newsloom.session import fresh_path
 
 # Settings of the title regressor's schedule.
 PATIENCE = 3
 TEST_PERCENT = 10
 SPLIT_SEED = 42
+BATCH = 256
 NOMINAL_BATCH = 512
 TRAIN_EPOCHS = 40
 WARMUP_SHARE = 0.15
@@ -170,7 +174,7 @@ def select_title_regressor(
     Texts are cut to ``max_tokens`` words, if given, and split by ``split``. Each setting is an
     epoch of the log ``(run, epoch, reg, train_loss, eval_loss)``; the path ends when
     ``patience`` settings in a row were no better on the held-out side. Features are
-    computed once for all settings.
+    computed once for all settings and written down.
     """
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     if max_tokens is not None:
@@ -182,25 +186,128 @@ def select_title_regressor(
             IDF(inputCol="tf", outputCol="features"),
         ]
     ).fit(rows.filter("side = 'train'"))
-    ready = prepare.transform(rows).select("side", label, "features").persist()
+    path_ = fresh_path(titles.sparkSession, "features")
+    prepare.transform(rows).select("side", label, "features").write.parquet(path_)
+    ready = titles.sparkSession.read.parquet(path_)
     train, held = ready.filter("side = 'train'"), ready.filter("side = 'test'")
     judge = RegressionEvaluator(labelCol=label, metricName="mse")
     log, models = [], []
-    try:
-        for epoch, reg in enumerate(path):
-            trainer = LinearRegression(
-                labelCol=label, regParam=reg, maxIter=max_iter, solver="l-bfgs"
-            )
-            models.append(trainer.fit(train))
-            losses = [judge.evaluate(models[-1].transform(side)) for side in (train, held)]
-            log.append(("title", epoch, reg, *losses))
-            best = min(range(len(log)), key=lambda i: (log[i][4], i))
-            if epoch - best >= patience:
-                break
-    finally:
-        ready.unpersist()
+    for epoch, reg in enumerate(path):
+        trainer = LinearRegression(
+            labelCol=label, regParam=reg, maxIter=max_iter, solver="l-bfgs"
+        )
+        models.append(trainer.fit(train))
+        losses = [judge.evaluate(models[-1].transform(side)) for side in (train, held)]
+        log.append(("title", epoch, reg, *losses))
+        best = min(range(len(log)), key=lambda i: (log[i][4], i))
+        if epoch - best >= patience:
+            break
     frame = titles.sparkSession.createDataFrame(
         log, "run string, epoch int, reg double, train_loss double, eval_loss double"
     )
     chosen = best_epoch(frame, ["run"]).first()["best_epoch"]
     return PipelineModel([*prepare.stages, models[chosen]]), frame
+
+
+# Length of a step and pull towards zero of the regressor trained by epochs.
+RATE, DECAY = 0.05, 0.01
+
+
+class EpochRegressor:
+    """A linear regressor on hashed words: one weight per slot, the last one for all rows."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights
+
+    def transform(self, df: DataFrame, text: str = "text") -> DataFrame:
+        """``df`` with ``prediction``."""
+        weights = self.weights
+        rows = df.withColumn("_slots", word_slots(F.col(text), len(weights) - 1))
+
+        @F.pandas_udf("double")
+        def predict(slots: pd.Series) -> pd.Series:
+            n = np.fromiter((len(s) for s in slots), np.int64, len(slots))
+            flat = np.concatenate([*slots, np.zeros(0, np.int64)]).astype(np.int64)
+            total = np.bincount(np.repeat(np.arange(len(n)), n), weights[flat], len(n))
+            return pd.Series(total / np.sqrt(np.maximum(n, 1)) + weights[-1])
+
+        return rows.withColumn("prediction", predict("_slots")).drop("_slots")
+
+
+def word_slots(text: Column, features: int) -> Column:
+    """The slot of each word of a text, by its hash; none of a null text."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.coalesce(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(features)).cast("int")), F.array().cast("array<int>"))
+
+
+def train_epochs(
+    titles: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    label: str = "label",
+    features: int = 4096,
+    epochs: int = TRAIN_EPOCHS,
+    batch: int = BATCH,
+    patience: int = PATIENCE,
+    rate: float = RATE,
+    decay: float = DECAY,
+) -> tuple[EpochRegressor, DataFrame]:
+    """A regressor trained by gradient steps, and the log ``(run, epoch, train_loss, eval_loss)``.
+
+    Rows are split by ``split``. In an epoch each task starts from the weights of the last
+    one, steps through its training rows in batches and gives its weights; they are
+    averaged by rows. The held-out loss follows each epoch; after ``patience`` epochs
+    without a better one training ends, and the best epoch's weights are the model. What
+    reaches the driver is one number per slot. Without training rows all weights are zero.
+    """
+    spark = titles.sparkSession
+    path = fresh_path(spark, "slots")
+    known = split(titles.filter(F.col(label).isNotNull()), key)
+    # Rows in an order of their own, so that batches are mixed and a task repeats its steps.
+    rows = known.select("side", F.col(label).cast("double").alias("y"), word_slots(F.col(text), features).alias("slots"), F.xxhash64(key).alias("h"))
+    rows.sortWithinPartitions("h").write.partitionBy("side").parquet(path)
+    ready = spark.read.schema("y double, slots array<int>, side string").parquet(path)
+    train, held = (ready.filter(F.col("side") == side).select("y", "slots") for side in ("train", "test"))
+
+    def passed(df: DataFrame, start: np.ndarray, steps: bool) -> tuple[np.ndarray, float]:
+        """The weights after a pass, averaged, and the mean loss of the rows as they came."""
+
+        def run(batches):
+            weights, count, loss = start.copy(), 0, 0.0
+            for part in batches:
+                for at in range(0, len(part), batch):
+                    slots, y = part["slots"][at : at + batch], part["y"][at : at + batch].to_numpy()
+                    n = np.fromiter((len(s) for s in slots), np.int64, len(slots))
+                    flat = np.concatenate([*slots, np.zeros(0, np.int64)]).astype(np.int64)
+                    row = np.repeat(np.arange(len(n)), n)
+                    share = 1 / np.sqrt(np.maximum(n, 1))
+                    off = np.bincount(row, weights[flat], len(n)) * share + weights[-1] - y
+                    loss, count = loss + float(off @ off), count + len(y)
+                    if steps:
+                        slope = np.bincount(flat, (off * share)[row], len(weights))
+                        slope[-1] = off.sum()
+                        weights -= rate * (slope / len(y) + decay * np.r_[weights[:-1], 0.0])
+            if count:
+                values = np.r_[weights * count if steps else [], loss, count]
+                yield pd.DataFrame({"place": np.arange(len(values)), "value": values})
+
+        found = df.mapInPandas(run, "place int, value double").groupBy("place").agg(F.sum("value").alias("value"))
+        values = np.array([r["value"] for r in found.orderBy("place").collect()])
+        if not len(values):
+            return start, float("nan")
+        return values[:-2] / values[-1], float(values[-2] / values[-1])
+
+    weights = best = np.zeros(features + 1)
+    log, least, since = [], float("inf"), 0
+    for epoch in range(1, epochs + 1):
+        weights, train_loss = passed(train, weights, True)
+        _, eval_loss = passed(held, weights, False)
+        log.append(("title", epoch, train_loss, eval_loss))
+        if eval_loss < least:
+            best, least, since = weights, eval_loss, 0
+        else:
+            since += 1
+        if since >= patience:
+            break
+    frame = spark.createDataFrame(log, "run string, epoch int, train_loss double, eval_loss double")
+    return EpochRegressor(best), frame

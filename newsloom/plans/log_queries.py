@@ -139,3 +139,24 @@ def m4_log(spark: SparkSession, d: str) -> DataFrame:
     _, log = L.select_title_regressor(rows, patience=len(L.REG_PATH))
     measured = F.col("train_loss").between(0, 10) & F.col("eval_loss").between(0, 10)
     return log.select("run", "epoch", "reg", measured.alias("measured"))
+
+
+@query(
+    "m4_epochs",
+    "SELECT 'title' AS run, true AS five_epochs, true AS ends_as_it_should, true AS best_is_kept",
+)
+def m4_epochs(spark: SparkSession, d: str) -> DataFrame:
+    """Training by epochs: the log's own stop and best epoch are those of the training."""
+    labels = table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
+    rows = table(spark, d, "documents").select("doc_id", "text").join(labels, "doc_id")
+    model, log = L.train_epochs(rows)
+    last = log.groupBy("run").agg(F.max("epoch").alias("last"), F.min("eval_loss").alias("least"))
+    held = L.split(rows, "doc_id").filter("side = 'test'")
+    loss = model.transform(held).agg(F.avg(F.pow(F.col("prediction") - F.col("label"), 2)).alias("loss"))
+    stops = L.early_stop(log, ["run"])
+    facts = last.join(L.best_epoch(log, ["run"]), "run").join(stops, "run", "left").join(loss.withColumn("run", F.lit("title")), "run")
+    return facts.select(
+        "run", (F.col("last") >= 5).alias("five_epochs"),
+        ((F.col("stop_epoch") == F.col("last")) | (F.col("stop_epoch").isNull() & (F.col("last") == L.TRAIN_EPOCHS))).alias("ends_as_it_should"),
+        (F.abs(F.col("loss") - F.col("least")) < 1e-9).alias("best_is_kept"),
+    )

@@ -185,6 +185,41 @@ def test_regressor_is_chosen_on_the_held_out_side(spark):
     assert all((r.prediction > 0.5) == (r.label > 0.5) for r in model.transform(words).collect())
 
 
+def test_epochs_learn_stop_and_keep_the_best(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(["solar", "park", "sun"] if i % 2 else ["coal", "mine", "pit"], k=6)), float(i % 2)) for i in range(400)]
+    df = spark.createDataFrame([*rows, (1000, None, 1.0), (1001, "sun", None)], "doc_id int, text string, label double").repartition(3)
+    model, log = L.train_epochs(df, features=64, epochs=60, batch=16)
+    entries = log.orderBy("epoch").collect()
+    assert len(entries) >= 5 and [r.epoch for r in entries] == list(range(1, len(entries) + 1))
+    assert entries[-1].train_loss < entries[0].train_loss
+    stop = L.early_stop(log, ["run"]).collect()
+    assert len(entries) == 60 and not stop or stop[0].stop_epoch == len(entries)
+    scored = model.transform(df.filter("label IS NOT NULL AND text IS NOT NULL"))
+    assert all((r.prediction > 0.5) == (r.label > 0.5) for r in scored.collect())
+    held = model.transform(L.split(df.filter("label IS NOT NULL"), "doc_id").filter("side = 'test'")).collect()
+    loss = sum((r.prediction - r.label) ** 2 for r in held) / len(held)
+    assert loss == pytest.approx(min(r.eval_loss for r in entries))
+
+
+def test_epochs_end_when_nothing_gets_better(spark):
+    """Labels by chance: the loss on the held-out side does not fall for long."""
+    rng = random.Random(1)
+    rows = [(i, " ".join(f"w{rng.randrange(50)}" for _ in range(8)), rng.random()) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, label double")
+    _, log = L.train_epochs(df, features=256, epochs=200, batch=8, rate=0.5, decay=0.0)
+    last = log.count()
+    best = L.best_epoch(log, ["run"]).first().best_epoch
+    assert last < 200 and last == best + L.PATIENCE
+    assert L.early_stop(log, ["run"]).first().stop_epoch == last
+
+
+def test_epochs_without_rows(spark):
+    none = spark.createDataFrame([], "doc_id int, text string, label double")
+    model, log = L.train_epochs(none, features=8, epochs=5)
+    assert log.count() == L.PATIENCE and not model.weights.any()
+
+
 def test_text_vocabulary_is_that_of_the_corpus(spark):
     docs = spark.createDataFrame([(1, "The Sun, the SUN and a sun\n\nPark"), (2, "park It's it's"), (3, None)], "doc_id int, text string")
     for stop in (["the"], []):
