@@ -49,9 +49,10 @@ def build_session(
 
 
 def work_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the one the cluster names, if it does.
+    """Folder every executor can reach: the one the cluster names.
 
-    Else a folder beside the warehouse, which executors share as well.
+    A local session without one takes a folder beside the warehouse; on a cluster that
+    may be a disk of the driver's machine, so there the setting is asked for.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
@@ -59,6 +60,8 @@ def work_folder(spark: SparkSession) -> str:
     )
     if not named:
         named = sc.getCheckpointDir()
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not named:
         named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
     if sc.getCheckpointDir() is None:
