@@ -29,7 +29,8 @@ from newsloom.llm.common import ids_back, keyed_texts
 #: and letters are the library's for them. Others go through the library's own rules.
 _UNUSUAL = re.compile("[\x1c-\x1f\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbeɐ-\U0010ffff]")
 _PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-_KEPT = 400_000
+#: Words of a generation of a cache, and characters of a word in it: a bound of its bytes.
+_KEPT, _LONGEST = 250_000, 64
 
 
 def byte_symbols() -> list[str]:
@@ -43,17 +44,25 @@ def byte_symbols() -> list[str]:
 class Fragments(dict):
     """Ids, as little-endian 32-bit numbers, of words met so far; others on demand.
 
-    Holds a bounded number of words: it starts anew when it is full.
+    Holds two generations of a bounded number of words, also from one task to the next.
+    When the young one is full it becomes the old one; a word of the old one that is met
+    again is young again, so what is met often stays.
     """
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= _KEPT:
-            self.clear()
-        got = self[word] = self.encode(word)
+    def __missing__(self, word) -> bytes:
+        got = self.old.get(word)
+        if got is None:
+            got = self.encode(word)
+        # Very long words are not kept.
+        if len(word) <= _LONGEST:
+            if len(self) >= _KEPT:
+                self.old = dict(self)
+                self.clear()
+            self[word] = got
         return got
 
 
@@ -80,22 +89,18 @@ class Bpe:
         self._shown = str.maketrans(dict(enumerate(self._symbols)))
         self.pieces = Fragments(self._encode_piece)
         self.words = Fragments(self._encode_word)
-        self.fragments: dict[tuple[str, ...], bytes] = {}
+        self.fragments = Fragments(lambda key: self._merged(list(key)))
+        self.vocab: dict[str, int] = model["vocab"]
+        n = max([*self.vocab.values(), *self.special.values()]) + 1
+        self._packed = [struct.pack("<I", i) for i in range(n)]
         if library:
             return
-        self.vocab: dict[str, int] = model["vocab"]
         self.ranks = {tuple(m): i for i, m in enumerate(model["merges"])}
-        n = max([*self.vocab.values(), *self.special.values()]) + 1
         self.tokens = [b""] * n
         for token, i in {**self.vocab, **self.special}.items():
             self.tokens[i] = token.encode()
         self.inside = {p for token in self.vocab for p in self._pairs(self._split(token))}
 
-    def forget(self) -> None:
-        """Let go of the words met so far, for what a worker does next."""
-        for kept in (self.pieces, self.words, self.fragments):
-            kept.clear()
-
     def _split(self, token: str) -> list[str]:
         """Symbols of a token, the mark of the word's end with the last one."""
         if self.end and token.endswith(self.end) and len(token) > len(self.end):
@@ -163,25 +168,18 @@ class Bpe:
         return [p for p in live if p is not None]
 
     def _merged(self, fragment: list[str]) -> bytes:
-        ids = [self.vocab[p] for p in self._merge(fragment) if p in self.vocab]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join([self._packed[self.vocab[p]] for p in self._merge(fragment) if p in self.vocab])
 
     def _encode_symbols(self, fragment: list[str]) -> bytes:
-        key = tuple(fragment)
-        got = self.fragments.get(key)
-        if got is None:
-            got = self._merged(fragment)
-            if len(self.fragments) >= _KEPT:
-                self.fragments.clear()
-            if len(key) <= 64:
-                self.fragments[key] = got
-        return got
+        return self.fragments[tuple(fragment)]
 
     def _encode_word(self, word: str) -> bytes:
         """A word of the pre-tokenizer, lower-cased."""
         if self._model is not None:
-            found = self._model.tokenize(word.encode().decode("latin-1").translate(self._shown))
-            return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+            # Printable ASCII characters stand for themselves.
+            if not (word.isascii() and word.isprintable()):
+                word = word.encode().decode("latin-1").translate(self._shown)
+            return b"".join([self._packed[t.id] for t in self._model.tokenize(word)])
         table = self._symbols
         symbols = [table[b] for b in word.encode()]
         if symbols:
@@ -194,23 +192,20 @@ class Bpe:
 
     def _encode_piece(self, piece: str) -> bytes:
         """What stands between two white-space characters in a usual text."""
-        return b"".join(map(self._word, _PIECES.findall(piece.lower())))
-
-    def _word(self, word: str) -> bytes:
-        # Very long words are not kept.
-        return self.words[word] if len(word) <= 64 else self._encode_word(word)
+        low = piece.lower()
+        if low.isalpha():
+            # One word; a piece that is its own lower case is kept as a piece already.
+            return self._encode_word(low) if low == piece else self.words[low]
+        return b"".join(map(self.words.__getitem__, _PIECES.findall(low)))
 
     def _encode_plain(self, text: str) -> bytes:
         """A stretch without special tokens."""
         if not _UNUSUAL.search(text):
-            kept = self.pieces.__getitem__
-            return b"".join(
-                [kept(p) if len(p) <= 64 else self._encode_piece(p) for p in text.split()]
-            )
+            return b"".join(map(self.pieces.__getitem__, text.split()))
         normal = self._normalizer.normalize_str(text)
         table = {s: b for b, s in enumerate(self._symbols)}
         return b"".join(
-            self._word(bytes(table[s] for s in w).decode("utf-8", "surrogateescape"))
+            self.words[bytes(table[s] for s in w).decode("utf-8", "surrogateescape")]
             for w, _ in self._splitter.pre_tokenize_str(normal)
         )
 
@@ -256,7 +251,6 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
             yield pd.DataFrame(
                 {"doc_id": batch["doc_id"], "ids": [bpe.encode(t) for t in batch["text"]]}
             )
-        bpe.forget()
 
     return ids_back(keyed_texts(docs).mapInPandas(run, "doc_id string, ids binary"))
 
@@ -298,7 +292,6 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             out.insert(0, "doc_id", batch["doc_id"].array)
             yield out
-        bpe.forget()
 
     schema = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return ids_back(keyed_texts(docs).mapInPandas(run, schema))

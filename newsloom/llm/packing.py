@@ -61,7 +61,6 @@ def token_pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
                     yield pd.DataFrame(rows, columns=names)
                     rows, held = [], 0
         yield pd.DataFrame(rows, columns=names)
-        bpe.forget()
 
     schema = "doc_id string, piece int, start long, length long, ids binary"
     return ids_back(keyed_texts(docs).mapInPandas(run, schema))
