@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import saved
-from newsloom.operators.ordered import previous
+from newsloom.operators.ordered import bucketed, previous, running
 
 #: Tool -> parameter -> (JSON type, required, greatest value of a number).
 Schemas = dict[str, dict[str, tuple[str, bool, float | None]]]
@@ -198,17 +198,18 @@ def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     shown = lambda c: F.coalesce(F.col(f"said.{c}").cast("string"), F.lit("")).alias(c)
     rows = saved(rows.select("conv_id", "turn", shown("role"), shown("text")), "turns")
     call_id = lambda turn: F.concat(F.lit("call-"), turn.cast("string"))
-    replies = previous(rows.where("role = 'assistant'"), ["conv_id"], "turn", "turn", "prior")
+    # Only where a turn stands, and whose it is, is needed of the whole run, not what it says.
+    places = bucketed(rows.select("conv_id", "turn", F.when(F.col("role") == "assistant", F.col("turn")).alias("reply")), ["conv_id"], "turn")
+    places = previous(places, ["conv_id"], "turn", "turn", "before")
+    places = running(places, ["conv_id"], "turn", "reply", "prior", "max", False)
+    rows = rows.join(places.select("conv_id", "turn", "before", "prior"), ["conv_id", "turn"])
     asks = F.col("text").contains("?")
     arguments = F.struct(F.when(asks, asks).alias("asks"), F.length("text").alias("chars"), "text", "turn")
-    calls = replies.select(
+    calls = rows.where("role = 'assistant'").select(
         "conv_id", call_id(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"), F.to_json(arguments).alias("arguments"),
         F.array(call_id(F.col("prior"))).alias("after"),
     )
-    # Only where a turn stands is needed of the whole run, not what it says.
-    places = previous(rows.select("conv_id", "turn"), ["conv_id"], "turn", "turn", "before")
-    others = rows.where("role <> 'assistant'").join(places, ["conv_id", "turn"])
-    results = others.select(
+    results = rows.where("role <> 'assistant'").select(
         "conv_id", F.coalesce(call_id(F.col("before")), F.lit("start")).alias("call_id"), F.to_json(F.struct("role", "text")).alias("content")
     )
     return calls, results
