@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import cache
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -135,72 +136,66 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _named(name: Column) -> Column:
-    """Characters of a name with its closing sign or a short one; null if unknown.
+def _quoted(text: str) -> str:
+    """A text as SQL writes it."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    Two steps, by the first two letters and then the whole: a map is searched from end
-    to end.
-    """
+
+def _names() -> str:
+    """The characters of each name, by its first two letters and then the whole: a map is
+    searched from end to end. One literal, parsed while the query is planned."""
     groups: dict[str, dict[str, str]] = {}
     for key, chars in html5.items():
         groups.setdefault(key[:2], {})[key] = chars
-    # One literal, parsed while the query is planned.
-    table = F.from_json(F.lit(json.dumps(groups)), "map<string,map<string,string>>")
-    return table[F.substring(name, 1, 2)][name]
+    return f"from_json({_quoted(json.dumps(groups))}, 'map<string,map<string,string>>')"
 
 
-def _numbered(name: Column) -> Column:
+def _numbered(name: str) -> str:
     """Character of ``#123``, ``#123;`` or ``#x7b;``."""
-    bare = F.rtrim(name, F.lit(";"))
-    hexadecimal = F.lower(F.substring(bare, 1, 2)) == "#x"
-    digits = F.ltrim(F.when(hexadecimal, F.substr(bare, F.lit(3))).otherwise(F.substr(bare, F.lit(2))), F.lit("0"))
+    hexadecimal = f"lower(substring({name}, 1, 2)) = '#x'"
+    digits = f"ltrim('0', rtrim(';', substr({name}, if({hexadecimal}, 3, 2))))"
+    c1 = ", ".join(f"{code}, {_quoted(char)}" for code, char in _C1.items())
     # More digits than any character has: no number is made of them.
-    short = F.when(F.length(digits) > 7, F.lit("9999999")).otherwise(digits)
-    number = F.when(short == "", F.lit(0)).otherwise(
-        F.when(hexadecimal, F.conv(short, 16, 10)).otherwise(short).try_cast("bigint")
-    )
-    c1 = F.create_map(*[F.lit(x) for pair in _C1.items() for x in pair])
-
-    def char(code: Column) -> Column:
-        none = code.between(0x1, 0x8) | code.between(0xE, 0x1F) | (code == 0xB) | (code == 0x7F)
-        none = none | code.between(0xFDD0, 0xFDEF) | ((code % 0x10000) >= 0xFFFE)
-        wrong = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
-        plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return (
-            F.when(wrong, F.lit("\ufffd"))
-            .when(code.between(0x80, 0x9F), c1[code.cast("int")])
-            .when(none, F.lit(""))
-            .otherwise(plain)
-        )
-
-    return bind(number, char)
+    return f"""transform(transform(array({digits}), d -> CASE
+          WHEN d = '' THEN 0
+          WHEN length(d) > 7 THEN {0x110000}
+          ELSE try_cast(if({hexadecimal}, conv(d, 16, 10), d) AS BIGINT) END), code -> CASE
+        WHEN code = 0 OR code > {0x10FFFF} OR code BETWEEN {0xD800} AND {0xDFFF} THEN '\ufffd'
+        WHEN code BETWEEN {0x80} AND {0x9F} THEN map({c1})[CAST(code AS INT)]
+        WHEN code BETWEEN {0x1} AND {0x8} OR code BETWEEN {0xE} AND {0x1F} OR code IN ({0xB}, {0x7F})
+          OR code BETWEEN {0xFDD0} AND {0xFDEF} OR code % {0x10000} >= {0xFFFE} THEN ''
+        ELSE decode(unhex(lpad(hex(code), 8, '0')), 'UTF-32') END)[0]"""
+
+
+@cache
+def _decoder() -> str:
+    """The decoding of one text, as a lambda in SQL.
+
+    Column by column it would be some hundred calls into the JVM wherever a plan decodes
+    a text; so it is one.
+    """
+    short = "^(" + "|".join(_SHORT_NAMES) + ")"
+    start = f"regexp_extract(name, {_quoted(short)}, 1)"
+    return f"""whole -> CASE WHEN contains(whole, '&') THEN
+      transform(array({_names()}), names -> transform(array(split(whole, '&')), pieces ->
+        concat(pieces[0], array_join(transform(slice(pieces, 2, size(pieces)), piece ->
+          transform(array(regexp_extract(piece, {_quoted(_REFERENCE)}, 1)), name -> coalesce(
+            CASE WHEN name <> '' THEN coalesce(
+              concat(
+                CASE WHEN startswith(name, '#') THEN {_numbered("name")}
+                  ELSE try_element_at(try_element_at(names, substring(name, 1, 2)), name) END,
+                substr(piece, length(name) + 1)),
+              CASE WHEN {start} <> '' THEN concat(
+                try_element_at(try_element_at(names, substring(name, 1, 2)), {start}),
+                substr(piece, length({start}) + 1)) END) END,
+            concat('&', piece)))[0]), '')))[0])[0]
+      ELSE whole END"""
 
 
 def unescape_html(c: Column | str) -> Column:
     """Decode named and numeric references in one pass; unknown ones stay."""
-    short = r"^(" + "|".join(_SHORT_NAMES) + ")"
-
-    def piece(p: Column) -> Column:
-        def decode(name: Column) -> Column:
-            rest = F.substr(p, F.length(name) + F.lit(1))
-            start = F.regexp_extract(name, short, 1)
-            whole = F.when(name.startswith("#"), _numbered(name)).otherwise(_named(name))
-            part = F.when(start != "", F.concat(_named(start), F.substr(p, F.length(start) + F.lit(1))))
-            known = F.when(name != "", F.coalesce(F.concat(whole, rest), part))
-            return F.coalesce(known, F.concat(F.lit("&"), p))
-
-        return bind(F.regexp_extract(p, _REFERENCE, 1), decode)
-
-    def decode_all(pieces: Column) -> Column:
-        tail = F.transform(F.slice(pieces, 2, F.size(pieces)), piece)
-        return F.concat(F.get(pieces, F.lit(0)), F.array_join(tail, ""))
-
-    def decode_text(text: Column) -> Column:
-        return F.when(text.contains("&"), bind(F.split(text, "&"), decode_all)).otherwise(
-            text
-        )
-
-    return bind(_col(c), decode_text)
+    held = F.call_function("transform", F.array(_col(c)), F.expr(_decoder()))
+    return F.get(held, F.lit(0))
 
 
 def join_text(parts: Column | str, sep: str, strip_each: bool = False) -> Column:
