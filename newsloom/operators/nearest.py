@@ -4,7 +4,8 @@ Words are points on the unit sphere. Equal points are one point, with as many of
 names as a list of neighbours can hold, so copies of a vector make no pairs among
 themselves. The exact way multiplies blocks of points with blocks of asked words. The
 index has for each point the keys of random projections in several tables; only points
-that share a key with an asked word are compared with it.
+that share a key with an asked word are compared with it, block by block too, so that
+pairs are never rows: a block hands on the best of each word alone.
 """
 
 from __future__ import annotations
@@ -14,13 +15,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from newsloom.session import fresh_path
 
 #: Tables of an index, projections of a key, width of a projection's bucket, seed.
 TABLES, PROJECTIONS, BUCKET, SEED = 24, 4, 0.5, 5
-#: Points and asked words that a task multiplies at once.
-POINTS, ASKED = 16_384, 1024
+#: Points and asked words that a task multiplies at once, and how many times as many it
+#: is given at most; blocks of points from which on blocks grow instead.
+POINTS, ASKED, HELD_POINTS, HELD_ASKED, BLOCKS = 16_384, 1024, 4, 64, 32
+#: Rows of a product that are searched at once.
+SEARCHED = 128
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -60,40 +65,112 @@ def _listed(found: DataFrame, all_points: DataFrame, k: int) -> DataFrame:
     return ranked.select("asked", "place", "neighbour", "similarity")
 
 
-def nearest_exact(vectors: DataFrame, asked: DataFrame, k: int, points_: int = POINTS, asked_: int = ASKED) -> DataFrame:
-    """``asked, place, neighbour, similarity``: the ``k`` words nearest to each asked word.
+def _best(every: DataFrame, words: DataFrame, k: int, points_: int, asked_: int, keyed: bool = False) -> DataFrame:
+    """``asked, point, similarity``: the ``k + 1`` best points of each asked word.
 
-    Both frames are ``name, v`` of ``unit``; a word is no neighbour of itself. Equal
-    similarities go by name. A task multiplies one block of points with one of asked
-    words and hands on the best of each word alone.
+    With ``keyed`` only points are compared that share one of their ``keys`` with the word.
+    A task is given one block of points and one lot of asked words. Blocks and lots are as
+    large as it can hold, since each block is sent every asked word.
     """
-    every = _written(points(vectors, k + 1), "points")
-    words = _written(asked.withColumnRenamed("name", "asked"), "asked")
-    blocks, lots = (max(1, -(-df.count() // size)) for df, size in ((every, points_), (words, asked_)))
+    n, m = every.count(), words.count()
+    blocks = max(1, min(-(-n // points_), BLOCKS), -(-n // (points_ * HELD_POINTS)))
+    lots = max(1, -(-m // (asked_ * HELD_ASKED)))
 
     def dealt(df: DataFrame, key: str, mine: str, n: int, other: str, m: int) -> DataFrame:
-        return df.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-
-    left = dealt(every.select("point", "v", F.get("names", F.lit(0)).alias("first")), "point", "block", blocks, "lot", lots)
-    right = dealt(words, "asked", "lot", lots, "block", blocks)
-
-    def best(these, those):
-        if these.empty or those.empty:
-            return pd.DataFrame({"asked": those["asked"][:0], "point": these["point"][:0], "similarity": np.zeros(0)})
-        similar = np.stack(those["v"]) @ np.stack(these["v"]).T
-        order = these["first"].rank(method="first").to_numpy()
-        out = []
-        for word, row in zip(those["asked"], similar):
-            # Of equal similarities at the end all are looked at, the least names stay.
-            least = np.partition(row, -(k + 1))[-(k + 1)] if len(row) > k + 1 else -np.inf
-            near = np.flatnonzero(row >= least)
-            near = near[np.lexsort((order[near], -row[near]))][: k + 1]
-            out.append(pd.DataFrame({"asked": word, "point": these["point"].to_numpy()[near], "similarity": row[near]}))
-        return pd.concat(out)
-
-    schema = f"asked {asked.schema['name'].dataType.simpleString()}, point long, similarity double"
+        # Of one type on both sides: numbers that differ in it are hashed to different partitions.
+        return df.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    keys = ["keys"] if keyed else []
+    left = dealt(every.select("point", "v", F.get("names", F.lit(0)).alias("first"), *keys), "point", "block", blocks, "lot", lots)
+    right = dealt(words.select("asked", "v", *keys), "asked", "lot", lots, "block", blocks)
+
+    def shares(mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
+        """Which of two lists of keys (a row per vector, a column per table) have one in common."""
+        out = np.zeros((len(mine), len(theirs)), bool)
+        for a, b in zip(mine.T, theirs.T):
+            keys, place = np.unique(a, return_inverse=True)
+            at = np.minimum(np.searchsorted(keys, b), len(keys) - 1)
+            kind = np.int16 if len(keys) < 2**15 else np.int32
+            out |= place.astype(kind)[:, None] == np.where(keys[at] == b, at, -1).astype(kind)[None, :]
+        return out
+
+    def top(rows: np.ndarray, order: np.ndarray, similar: np.ndarray, most: int) -> np.ndarray:
+        """Places of the ``most`` best entries of each row; equal ones go by ``order``."""
+        by = np.lexsort((order, -similar, rows))
+        first = np.flatnonzero(np.r_[True, rows[by][1:] != rows[by][:-1]])
+        place = np.arange(len(by)) - np.repeat(first, np.diff(np.r_[first, len(by)]))
+        return by[place < most]
+
+    def near(x: np.ndarray, y: np.ndarray, kx, ky, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of ``x``, rows of ``y`` and similarities of the best of each row of ``x``."""
+        found = []
+        for at in range(0, len(y), points_):
+            chosen = np.arange(at, min(len(y), at + points_))
+            if keyed:
+                shared = shares(kx, ky[chosen])
+                some = shared.any(0)
+                chosen, shared = chosen[some], shared[:, some]
+            if not len(chosen):
+                continue
+            similar = x @ y[chosen].T
+            if keyed:
+                similar[~shared] = -np.inf
+            for row in range(0, len(x), SEARCHED):
+                part = similar[row : row + SEARCHED]
+                # Of equal similarities at the end all are looked at, the least names stay.
+                cut = part.shape[1] - (k + 1)
+                least = np.partition(part, cut, 1)[:, cut : cut + 1] if cut > 0 else -np.inf
+                r, c = np.nonzero((part >= least) & (part > -np.inf))
+                best = top(r, order[chosen[c]], part[r, c], k + 1)
+                found.append((row + r[best], chosen[c[best]], part[r[best], c[best]]))
+        if not found:
+            return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        rows, cols, similar = map(np.concatenate, zip(*found))
+        best = top(rows, order[cols], similar, k + 1)
+        return rows[best], cols[best], similar[best]
+
+    def best(these: pd.DataFrame, those: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"asked": those["asked"][:0], "point": these["point"][:0], "first": these["first"][:0], "similarity": np.zeros(0)})]
+        alike = dict(iter(these.groupby(these["v"].str.len())))
+        for length, part in those.groupby(those["v"].str.len()):
+            if length not in alike:
+                continue
+            mine = alike[length]
+            y, order = np.stack(mine["v"]), mine["first"].rank(method="first").to_numpy()
+            ky = np.stack(mine["keys"]) if keyed else None
+            if keyed:
+                # Words of a key follow each other, so that they are compared with fewer points.
+                part = part.iloc[np.argsort([keys[0] for keys in part["keys"]], kind="stable")]
+            for at in range(0, len(part), asked_):
+                some = part.iloc[at : at + asked_]
+                kx = np.stack(some["keys"]) if keyed else None
+                rows, cols, similar = near(np.stack(some["v"]), y, kx, ky, order)
+                out.append(pd.DataFrame({
+                    "asked": some["asked"].to_numpy()[rows], "point": mine["point"].to_numpy()[cols],
+                    "first": mine["first"].to_numpy()[cols], "similarity": similar,
+                }))
+        return pd.concat(out) if len(out) < 2 else pd.concat(out[1:])
+
+    kinds = [df.schema[c].dataType for df, c in ((words, "asked"), (every, "names"))]
+    schema = f"asked {kinds[0].simpleString()}, point long, first {kinds[1].elementType.simpleString()}, similarity double"
     found = left.groupBy("block", "lot").cogroup(right.groupBy("block", "lot")).applyInPandas(best, schema)
-    return _listed(found, every, k)
+    # Each point has a name at least: of the best points that many are enough.
+    order = W.partitionBy("asked").orderBy(F.desc("similarity"), "first")
+    ranked = found.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= k + 1)
+    return ranked.select("asked", "point", "similarity")
+
+
+def nearest_exact(vectors: DataFrame, asked: DataFrame, k: int, points_: int = POINTS, asked_: int = ASKED, every: DataFrame | None = None) -> DataFrame:
+    """``asked, place, neighbour, similarity``: the ``k`` words nearest to each asked word.
+
+    Both frames are ``name, v`` of ``unit``; a word is no neighbour of itself. Equal
+    similarities go by name. A task multiplies blocks of points with blocks of asked
+    words and hands on the best of each word alone. ``every`` are the ``points`` of
+    ``vectors`` with ``k + 1`` names, where they are written already.
+    """
+    every = _written(points(vectors, k + 1), "points") if every is None else every
+    words = _written(asked.withColumnRenamed("name", "asked"), "asked")
+    return _listed(_best(every, words, k, points_, asked_), every, k)
 
 
 class HashIndex:
@@ -106,11 +183,11 @@ class HashIndex:
 
     def __init__(self, vectors: DataFrame, most: int, tables: int = TABLES, projections: int = PROJECTIONS, bucket: float = BUCKET, seed: int = SEED):
         self.tables, self.projections, self.bucket, self.seed = tables, projections, bucket, seed
-        self.points = _written(points(vectors, most), "points")
-        self.keys = _written(self.keyed(self.points, "point"), "point-keys")
+        self.points = _written(self.keyed(points(vectors, most)), "points")
+        self.keys = self.points.select("point", F.explode("keys").alias("key"))
 
-    def keyed(self, rows: DataFrame, name: str) -> DataFrame:
-        """``name, key``: the keys of each vector ``v``, one row per table."""
+    def keyed(self, rows: DataFrame) -> DataFrame:
+        """``rows`` and the ``keys`` of each vector ``v``, one for each table."""
         tables, projections, bucket, seed = self.tables, self.projections, self.bucket, self.seed
 
         def run(batches):
@@ -129,19 +206,14 @@ class HashIndex:
                     for p in range(projections):
                         keys = (keys ^ cells[:, :, p].view(np.uint64)) * mix
                         keys ^= keys >> np.uint64(31)
-                    yield pd.DataFrame({"name": np.repeat(part[name].to_numpy(), tables), "key": keys.view(np.int64).ravel()})
+                    yield part.assign(keys=list(keys.view(np.int64)))
 
-        kind = rows.schema[name].dataType.simpleString()
-        found = rows.select(name, "v").mapInPandas(run, f"name {kind}, key long")
-        return found.withColumnRenamed("name", name)
+        return rows.mapInPandas(run, StructType([*rows.schema, StructField("keys", ArrayType(LongType()))]))
 
     def nearest(self, asked: DataFrame, k: int) -> DataFrame:
         """As ``nearest_exact``, among the points that share a key with an asked word."""
-        words = _written(asked.withColumnRenamed("name", "asked"), "asked")
-        pairs = self.keyed(words, "asked").join(self.keys, "key").select("asked", "point").distinct()
-        both = pairs.join(words, "asked").join(self.points.select("point", F.col("v").alias("u")), "point")
-        found = both.select("asked", "point", _dot(F.col("v"), F.col("u")).alias("similarity"))
-        return _listed(found, self.points, k)
+        words = _written(self.keyed(asked.withColumnRenamed("name", "asked")), "asked")
+        return _listed(_best(self.points, words, k, POINTS, ASKED, keyed=True), self.points, k)
 
 
 def recall(exact: DataFrame, found: DataFrame) -> DataFrame:

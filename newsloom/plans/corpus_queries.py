@@ -189,8 +189,9 @@ def o3_many(spark: SparkSession, d: str) -> DataFrame:
 def m3_recall(spark: SparkSession, d: str) -> DataFrame:
     """The index beside the exact way: nine in ten of all neighbours, or more."""
     vectors, asked = _words(spark, d)
-    exact = NN.nearest_exact(vectors, asked, K.NEAREST)
-    found = NN.HashIndex(vectors, K.NEAREST + 1).nearest(asked, K.NEAREST)
+    index = NN.HashIndex(vectors, K.NEAREST + 1)
+    exact = NN.nearest_exact(vectors, asked, K.NEAREST, every=index.points)
+    found = index.nearest(asked, K.NEAREST)
     return NN.recall(exact, found).agg(
         F.count("*").alias("asked"), F.sum("n").alias("neighbours"), (F.sum("hits") >= 0.9 * F.sum("n")).alias("found_most")
     )

@@ -94,3 +94,50 @@ def test_copies_make_no_pairs(spark):
 def test_nothing(spark):
     none = N.unit(frame(spark, []))
     assert N.nearest_exact(none, none, 3).count() == 0 and N.HashIndex(none, 4).nearest(none, 3).count() == 0
+
+
+def sharing(vectors, asked, index, k):
+    """The index's lists by pairs: points that share a key, compared one by one."""
+    keys = {r.point: set(r["keys"]) for r in index.points.collect()}
+    held = [(np.array(r.v), r.names, keys[r.point]) for r in index.points.collect()]
+    out = {}
+    for r in index.keyed(asked).collect():
+        near = [(n, np.array(r.v) @ v) for v, names, own in held if own & set(r["keys"]) for n in names if n != r.name]
+        out[r.name] = sorted(near, key=lambda x: (-x[1], x[0]))[:k]
+    return out
+
+
+def test_index_compares_only_points_that_share_a_key(spark, rows, monkeypatch):
+    """Narrow buckets find few; no pair of a word and a point is a row, in however many blocks."""
+    monkeypatch.setattr(N, "POINTS", 37)
+    monkeypatch.setattr(N, "ASKED", 3)
+    monkeypatch.setattr(N, "HELD_ASKED", 1)
+    vectors, asked = N.unit(frame(spark, rows).repartition(4)), asked_of(spark, rows)
+    index = N.HashIndex(vectors, 8, tables=3, projections=6, bucket=0.3)
+    found = index.nearest(asked, 7)
+    got, want = lists(found), {a: near for a, near in sharing(vectors, asked, index, 7).items() if near}
+    assert 0 < sum(map(len, got.values())) and got.keys() == want.keys()
+    for a, near in want.items():
+        assert [s for _, s in got[a]] == pytest.approx([s for _, s in near], abs=1e-9)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "Generate explode(keys" not in plan
+
+
+def test_vectors_of_another_length_are_not_compared(spark):
+    rows = [("a", [1.0, 0.0]), ("b", [1.0, 0.1]), ("c", [1.0, 0.0, 0.0])]
+    vectors = N.unit(frame(spark, rows))
+    for df in (N.nearest_exact(vectors, vectors, 2), N.HashIndex(vectors, 3).nearest(vectors, 2)):
+        assert {a: [w for w, _ in near] for a, near in lists(df).items()} == {"a": ["b"], "b": ["a"]}
+
+
+def test_blocks_meet_in_any_partition(spark, rows):
+    """Blocks of both sides find each other where small partitions are not joined into one."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = lists(N.nearest_exact(N.unit(frame(spark, rows).repartition(4)), asked_of(spark, rows), 7, 37, 3))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = brute(rows, ASKED, 7)
+    assert got.keys() == want.keys()
+    for a, near in want.items():
+        assert [s for _, s in got[a]] == pytest.approx([s for _, s in near], abs=1e-6)
