@@ -153,6 +153,26 @@ def test_factors_are_those_of_the_matrix(spark):
     assert np.abs(x @ x.T - u[:, :size] @ np.diag(s[:size]) @ u[:, :size].T).max() < 0.1 * s[0]
 
 
+def test_rows_of_blocks_share_what_is_sent(spark):
+    """A product by lots of rows is the same, and a block is sent once for each lot."""
+    words, size, block = 70, 3, 4
+    rng = np.random.default_rng(4)
+    full = np.triu(rng.random((words, words)) * (rng.random((words, words)) < 0.3)).astype("f4")
+    cells = [(int(i), int(j), float(full[i, j])) for i, j in zip(*np.nonzero(full))]
+    matrix = V._written(V.tiles(spark.createDataFrame(cells, "i long, j long, w float"), words, block), "tiles")
+    x = V._written(V._random_blocks(spark, words, size, block, 1), "blocks")
+    got = {}
+    for high in (1, V.FAN, 100):
+        rows = V._product(matrix, x, words, size, block, high).collect()
+        got[high] = {r.block: np.frombuffer(r.data, "<f4").reshape(-1, size) for r in rows}
+    dense = np.concatenate([np.frombuffer(r.data, "<f4").reshape(-1, size) for r in sorted(x.collect(), key=lambda r: r.block)])
+    want = (full + np.triu(full, 1).T) @ dense
+    for blocks in got.values():
+        assert blocks.keys() == set(range(-(-words // block)))
+        assert all((blocks[b] == got[1][b]).all() for b in blocks)
+        assert np.allclose(np.concatenate([blocks[b] for b in sorted(blocks)]), want, atol=1e-4)
+
+
 @pytest.mark.parametrize("rows", [[], [([],)], [(["one"],)]])
 def test_vectors_of_next_to_nothing(spark, rows):
     df = spark.createDataFrame(rows, "tokens array<string>")
