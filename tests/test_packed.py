@@ -14,6 +14,7 @@ from pyspark import cloudpickle
 from newsloom.operators import corpus as K
 from newsloom.operators import packed as P
 from newsloom.operators import vectors as V
+from newsloom.plans import all_queries
 from newsloom.session import work_folder
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -87,6 +88,17 @@ def test_only_vectors_and_words_stay_on_disk(spark):
     assert {d.rsplit("-", 1)[0] for d in left} == {"ordered", "vector-words", "vectors"}
 
 
+def test_saved_model_leaves_no_passes_on_disk(spark, tmp_path):
+    docs = [(i, " ".join(d[0] or ["w0"])) for i, d in enumerate(_texts(60))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    folder = work_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    rows = all_queries()[0]["s12_save_model"](spark, str(tmp_path)).collect()
+    assert len(rows) > 20 and {r.dim for r in rows} == {K.VECTOR_SIZE}
+    left = {d for d in set(os.listdir(folder)) - before for _, _, files in os.walk(os.path.join(folder, d)) if any(f.startswith("part-") for f in files)}
+    assert not [d for d in left if d.startswith(("factor", "vector-pairs", "vector-cells", "vector-tiles"))]
+
+
 def test_factors_are_not_shuffled(spark, small, capsys):
     docs = spark.createDataFrame(_texts(), "tokens array<string>")
     words = V._written(V.number_words(K.vocabulary(docs, 5)), "words")
